@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
+from loamgrid.llm.packing import op2_best_fit_packing
 from loamgrid.llm.quality_rules import op8_quality_rules
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op8_quality_rules)}
 ORACLES: dict[str, str] = {}
