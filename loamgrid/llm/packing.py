@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -36,37 +37,55 @@ PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pie
 PACKED = T.StructType([*PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 
-class WordIds(dict):
-    """A word (bytes without white space) to its token ids, as little-endian 32-bit bytes.
+#: The tokenizer's split pattern, over texts of ASCII and Latin-1 letters in lower case.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t\\n\\v\\f\\ra-z0-9ß-öø-ÿ]+")
+#: What such texts don't hold: other characters, and the strings of special tokens.
+OTHER = re.compile("[^\\x00-\\x7fÀ-ÿ]|<\\|")
 
-    The tokenizer's patterns never match across white space, so a text's ids are those of its words, joined."""
 
-    def __init__(self, path: str):
+@cache
+def _byte_signs() -> list[str]:
+    """The printable sign that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
+class PartIds(dict):
+    """A part of a text, as the tokenizer splits it, to its ids as little-endian 32-bit bytes."""
+
+    def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.signs = tokenizer.model, _byte_signs()
 
-    def learn(self, found: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the cache lacks, kept there as far as it has room."""
-        codes = self.tokenizer.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)
-        new = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(found, codes, strict=True)}
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array([t.id for t in self.model.tokenize("".join([self.signs[b] for b in part.encode()]))], "<u4").tobytes()
         if len(self) < TOKEN_CACHE:
-            self.update(new)
-        return new
+            self[part] = ids
+        return ids
 
 
-@cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+class Ids:
+    """Token ids of texts, without special tokens. Parts are tokenized once and kept; a text with characters beyond Latin-1
+    letters goes through the tokenizer word by word, as its patterns never match across white space."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts = PartIds(self.tokenizer)
 
-def token_ids(text: bytes, known: WordIds) -> np.ndarray:
-    words = text.split()
-    missing = [w for w in set(words) if w not in known]
-    if not missing:
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-    new = known.learn(missing)
-    return np.frombuffer(b"".join([new[w] if w in new else known[w] for w in words]), "<u4")
+    def of(self, text: bytes) -> np.ndarray:
+        plain = text.decode()
+        if OTHER.search(plain):
+            codes = self.tokenizer.encode_batch_fast([w.decode() for w in text.split()], add_special_tokens=False)
+            return np.array([i for c in codes for i in c.ids], "<u4")
+        return np.frombuffer(b"".join(map(self.parts.__getitem__, PARTS.findall(plain.lower()))), "<u4")
+
+
+@cache
+def token_ids(path: str) -> Ids:
+    """One for each Python worker."""
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -74,11 +93,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     schema = PIECES if with_ids else T.StructType(PIECES.fields[:5])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer_path)
+        ids_of = token_ids(tokenizer_path).of
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids = np.append(token_ids(text or b"", known), np.uint32(end_id)).astype("<u4", copy=False)
+                ids = np.append(ids_of(text or b""), np.uint32(end_id)).astype("<u4", copy=False)
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))

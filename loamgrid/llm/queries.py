@@ -2,11 +2,12 @@
 
 from loamgrid.llm.decontamination import op1_benchmark_decontamination
 from loamgrid.llm.html_extraction import op9_html_extraction
+from loamgrid.llm.line_dedup import op6_line_dedup
 from loamgrid.llm.packing import op2_best_fit_packing
 from loamgrid.llm.pii import op3_pii
 from loamgrid.llm.quality_rules import op8_quality_rules
 from loamgrid.llm.sharding import op10_label_propagation_sharding
 from loamgrid.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_pii, op5_toxicity, op8_quality_rules, op9_html_extraction, op10_label_propagation_sharding)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_pii, op5_toxicity, op6_line_dedup, op8_quality_rules, op9_html_extraction, op10_label_propagation_sharding)}
 ORACLES: dict[str, str] = {}
