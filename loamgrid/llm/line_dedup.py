@@ -3,8 +3,8 @@
 A line's leaf is its number of tokens and its leading tokens, where a token with a digit is a variable field. Within a leaf a
 token is constant at its place if enough lines have it there; other places are variable fields. Lines of a leaf with the
 same constants have one template, if enough of their tokens are constant. A template recurs if at least `min_docs` documents
-have it in surroundings (leaves of the lines before and after) of which at least a share SURROUNDINGS are different: copies of
-whole documents, which near-duplicate stages handle, repeat the surroundings too. Lines of recurring templates are dropped.
+have it and a share SURROUNDINGS of these differ in the leaf of their longest other line: copies of whole documents, which
+near-duplicate stages handle, repeat their other lines too. Lines of recurring templates are dropped.
 
 A null text stays null and an empty one empty; documents stay, even if all their lines go. Blank lines are kept and have no
 template. Each row counts as a document, by its id; repeated rows with one id count once. Null ids count as one document.
@@ -72,12 +72,15 @@ def _lines(depth: int):
                 hashed: list[np.ndarray] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                     split = [t for line in (text or b"").split(b"\n") if (t := tokens_of(line))]
-                    leaves = [0, *(leaf_of(t, depth) for t in split), 0]
+                    leaves = [leaf_of(t, depth) for t in split]
+                    longest = max(range(len(split)), key=lambda i: len(split[i]), default=-1)
+                    second = max((i for i in range(len(split)) if leaves[i] != leaves[longest]), key=lambda i: len(split[i]), default=-1)
                     seen = set()
-                    for i, t in enumerate(split, 1):
+                    for t, leaf in zip(split, leaves, strict=True):
                         if (line := line_of(t)) not in seen:
                             seen.add(line)
-                            rows.append((doc_id, leaves[i], line, (leaves[i - 1] * 3 ^ leaves[i + 1]) >> 2))
+                            other = second if leaf == leaves[longest] else longest
+                            rows.append((doc_id, leaf, line, leaves[other] if other >= 0 else 0))
                             hashed.append(known.of(t))
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in hashed])]).astype(np.int32)
