@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -62,6 +63,75 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 16
+SPACES = b" \t\n\v\f\r"
+STEP = np.uint64(0x9E3779B97F4A7C13)
+
+
+@cache
+def _byte_tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte, and powers of STEP and of its inverse."""
+    value = np.array([xxhash.xxh3_64_intdigest(b"byte %d" % i) for i in range(256)], np.uint64)
+    value[list(SPACES)] = 0
+    powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64)
+    return value, powers(STEP), powers(np.uint64(pow(int(STEP), -1, 1 << 64)))
+
+
+def _hash_block(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words."""
+    size = len(text)
+    value, power, inverse = _byte_tables(BLOCK if size <= BLOCK else 1 << (size - 1).bit_length())
+    at = np.frombuffer(text, np.uint8)
+    inside = np.zeros(size + 2, bool)
+    inside[1:-1] = (at != 32) & ((at - np.uint8(9)) > 4)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(np.take(value, at, mode="clip") * power[:size], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def hash_texts(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """hash_words of each text; short ones are hashed together."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < BLOCK):
+            size += len(texts[end]) + 1
+            end += 1
+        if end == at + 1:
+            yield hash_words(texts[at])
+        else:
+            group = texts[at:end]
+            h, start = _hash_block(b" ".join(group).lower())
+            cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in group])).tolist()
+            first = 0
+            for cut in cuts:
+                yield h[first:cut]
+                first = cut
+        at = end
+
+
+def hash_words(text: bytes, lower: bool = True) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text, in order, A-Z lower-cased if asked for: polynomials of their bytes, all at once."""
+    if lower:
+        text = text.lower()
+    if len(text) <= BLOCK:
+        return _hash_block(text)[0]
+    found, at = [], 0
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            cut = max(text.rfind(c, at, end) for c in SPACES)
+            if cut < 0:  # a word longer than the block
+                cut = min((i for c in SPACES if (i := text.find(c, end)) >= 0), default=len(text) - 1)
+            end = cut + 1
+        found.append(_hash_block(text[at:end])[0])
+        at = end
+    return np.concatenate(found)
+
+
 @cache
 def word_hashes() -> WordHashes:
     """One for each Python worker."""
@@ -89,3 +159,9 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     for i, weight in enumerate(_weights(k)):
         total += words[i : len(words) - k + 1 + i] * weight
     return mix(total)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The values of h once each, sorted."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h

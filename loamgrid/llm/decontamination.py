@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import as_bytes, load, windows, word_hashes
+from loamgrid.llm.common import as_bytes, distinct, hash_texts, load, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles of benchmark items that are sent to the tasks at once (12 bytes each).
@@ -33,9 +33,9 @@ PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuati
 MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("item_shingles", T.LongType()), T.StructField("shared_shingles", T.LongType()), T.StructField("containment", T.DoubleType())])
 
 
-def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
-    return np.unique(windows(word_hashes().of(text.lower().translate(PLAIN).split()), n))
+def shingles(texts: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Of each text, hashes of the distinct shingles, sorted."""
+    return (distinct(windows(words, n)) for words in hash_texts([t.translate(PLAIN) for t in texts]))
 
 
 def most_lacking(n: int, threshold: float) -> int:
@@ -76,7 +76,7 @@ def _blocks(benchmark: DataFrame, n: int, block: int) -> Iterator[list[tuple[int
     items: list[tuple[int, np.ndarray]] = []
     size = 0
     for row in benchmark.select("item_id", F.col("text").cast("binary")).toLocalIterator():
-        own = shingles(bytes(row[1] or b""), n)
+        own = next(shingles([bytes(row[1] or b"")], n))
         if items and size + len(own) > block:
             yield items
             items, size = [], 0
@@ -95,7 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, thresh
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(i, item, size, shared, shared / size) for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if t for item, size, shared in index.value.search(shingles(t, n))]
+                own = shingles([t or b"" for t in as_bytes(batch.column(1))], n)
+                rows = [(i, item, size, shared, shared / size) for i, s in zip(batch.column(0).to_pylist(), own, strict=True) for item, size, shared in index.value.search(s)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=MATCHES.names)
 
@@ -111,7 +112,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, t
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not t or not index.value.search(shingles(t, n)) for t in as_bytes(batch.column("text"))], pa.bool_()))
+                own = shingles([t or b"" for t in as_bytes(batch.column("text"))], n)
+                yield batch.filter(pa.array([not index.value.search(s) for s in own], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import as_bytes, load, windows, word_hashes
+from loamgrid.llm.common import as_bytes, hash_words, load, windows
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -72,11 +72,13 @@ def judge(text: bytes) -> tuple[int, int, int, int, int, bool, int, int, bool]:
                 lost += len(own)
     repeated = 0
     if n > WINDOW:
-        h = windows(word_hashes().of(words), WINDOW)
-        _, place, count = np.unique(h, return_inverse=True, return_counts=True)
-        if len(count) < len(h):
+        h = windows(hash_words(text, lower=False), WINDOW)
+        order = np.argsort(h)
+        same = np.append(h[order[1:]] == h[order[:-1]], False)
+        if same.any():
             edge = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(count[place] > 1)
+            same[1:] |= same[:-1]
+            at = order[same]
             np.add.at(edge, at, 1)
             np.add.at(edge, at + WINDOW, -1)
             repeated = int((np.cumsum(edge)[:n] > 0).sum())
