@@ -223,7 +223,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return known.mapInArrow(seat, PACKED)
 
 
-def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return pack(stash(pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)))
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(stash(pieces(load(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False)))
