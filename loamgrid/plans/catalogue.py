@@ -1,4 +1,238 @@
-"""All queries on the driver's tables, by name, and their SQL."""
+"""All queries on the driver's tables, by name, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Most are one text that both engines read. Queries with an operator of this library have a plain, slower SQL text for DuckDB.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamgrid.operators import raster, spatial
+from loamgrid.sources.testbench import BANDS, VIEWS, closure
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Views of pairs that meet, which Spark gets from the cell join.
+PAIRS = {
+    "commune_polys": "SELECT g.lau2, g.commune, g.covered_fraction, p.poly_id, p.class_id, p.class_name, greatest(least(g.ix1, p.x1) - greatest(g.ix0, p.x0), 0) * greatest(least(g.iy1, p.y1) - greatest(g.iy0, p.y0), 0) AS area FROM commune_aoi_v g JOIN named p ON greatest(g.ix0, p.x0) <= least(g.ix1, p.x1) AND greatest(g.iy0, p.y0) <= least(g.iy1, p.y1)",
+    "poly_reference": "SELECT p.poly_id, q.ref_id, p.class_id AS class_id, q.class_name AS ref_name, greatest(p.x0, q.x0) AS x0, greatest(p.y0, q.y0) AS y0, least(p.x1, q.x1) AS x1, least(p.y1, q.y1) AS y1 FROM named p JOIN reference q ON greatest(p.x0, q.x0) <= least(p.x1, q.x1) AND greatest(p.y0, q.y0) <= least(p.y1, q.y1)",
+}
+
+
+def duck(sql: str, more: dict[str, str] | None = None) -> str:
+    every = VIEWS | (more or {})
+    names = closure(sql, more)
+    return (f"WITH {', '.join(f'{n} AS ({every[n]})' for n in names)} " if names else "") + sql
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:
+    """A text over the driver's tables, the derived views, and frames by name."""
+    import re
+
+    names = closure(sql)
+    whole = " ".join([sql, *(VIEWS[n] for n in names)])
+    parts = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", whole)]
+    parts += [f"{n} AS (SELECT * FROM {{{n}}})" for n in frames] + [f"{n} AS ({VIEWS[n]})" for n in names]
+    text = (f"WITH {', '.join(parts)} " if parts else "") + sql
+    return spark.sql(text.replace("//", " div "), **frames)
+
+
+def both(name: str, sql: str) -> None:
+    """One text for both engines."""
+    ORACLES[name] = duck(sql)
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, sql)
+
+
+def paired(name: str, sql: str) -> None:
+    """One text over PAIRS: the cell join in Spark, a plain join in DuckDB."""
+    ORACLES[name] = duck(sql, PAIRS)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {}
+        if "commune_polys" in sql:
+            g = run(spark, sf_dir, "SELECT lau2, commune, covered_fraction, ix0 AS x0, iy0 AS y0, ix1 AS x1, iy1 AS y1 FROM commune_aoi_v")
+            pairs = spatial.spatial_join(g, run(spark, sf_dir, "SELECT * FROM named"))
+            frames["commune_polys"] = pairs.select("l.lau2", "l.commune", "l.covered_fraction", "r.poly_id", "r.class_id", "r.class_name", spatial.overlap("l", "r").alias("area"))
+        if "poly_reference" in sql:
+            pairs = spatial.spatial_join(run(spark, sf_dir, "SELECT * FROM named"), run(spark, sf_dir, "SELECT * FROM reference"), 500.0)
+            corner = lambda f, p: f(F.col(f"l.{p}"), F.col(f"r.{p}")).alias(p)
+            frames["poly_reference"] = pairs.select("l.poly_id", "r.ref_id", "l.class_id", F.col("r.class_name").alias("ref_name"), corner(F.greatest, "x0"), corner(F.greatest, "y0"), corner(F.least, "x1"), corner(F.least, "y1"))
+        return run(spark, sf_dir, sql, **frames)
+
+    QUERIES[name] = query
+
+
+def own(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = duck(sql)
+
+
+#: Adding 0 turns -0 into 0.
+R = lambda x, n, d=6: f"round({x}, {d}) + 0.0E0 AS {n}"
+N = "CAST(count(*) AS BIGINT)"
+IF = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+bands = ", ".join
+INDICES = ("NDVI", "NDWI", "NDBI", "NDRE", "NBR2")
+
+# scenes
+both("scene_search", "SELECT id, day, round(cloud, 4) AS cloud FROM scenes WHERE cloud < 10 AND day >= '1996-05-01' AND day <= '1996-09-30' AND west < 6.29 AND east > 6.01 AND south < 49.72 AND north > 49.54")
+both("boa_offset", "SELECT id, CASE WHEN offset_applied THEN 0 WHEN coalesce(TRY_CAST(baseline AS DOUBLE), 0) >= 4.0 THEN -1000 ELSE 0 END AS boa_offset FROM scenes")
+both("tile_id", "SELECT id, coalesce(nullif(replace(grid_code, 'MGRS-', ''), ''), CAST(utm_zone AS VARCHAR(9)) || latitude_band || grid_square) AS tile FROM scenes")
+SUMMARY = "SELECT id, day, round(cloud, 4) AS cloud, round(greatest(least(east, 6.29E0) - greatest(west, 6.01E0), 0) * greatest(least(north, 49.72E0) - greatest(south, 49.54E0), 0) / (0.28E0 * 0.18E0), 6) AS covered, west <= 6.01 AND east >= 6.29 AND south <= 49.54 AND north >= 49.72 AS contains_aoi FROM scenes"
+both("scene_summary", SUMMARY)
+both("st_contains", f"SELECT id, contains_aoi FROM ({SUMMARY}) s")
+both("pin_scene", "SELECT id, day, round(cloud, 4) AS cloud FROM scenes WHERE id = 'S17'")
+both("select_scene", f"SELECT id, day, cloud FROM ({SUMMARY}) s WHERE contains_aoi AND cloud < 10 ORDER BY cloud, day, id LIMIT 1")
+both("q_scene_list", f"SELECT id, covered, cloud, contains_aoi FROM ({SUMMARY}) s WHERE cloud < 10 ORDER BY contains_aoi DESC, cloud, id")
+# pixels
+both("reflectance", f"SELECT r, c, {bands(R(b, b) for b in BANDS)} FROM reflect")
+both("validity_mask", "SELECT r, c, valid FROM indexed")
+both("norm_diff", f"SELECT r, c, {R('NDVI', 'NDVI')} FROM indexed")
+both("spectral_indices", f"SELECT r, c, {bands(R(i, i) for i in INDICES)} FROM indexed")
+MASKED = bands(f"CASE WHEN valid THEN round({b}, 6) END AS {b}" for b in (*BANDS, *INDICES))
+both("mask_features", f"SELECT r, c, {MASKED} FROM indexed")
+both("load_dataset", f"SELECT r, c, label, valid, {MASKED} FROM indexed")
+both("eligible", "SELECT r, c, valid AND label <> 0 AS eligible FROM indexed")
+both("design_matrix", f"SELECT r, c, label, {bands(R(b, b) for b in (*BANDS, *INDICES))} FROM indexed WHERE valid AND label <> 0")
+both("load_crf_inputs", f"SELECT r, c, label, {R('B11', 'B11')}, {R('B12', 'B12')}, {R('NBR2', 'NBR2')} FROM indexed")
+both("window_read", "SELECT r, c, dn_B02 FROM pixels WHERE r BETWEEN 10 AND 29 AND c BETWEEN 40 AND 79")
+both("crop", "SELECT r, c, label FROM pixels WHERE r >= 35 AND r < 90 AND c >= 20 AND c < 85")
+both("grid_meta", f"SELECT CAST(max(r) + 1 AS BIGINT) AS height, CAST(max(c) + 1 AS BIGINT) AS width, {N} AS pixels FROM pixels")
+both("read_stack", "SELECT p.r, p.c, p.dn_B02, q.dn_B05, q.scl FROM pixels p JOIN pixels q ON q.r = p.r // 2 AND q.c = p.c // 2")
+both("raster_overlay", "SELECT p.r, p.c, p.label, q.label AS other FROM pixels p JOIN smooth q ON p.r = q.r AND p.c = q.c")
+both("upsample_nearest", "SELECT p.r, p.c, q.scl FROM pixels p JOIN pixels q ON q.r = p.r // 2 AND q.c = p.c // 2")
+both("upsample_bilinear", "SELECT t.r, t.c, round((9.0E0 * a.dn_B05 + 3.0E0 * coalesce(x.dn_B05, a.dn_B05) + 3.0E0 * coalesce(y.dn_B05, a.dn_B05) + coalesce(z.dn_B05, coalesce(x.dn_B05, coalesce(y.dn_B05, a.dn_B05)))) / 16, 6) AS v FROM (SELECT r, c, r // 2 AS br, c // 2 AS bc, r // 2 + CASE WHEN r % 2 = 0 THEN -1 ELSE 1 END AS nr, c // 2 + CASE WHEN c % 2 = 0 THEN -1 ELSE 1 END AS nc FROM pixels) t JOIN pixels a ON a.r = t.br AND a.c = t.bc LEFT JOIN pixels x ON x.r = t.br AND x.c = t.nc LEFT JOIN pixels y ON y.r = t.nr AND y.c = t.bc LEFT JOIN pixels z ON z.r = t.nr AND z.c = t.nc")
+both("overviews", f"SELECT k, r // k AS br, c // k AS bc, {R('avg(CAST(dn_B04 AS DOUBLE))', 'mean')} FROM pixels CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 4 UNION ALL SELECT 8 UNION ALL SELECT 16) f GROUP BY k, r // k, c // k")
+both("scl_histogram", f"SELECT scl, CASE scl WHEN 0 THEN 'no_data' WHEN 1 THEN 'saturated_or_defective' WHEN 2 THEN 'dark_area_pixels' WHEN 3 THEN 'cloud_shadow' WHEN 4 THEN 'vegetation' WHEN 5 THEN 'not_vegetated' WHEN 6 THEN 'water' WHEN 7 THEN 'unclassified' WHEN 8 THEN 'cloud_medium_probability' WHEN 9 THEN 'cloud_high_probability' WHEN 10 THEN 'thin_cirrus' ELSE 'snow_or_ice' END AS name, {N} AS n FROM pixels GROUP BY scl")
+both("scl_reindex", "SELECT DISTINCT scl, CAST(dense_rank() OVER (ORDER BY scl) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT scl FROM pixels WHERE scl IN (2, 4, 5, 6, 7)) s")
+both("mask_stats", f"SELECT {IF('valid')} AS n_valid, {N} AS n, round(avg(CASE WHEN valid THEN 1.0E0 ELSE 0.0E0 END), 6) AS share FROM indexed")
+both("index_stats", " UNION ALL ".join(f"SELECT '{i}' AS name, {R(f'min({i})', 'low')}, {R(f'avg({i})', 'mean')}, {R(f'max({i})', 'high')} FROM indexed WHERE valid" for i in INDICES))
+STATS = "SELECT avg(B11) AS m1, stddev_pop(B11) AS s1, avg(B12) AS m2, stddev_pop(B12) AS s2, avg(NBR2) AS m3, stddev_pop(NBR2) AS s3 FROM indexed WHERE valid"
+STANDARD = f"SELECT r, c, valid, CASE WHEN valid THEN (B11 - m1) / greatest(s1, 1e-12) ELSE 0 END AS f1, CASE WHEN valid THEN (B12 - m2) / greatest(s2, 1e-12) ELSE 0 END AS f2, CASE WHEN valid THEN (NBR2 - m3) / greatest(s3, 1e-12) ELSE 0 END AS f3 FROM indexed CROSS JOIN ({STATS}) s"
+both("standardise", f"SELECT r, c, {R('f1', 'f1', 5)}, {R('f2', 'f2', 5)}, {R('f3', 'f3', 5)} FROM ({STANDARD}) x")
+PERCENTILE = lambda c, q: f"percentile_cont({q}) WITHIN GROUP (ORDER BY {c})"
+both("percentile_stretch", f"SELECT r, c, round(least(greatest((B04 - lo) / (hi - lo), 0), 1), 6) AS v FROM indexed CROSS JOIN (SELECT {PERCENTILE('B04', 0.02)} AS lo, {PERCENTILE('B04', 0.98)} AS hi FROM indexed) p WHERE B04 IS NOT NULL")
+both("truecolor", f"SELECT r, c, CASE WHEN B04 IS NULL THEN 0 ELSE CAST(floor(least(greatest((B04 - lo) / (hi - lo), 0), 1) * 254) AS INT) + 1 END AS red, B02 IS NOT NULL AND B03 IS NOT NULL AND B04 IS NOT NULL AS alpha FROM indexed CROSS JOIN (SELECT {PERCENTILE('B04', 0.02)} AS lo, {PERCENTILE('B04', 0.98)} AS hi FROM indexed) p")
+both("colour_lut", "SELECT r, c, k.colour FROM pixels p LEFT JOIN classes k ON k.class_id = p.label")
+both("hex_colour", "SELECT class_id, CAST(position(substr(colour, 1, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 2, 1) IN '0123456789abcdef') - 17 AS INT) AS red, CAST(position(substr(colour, 3, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 4, 1) IN '0123456789abcdef') - 17 AS INT) AS green, CAST(position(substr(colour, 5, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 6, 1) IN '0123456789abcdef') - 17 AS INT) AS blue FROM classes")
+own("json_extract", lambda s, d: run(s, d, "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+both("alignment_corr", "SELECT dr, dc, round(corr(p.dn_B02, q.dn_B03), 5) AS corr FROM pixels p CROSS JOIN (SELECT -1 AS dr UNION ALL SELECT 0 UNION ALL SELECT 1) a CROSS JOIN (SELECT -1 AS dc UNION ALL SELECT 0 UNION ALL SELECT 1) b JOIN pixels q ON q.r = p.r + dr AND q.c = p.c + dc GROUP BY dr, dc")
+# neighbours
+NEXT = "SELECT r, c, label, lag(label) OVER (PARTITION BY r ORDER BY c) AS w, lead(label) OVER (PARTITION BY r ORDER BY c) AS e, lag(label) OVER (PARTITION BY c ORDER BY r) AS n, lead(label) OVER (PARTITION BY c ORDER BY r) AS s FROM smooth"
+both("neighbours", NEXT)
+both("shift", "SELECT r, c, coalesce(lag(label) OVER (PARTITION BY r ORDER BY c), 0) AS shifted FROM smooth")
+EDGES = f"SELECT r, c, coalesce(w, label) <> label OR coalesce(e, label) <> label OR coalesce(n, label) <> label OR coalesce(s, label) <> label AS edge FROM ({NEXT}) x"
+own("boundary_pixels", lambda s, d: raster.boundary(run(s, d, "SELECT r, c, label FROM smooth")).select("r", "c", "edge"), EDGES)
+both("edge_density", f"SELECT {IF('e <> label')} + {IF('s <> label')} AS edges, {N} AS pixels, round(({IF('e <> label')} + {IF('s <> label')}) * 0.01E0 / (count(*) * 1e-4), 6) AS km_per_km2 FROM ({NEXT}) x")
+DISTANCE = f"SELECT p.r, p.c, round(min(sqrt((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c))) * 10, 6) AS distance_m FROM smooth p CROSS JOIN ({EDGES}) q WHERE q.edge AND abs(p.r - q.r) <= 8 AND abs(p.c - q.c) <= 12 GROUP BY p.r, p.c"
+distances = lambda s, d: raster.boundary_distance(run(s, d, "SELECT r, c, label FROM smooth"))
+own("boundary_distance", distances, DISTANCE)
+own("uncertain_fraction", lambda s, d: distances(s, d).agg(F.round(F.avg((F.col("distance_m") < 30).cast("double")), 6).alias("share")), f"SELECT round(avg(CASE WHEN distance_m < 30 THEN 1.0 ELSE 0.0 END), 6) AS share FROM ({DISTANCE}) x")
+BAND = "CASE WHEN distance_m < 20 THEN '0-20' WHEN distance_m < 50 THEN '20-50' WHEN distance_m < 100 THEN '50-100' WHEN distance_m < 200 THEN '100-200' WHEN distance_m < 400 THEN '200-400' ELSE '>400' END"
+BANDED = f"SELECT {BAND} AS band, {N} AS n, round(avg(CASE WHEN label = pred THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy FROM dist JOIN smooth USING (r, c) GROUP BY {BAND}"
+own("accuracy_by_distance", lambda s, d: run(s, d, BANDED, dist=distances(s, d)), BANDED.replace("FROM dist", f"FROM ({DISTANCE}) dist"))
+WRONG = "SELECT r, c, CASE WHEN label = pred THEN 0 WHEN distance_m < 30 THEN 1 ELSE 2 END AS kind FROM dist JOIN smooth USING (r, c)"
+own("disagreement", lambda s, d: run(s, d, WRONG, dist=distances(s, d)), WRONG.replace("FROM dist", f"FROM ({DISTANCE}) dist"))
+both("band_label", "SELECT lo, hi, CASE WHEN hi IS NULL THEN '>' || CAST(lo AS VARCHAR(9)) ELSE CAST(lo AS VARCHAR(9)) || '-' || CAST(hi AS VARCHAR(9)) END AS band FROM (SELECT 0 AS lo, 20 AS hi UNION ALL SELECT 20, 50 UNION ALL SELECT 50, 100 UNION ALL SELECT 100, 200 UNION ALL SELECT 200, 400 UNION ALL SELECT 400, NULL) b")
+INPUT = "SELECT r, c, label FROM smooth WHERE r < 40 AND c < 60"
+REACH = "WITH RECURSIVE n AS (SELECT r * 1000000 + c AS id, r, c, label FROM g), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.label = b.label AND {near}), w AS (SELECT id AS start, id AS node FROM n UNION SELECT w.start, e.b FROM w JOIN e ON e.a = w.node) SELECT n.r, n.c, n.label, CAST(x.component AS BIGINT) AS component FROM n JOIN (SELECT node, min(start) AS component FROM w GROUP BY node) x ON x.node = n.id"
+for key, near, steps in (("components_4", "abs(a.r - b.r) + abs(a.c - b.c) = 1", ((0, 1), (1, 0))), ("components", "greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1", ((0, 1), (1, 0), (1, 1), (1, -1)))):
+    QUERIES[key] = lambda s, d, steps=steps: raster.components(run(s, d, INPUT), steps)
+    grid = ", ".join(f"{n} AS ({VIEWS[n]})" for n in closure(INPUT))
+    ORACLES[key] = REACH.format(near=near).replace("WITH RECURSIVE", f"WITH RECURSIVE {grid}, g AS ({INPUT}),")
+SIZES = "SELECT label, CAST(count(DISTINCT component) AS BIGINT) AS regions, CAST(count(*) * 100 AS BIGINT) AS area_m2 FROM ({}) x GROUP BY label"
+own("polygonise", lambda s, d: run(s, d, SIZES.replace("({})", "x0"), x0=QUERIES["components_4"](s, d)), None)
+ORACLES["polygonise"] = ORACLES["components_4"].replace("SELECT n.r, n.c", "SELECT n.label, CAST(count(DISTINCT x.component) AS BIGINT) AS regions, CAST(count(*) * 100 AS BIGINT) AS area_m2 --").replace(", n.label, CAST(x.component AS BIGINT) AS component FROM", "\nFROM") + " GROUP BY n.label"
+own("fragmentation", lambda s, d: run(s, d, "SELECT CAST(count(*) AS BIGINT) AS patches, round(avg(n) * 0.01E0, 6) AS mean_ha, round(sum(CASE WHEN n < 5 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS tiny FROM (SELECT component, count(*) AS n FROM x0 GROUP BY component) y", x0=QUERIES["components"](s, d)), None)
+ORACLES["fragmentation"] = ORACLES["components"].replace("SELECT n.r, n.c, n.label, CAST(x.component AS BIGINT) AS component FROM n JOIN", "SELECT CAST(count(*) AS BIGINT) AS patches, round(avg(m) * 0.01E0, 6) AS mean_ha, round(sum(CASE WHEN m < 5 THEN m ELSE 0 END) / CAST(sum(m) AS DOUBLE), 6) AS tiny FROM (SELECT component, count(*) AS m FROM n JOIN") + " GROUP BY component) y"
+MIN3 = lambda v, f: f"SELECT r, c, own, CASE WHEN count(*) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 3 AND '{f}' = 'min' THEN 0 ELSE {f}({v}) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS {v} FROM (SELECT r, c, own, CASE WHEN count(*) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 3 AND '{f}' = 'min' THEN 0 ELSE {f}({v}) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS {v} FROM"
+THIN = f"{MIN3('v', 'max')} ({MIN3('v', 'min')} (SELECT r, c, CASE WHEN label = 1 THEN 1 ELSE 0 END AS own, CASE WHEN label = 1 THEN 1 ELSE 0 END AS v FROM pixels) a) b) d) e"
+both("thin_structures", f"SELECT r, c, own = 1 AND v = 0 AS thin FROM ({THIN}) z")
+both("thin_retention", f"SELECT round(avg(CASE WHEN p.pred = 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS retention, {N} AS thin_pixels FROM ({THIN}) z JOIN pixels p ON p.r = z.r AND p.c = z.c WHERE own = 1 AND v = 0")
+# blocks, splits, metrics
+both("block_ids", "SELECT r, c, block FROM blocks")
+both("distinct_blocks", "SELECT DISTINCT block FROM blocks WHERE valid")
+FOLDS = "SELECT block, CAST((row_number() OVER (ORDER BY block * 7919 % 1009, block) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT block FROM blocks WHERE valid) x"
+both("block_folds", f"SELECT b.r, b.c, coalesce(f.fold, -1) AS fold FROM blocks b LEFT JOIN ({FOLDS}) f ON b.block = f.block")
+both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1 AND pred = 1 AND r % 20 < 9) e ON e.block = b.block WHERE e.block IS NULL")
+SPLIT = "SELECT b.*, CASE WHEN NOT valid THEN NULL WHEN t.block IS NOT NULL THEN 'test' ELSE 'train' END AS side FROM blocks b LEFT JOIN (SELECT block FROM (SELECT block, row_number() OVER (ORDER BY block * 7919 % 1009, block) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM blocks WHERE valid) x) y WHERE k <= greatest(1, round(0.3 * n))) t ON t.block = b.block"
+both("block_split", f"SELECT r, c, side FROM ({SPLIT}) s")
+SIDE = lambda x: IF(f"side = '{x}'")
+both("split_summary", f"SELECT {SIDE('train')} AS n_train, {SIDE('test')} AS n_test, round(sum(CASE WHEN side = 'test' THEN 1.0E0 ELSE 0 END) / greatest(count(side), 1), 6) AS held_out FROM ({SPLIT}) s")
+both("class_coverage", f"SELECT label, {SIDE('train')} AS n_train, {SIDE('test')} AS n_test FROM ({SPLIT}) s GROUP BY label")
+both("mask_algebra", "SELECT r, c, valid AND label = 1 AS both_sets, valid OR label = 1 AS either, valid AND NOT label = 1 AS only_first FROM indexed")
+CONFUSION = "SELECT t.class_id AS truth, p.class_id AS pred, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT class_id FROM classes WHERE class_id IN (1, 2, 4, 5, 6, 7)) t CROSS JOIN (SELECT class_id FROM classes WHERE class_id IN (1, 2, 4, 5, 6, 7)) p LEFT JOIN (SELECT label, pred, count(*) AS n FROM pixels GROUP BY label, pred) x ON x.label = t.class_id AND x.pred = p.class_id"
+both("confusion_matrix", CONFUSION)
+both("recall_matrix", f"SELECT truth, pred, round(coalesce(n / nullif(CAST(sum(n) OVER (PARTITION BY truth) AS DOUBLE), 0), 0), 6) AS share FROM ({CONFUSION}) x")
+CLASSWISE = f"SELECT k, coalesce(CAST(hit AS DOUBLE) / nullif(predicted, 0), 0) AS p, coalesce(CAST(hit AS DOUBLE) / nullif(support, 0), 0) AS q, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, CAST(hit AS BIGINT) AS hit FROM (SELECT k, sum(CASE WHEN truth = k AND pred = k THEN n ELSE 0 END) AS hit, sum(CASE WHEN truth = k THEN n ELSE 0 END) AS support, sum(CASE WHEN pred = k THEN n ELSE 0 END) AS predicted FROM ({CONFUSION}) x CROSS JOIN (SELECT DISTINCT class_id AS k FROM classes WHERE class_id IN (1, 2, 4, 5, 6, 7)) c GROUP BY k) y"
+F1 = "CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END"
+both("per_class_metrics", f"SELECT k AS class_id, {R('p', 'prec')}, {R('q', 'recall')}, {R(F1, 'f1')}, support FROM ({CLASSWISE}) z")
+both("overall_metrics", f"SELECT round(po, 6) AS accuracy, round((po - pe) / (1 - pe), 6) AS kappa, {R('macro', 'macro_f1')}, {R('weighted', 'weighted_f1')}, n FROM (SELECT CAST(sum(hit) AS DOUBLE) / sum(support) AS po, sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe, avg({F1}) AS macro, sum({F1} * support) / sum(support) AS weighted, CAST(sum(support) AS BIGINT) AS n FROM ({CLASSWISE}) z) m")
+both("split_comparison", f"SELECT round(avg(CASE WHEN r % 3 = 0 AND label = pred THEN 1.0E0 WHEN r % 3 = 0 THEN 0.0E0 END) - avg(CASE WHEN side = 'test' AND label = pred THEN 1.0E0 WHEN side = 'test' THEN 0.0E0 END), 6) AS inflation FROM ({SPLIT}) s")
+both("drop_rare_classes", "SELECT r, c, CASE WHEN share >= 0.2 THEN label ELSE 0 END AS label FROM pixels JOIN (SELECT label AS l, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM pixels WHERE label <> 0 GROUP BY label) s ON l = label")
+both("zonal_stats", f"SELECT block AS zone, {N} AS pixels, round(100.0E0 * {IF('label = 6')} / count(*), 6) AS forest_pct, round(100.0E0 * {IF('label = 1')} / count(*), 6) AS built_pct, round(count(*) * 1e-4, 6) AS km2, round(least(count(*) / 400.0E0, 1), 6) AS coverage FROM blocks WHERE label > 0 GROUP BY block")
+# smoothing
+RIGHT = f"SELECT sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3)) AS d FROM ({STANDARD}) a JOIN ({STANDARD}) b ON a.valid AND b.valid AND "
+both("contrast_sigma", f"SELECT round({PERCENTILE('d', 0.5)}, 5) AS sigma FROM ({RIGHT} b.r = a.r AND b.c = a.c + 1 UNION ALL {RIGHT} b.r = a.r + 1 AND b.c = a.c) x")
+AROUND = "(SELECT -1 AS dr UNION ALL SELECT 0 UNION ALL SELECT 1) x CROSS JOIN (SELECT -1 AS dc UNION ALL SELECT 0 UNION ALL SELECT 1) y"
+both("uniform_kernels", f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN 1 / sqrt(dr * dr + dc * dc) ELSE 0 END, 6) AS w FROM indexed p CROSS JOIN {AROUND} JOIN indexed q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
+both("contrast_kernels", f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN exp(-((p.f1 - q.f1) * (p.f1 - q.f1) + (p.f2 - q.f2) * (p.f2 - q.f2) + (p.f3 - q.f3) * (p.f3 - q.f3)) / 2) / sqrt(dr * dr + dc * dc) ELSE 0 END, 5) AS w FROM ({STANDARD}) p CROSS JOIN {AROUND} JOIN ({STANDARD}) q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
+PROBS = "SELECT r, c, CASE WHEN label = 1 THEN 0.8E0 ELSE 0.1E0 END AS p0, CASE WHEN label = 2 THEN 0.8E0 ELSE 0.1E0 END AS p1, CASE WHEN label IN (1, 2) THEN 0.1E0 ELSE 0.8E0 END AS p2 FROM pixels"
+STEP = f"SELECT t.r, t.c, t.p0, t.p1, t.p2, exp(ln(t.p0) + 0.8E0 * coalesce(m0, 0)) AS u0, exp(ln(t.p1) + 0.8E0 * coalesce(m1, 0)) AS u1, exp(ln(t.p2) + 0.8E0 * coalesce(m2, 0)) AS u2 FROM ({PROBS}) t LEFT JOIN (SELECT p.r, p.c, sum(q.p0 / sqrt(dr * dr + dc * dc)) AS m0, sum(q.p1 / sqrt(dr * dr + dc * dc)) AS m1, sum(q.p2 / sqrt(dr * dr + dc * dc)) AS m2 FROM ({PROBS}) p CROSS JOIN {AROUND} JOIN ({PROBS}) q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0 GROUP BY p.r, p.c) m ON m.r = t.r AND m.c = t.c"
+fields = lambda s, d, k: raster.mean_field(run(s, d, PROBS).select("r", "c", F.array("p0", "p1", "p2").alias("p")), 0.8, k, 3)
+own("mean_field", lambda s, d: fields(s, d, 1).select("r", "c", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(3)]), f"SELECT r, c, round(u0 / (u0 + u1 + u2), 6) AS q0, round(u1 / (u0 + u1 + u2), 6) AS q1, round(u2 / (u0 + u1 + u2), 6) AS q2 FROM ({STEP}) z")
+own("mean_field_8", lambda s, d: fields(s, d, 8).select("r", "c", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(3)]), None)
+own("softmax", lambda s, d: run(s, d, PROBS).select("r", "c", raster.softmax(F.array("p0", "p1", "p2")).alias("q")).select("r", "c", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(3)]), f"SELECT r, c, round(exp(p0) / (exp(p0) + exp(p1) + exp(p2)), 6) AS q0, round(exp(p1) / (exp(p0) + exp(p1) + exp(p2)), 6) AS q1, round(exp(p2) / (exp(p0) + exp(p1) + exp(p2)), 6) AS q2 FROM ({PROBS}) z")
+both("argmax_label", f"SELECT r, c, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 1 WHEN p1 >= p2 THEN 2 ELSE 4 END AS label FROM ({PROBS}) z")
+own("map_labels", lambda s, d: fields(s, d, 1).select("r", "c", F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), F.array_position(F.transform("q", lambda x: F.round(x, 9)), F.round(F.array_max("q"), 9)).cast("int")).alias("label")), f"SELECT r, c, CASE WHEN round(u0 / (u0 + u1 + u2), 9) >= round(greatest(u1, u2) / (u0 + u1 + u2), 9) THEN 1 WHEN round(u1 / (u0 + u1 + u2), 9) >= round(u2 / (u0 + u1 + u2), 9) THEN 2 ELSE 4 END AS label FROM ({STEP}) z")
+THETAS = "SELECT CAST(p_size AS DOUBLE) / 4 AS theta, round(avg(p_retailprice), 4) AS dropped, round(avg(CASE WHEN p_partkey % 4 > 0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS retention FROM part GROUP BY p_size"
+both("select_theta", f"SELECT theta, dropped, retention FROM ({THETAS}) t WHERE retention >= 0.75 ORDER BY dropped, theta LIMIT 1")
+both("sweep_report", f"SELECT theta, metric, value FROM (SELECT theta, 'dropped' AS metric, dropped AS value FROM ({THETAS}) a UNION ALL SELECT theta, 'retention', retention FROM ({THETAS}) b) x")
+# polygons
+both("class_area", f"SELECT class_name, {N} AS n, round(sum(area) / 1e6, 6) AS km2 FROM named GROUP BY class_name")
+both("q_class_area", f"SELECT class_name, {N} AS n, round(sum(area) / 1e6, 6) AS km2, round(100 * sum(area) / sum(sum(area)) OVER (), 6) AS pct FROM named GROUP BY class_name ORDER BY km2 DESC, class_name")
+both("share_of_total", "SELECT class_id, round(100 * sum(area) / sum(sum(area)) OVER (), 6) AS pct FROM named GROUP BY class_id")
+both("filtered_sum", "SELECT class_id, round(sum(area) FILTER (WHERE area >= 20000), 4) AS large, round(sum(area) FILTER (WHERE area < 0), 4) AS none_of_them FROM named GROUP BY class_id")
+both("speck_filter", f"SELECT {IF('area >= 20000')} AS kept, {IF('area < 20000')} AS dropped, round(sum(CASE WHEN area < 20000 THEN area ELSE 0 END), 4) AS dropped_m2 FROM named")
+both("area_stats", f"SELECT class_id, round(min(area) / 1e4, 6) AS min_ha, round({PERCENTILE('area', 0.5)} / 1e4, 6) AS median_ha FROM named GROUP BY class_id")
+both("st_area", "SELECT poly_id, round((x0 * y0 - x1 * y0 + x1 * y1 - x0 * y1 + x0 * y1 - x0 * y0 + x1 * y0 - x1 * y1) / 2 + (x1 - x0) * (y1 - y0), 4) AS area FROM polys")
+both("st_perimeter", "SELECT poly_id, round(2 * (x1 - x0) + 2 * (y1 - y0), 4) AS perimeter FROM polys")
+both("compactness", "SELECT poly_id, round(4 * pi() * area / nullif(power(2 * (x1 - x0) + 2 * (y1 - y0), 2), 0), 6) AS compactness FROM named")
+both("st_intersects", "SELECT poly_id, greatest(p.x0, a.x0) <= least(p.x1, a.x1) AND greatest(p.y0, a.y0) <= least(p.y1, a.y1) AS meets FROM polys p CROSS JOIN aoi a")
+both("st_intersection_area", "SELECT poly_id, round(greatest(least(p.x1, a.x1) - greatest(p.x0, a.x0), 0) * greatest(least(p.y1, a.y1) - greatest(p.y0, a.y0), 0), 4) AS area FROM polys p CROSS JOIN aoi a")
+both("grid_snap", "SELECT poly_id, CAST(floor((x0 + 3) / 20) * 2 AS BIGINT) AS col0, CAST(floor((y0 + 3) / 20) * 2 AS BIGINT) AS row0, CAST(ceil((x1 + 3) / 20) * 2 - floor((x0 + 3) / 20) * 2 AS BIGINT) AS width, CAST(ceil((y1 + 3) / 20) * 2 - floor((y0 + 3) / 20) * 2 AS BIGINT) AS height FROM polys")
+own("rasterise", lambda s, d: run(s, d, "SELECT class_id, area, CAST(ceil((x0 - 50) / 100) AS BIGINT) AS a, CAST(ceil((x1 - 50) / 100) AS BIGINT) - 1 AS b, CAST(ceil((y0 - 50) / 100) AS BIGINT) AS e, CAST(ceil((y1 - 50) / 100) AS BIGINT) - 1 AS f, poly_id FROM named").where("a <= b and e <= f").select("class_id", "area", "poly_id", F.explode(F.sequence("a", "b")).alias("c"), "e", "f").select("class_id", "area", "poly_id", "c", F.explode(F.sequence("e", "f")).alias("r")).groupBy("r", "c").agg(F.max_by("class_id", F.struct(-F.col("area"), -F.col("poly_id"))).alias("class_id")), "SELECT r, c, class_id FROM (SELECT r, c, class_id, row_number() OVER (PARTITION BY r, c ORDER BY area, poly_id) AS k FROM named JOIN (SELECT range AS c FROM range(0, 300)) x ON c * 100.0 + 50 >= x0 AND c * 100.0 + 50 < x1 JOIN (SELECT range AS r FROM range(0, 300)) y ON r * 100.0 + 50 >= y0 AND r * 100.0 + 50 < y1) z WHERE k = 1")
+both("code_lookup", "SELECT ref_id, class_id FROM reference")
+both("name_lookup", "SELECT p.poly_id, coalesce(k.class_name, '?') AS class_name FROM polys p LEFT JOIN (SELECT * FROM classes WHERE class_id <> 7) k ON k.class_id = p.class_id")
+both("assign_classes", "SELECT ref_id, class_id, class_name FROM reference WHERE class_id IS NOT NULL")
+FOREST, OTHER = "class_name LIKE '%forest%'", "class_name IS DISTINCT FROM 'Artificial surfaces'"
+both("predicates", f"SELECT {IF(FOREST)} AS forest, {IF('class_name IS NOT NULL')} AS named_rows, {IF(OTHER)} AS not_built FROM reference")
+both("load_report", f"SELECT 'named' AS name, {N} AS n FROM named UNION ALL SELECT 'communes', {N} FROM communes UNION ALL SELECT 'reference', {N} FROM reference UNION ALL SELECT 'aoi', {N} FROM aoi")
+both("commune_aoi", "SELECT lau2, commune, canton, round(commune_area_km2, 6) AS commune_area_km2, round(covered_area_km2, 6) AS covered_area_km2, round(covered_fraction, 6) AS covered_fraction FROM commune_aoi_v")
+both("join_aoi", "SELECT lau2, round(covered_area_km2, 6) AS km2 FROM commune_aoi_v")
+both("choropleth_bins", "SELECT lau2, CASE WHEN covered_fraction < 0.9 THEN 'not rated' WHEN covered_fraction * 65 < 30 THEN '<30' WHEN covered_fraction * 65 < 40 THEN '30-40' WHEN covered_fraction * 65 < 50 THEN '40-50' WHEN covered_fraction * 65 < 60 THEN '50-60' ELSE '>60' END AS bin FROM commune_aoi_v")
+paired("spatial_join", "SELECT lau2, poly_id, round(area, 4) AS area FROM commune_polys")
+COVER = "SELECT lau2, commune, class_name, sum(area) / 1e6 AS km2 FROM commune_polys WHERE covered_fraction >= 0.9 GROUP BY lau2, commune, class_name"
+SHARES = f"SELECT lau2, commune, round(sum(km2), 6) AS km2, round(100 * sum(km2) FILTER (WHERE class_name LIKE '%forest%') / nullif(sum(km2), 0), 6) AS forest_pct, round(100 * sum(km2) FILTER (WHERE class_name = 'Artificial surfaces') / nullif(sum(km2), 0), 6) AS built_pct FROM ({COVER}) c GROUP BY lau2, commune"
+paired("two_level_agg", f"SELECT lau2, class_name, round(km2, 6) AS km2 FROM ({COVER}) c")
+paired("q_commune_cover", f"SELECT * FROM ({SHARES}) s ORDER BY forest_pct DESC NULLS FIRST, lau2")
+paired("q_top_built", f"SELECT lau2, commune, built_pct FROM ({SHARES}) s ORDER BY built_pct DESC NULLS LAST, lau2 LIMIT 5")
+paired("join_using", f"SELECT lau2, s.forest_pct, round(g.covered_fraction, 6) AS covered_fraction FROM ({SHARES}) s JOIN commune_aoi_v g USING (lau2)")
+paired("q_choropleth", f"SELECT lau2, s.commune, s.forest_pct, s.built_pct, g.x0, g.y0, g.x1, g.y1 FROM ({SHARES}) s JOIN commune_aoi_v g USING (lau2)")
+CLIP = "greatest(least({t}.x1, a.x1) - greatest({t}.x0, a.x0), 0) * greatest(least({t}.y1, a.y1) - greatest({t}.y0, a.y0), 0) / 1e6"
+AREAS = f"SELECT coalesce(p.class_name, q.class_name) AS class_name, round(coalesce(p.km2, 0), 6) AS predicted, round(coalesce(q.km2, 0), 6) AS ref_km2, round(100 * (coalesce(p.km2, 0) - q.km2) / nullif(q.km2, 0), 6) AS diff_pct FROM (SELECT class_name, sum({CLIP.format(t='t')}) AS km2 FROM named t CROSS JOIN aoi a GROUP BY class_name) p FULL OUTER JOIN (SELECT class_name, sum({CLIP.format(t='u')}) AS km2 FROM reference u CROSS JOIN aoi a WHERE class_name IS NOT NULL GROUP BY class_name) q ON p.class_name = q.class_name"
+both("full_outer", AREAS)
+both("q_pred_vs_ref", f"SELECT * FROM ({AREAS}) z ORDER BY ref_km2 DESC, class_name")
+NEW = "SELECT g.lau2, g.commune, sum(greatest(least(x.x1, g.ix1) - greatest(x.x0, g.ix0), 0) * greatest(least(x.y1, g.iy1) - greatest(x.y0, g.iy0), 0)) / 1e6 AS km2 FROM poly_reference x JOIN commune_aoi_v g ON greatest(x.x0, g.ix0) <= least(x.x1, g.ix1) AND greatest(x.y0, g.iy0) <= least(x.y1, g.iy1) WHERE x.class_id = 1 AND x.ref_name IS DISTINCT FROM 'Artificial surfaces' AND g.covered_fraction >= 0.9 GROUP BY g.lau2, g.commune"
+paired("spatial_join3", f"SELECT lau2, round(km2, 6) AS km2 FROM ({NEW}) z")
+paired("q_new_built", f"SELECT lau2, commune, round(km2, 6) AS km2 FROM ({NEW}) z ORDER BY round(km2, 6) DESC, lau2 LIMIT 10")
+PATCHES = "SELECT poly_id, class_name, area, 2 * (x1 - x0) + 2 * (y1 - y0) AS len FROM named WHERE class_name LIKE '%forest%' ORDER BY area DESC, poly_id LIMIT 10"
+both("topk", f"SELECT poly_id, round(area, 4) AS area FROM ({PATCHES}) t")
+both("patch_rank", f"SELECT CAST(row_number() OVER (ORDER BY area DESC, poly_id) AS BIGINT) AS k, poly_id FROM ({PATCHES}) t")
+both("q_forest_patches", f"SELECT CAST(row_number() OVER (ORDER BY area DESC, poly_id) AS BIGINT) AS k, class_name, round(area / 1e6, 6) AS km2, round(4 * pi() * area / nullif(power(len, 2), 0), 6) AS compactness FROM ({PATCHES}) t")
