@@ -36,12 +36,12 @@ FREQUENT, LISTED = 8, 1_000_000
 FRAGMENTS = 8
 #: Rows of (id, key) up to which they are sent to all tasks instead of shuffled to.
 SENT_ROWS = 1_000_000
-#: Bits of a parity bitmap, in 64-bit words.
-BITMAP = 8
+#: Bits of a parity bitmap, in 64-bit words: of a whole set, and of each fragment of a set of more than LARGE n-grams.
+BITMAP, FRAGMENT_BITMAP, LARGE = 8, 32, 1_200
 
 KEYS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType())])
 PROFILES = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(f"b{i}", T.LongType()) for i in range(BITMAP)], T.StructField("tokens", T.ArrayType(T.LongType()))])
-PARTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("part", T.ArrayType(T.LongType()))])
+PARTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("part", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -72,6 +72,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
+def parity(own: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of so many 64-bit words: each n-gram turns one bit."""
+    odd = np.bincount((own & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _counted(words: int, percent: int):
     """The n-grams of one and a half prefixes by hash: those that the order may put first."""
 
@@ -102,8 +108,7 @@ def _profiled(words: int, percent: int, frequent):
         for keys, sets in _sets(batches, words):
             bits = np.zeros((len(sets), BITMAP), np.int64)
             for i, s in enumerate(sets):
-                odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
-                bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                bits[i] = parity(s, BITMAP)
             columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(BITMAP)), _lists([prefix(s, listed, counts) for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, names=PROFILES.names)
 
@@ -116,7 +121,9 @@ def _parted(words: int, fragments: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sets(batches, words):
             cut = [p for s in sets for p in np.split(s, np.searchsorted(s, edges))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), fragments)), pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(keys))), _lists(cut)], names=PARTS.names)
+            large = np.repeat([len(s) > LARGE for s in sets], fragments).tolist()
+            bits = [parity(p, FRAGMENT_BITMAP).view(np.uint64) if x else p[:0] for p, x in zip(cut, large, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), fragments)), pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(keys))), _lists(cut), _lists(bits)], names=PARTS.names)
 
     return read
 
@@ -159,18 +166,27 @@ class Join:
         frequent = self.spark.sparkContext.broadcast((listed[order], n[order]))
         return stash(own.mapInArrow(_profiled(self.words, self.percent, frequent), PROFILES))
 
-    def links(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-        """pairs: a, b (keys); sizes: key, n. Those that are as similar as asked for."""
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """pairs: a, b (keys), na, nb (sizes). a and b of those that are as similar as asked for."""
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         members = stash(self.classes.join(asked, "key", "left_semi"))
         parts = stash(self._of(members).mapInArrow(_parted(self.words, FRAGMENTS), PARTS))
-        each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-        left = each.join(parts.select(F.col("key").alias("a"), "fragment", F.col("part").alias("part_a")), ["a", "fragment"])
-        met = left.join(parts.select(F.col("key").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
-        partial = met.select("a", "b", "fragment", F.size(F.array_intersect("part_a", "part_b")).alias("shared")).distinct()
-        overlap = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-        sized = overlap.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where((100 + self.percent) * F.col("shared") >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+        def by_fragment(some: DataFrame, column: str, count: Column) -> DataFrame:
+            """The pairs with the sum of what is counted in each fragment apart."""
+            each = some.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+            side = lambda c: parts.select(F.col("key").alias(c), "fragment", F.col(column).alias(f"of_{c}"))
+            met = each.join(side("a"), ["a", "fragment"]).join(side("b"), ["b", "fragment"])
+            partial = met.select("a", "b", "na", "nb", "fragment", count.alias("counted")).distinct()
+            return partial.groupBy("a", "b", "na", "nb").agg(F.sum("counted").alias("counted"))
+
+        both = F.col("na") + F.col("nb")
+        large = F.least("na", "nb") > LARGE
+        differing = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        possible = by_fragment(pairs.where(large), "bits", differing).where((100 + self.percent) * (both - F.col("counted")) >= 2 * self.percent * both)
+        left = stash(pairs.where(~large).unionByName(possible.select(pairs.columns)))
+        overlap = by_fragment(left, "part", F.size(F.array_intersect("of_a", "of_b")))
+        return overlap.where((100 + self.percent) * F.col("counted") >= self.percent * both).select("a", "b")
 
     def run(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id for each row with an id."""
@@ -183,8 +199,8 @@ class Join:
         shared = stash(tokens.join(met, "token"))
         star = shared.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
         near = star.join(shape.alias("p"), F.col("a") == F.col("p.key")).join(shape.alias("q"), F.col("b") == F.col("q.key")).where(_possible("p", "q", self.percent))
-        first = stash(near.select("a", "b"))
-        linked = stash(self.links(first, sizes))
+        first = stash(near.select("a", "b", F.col("p.n").alias("na"), F.col("q.n").alias("nb")))
+        linked = stash(self.links(first))
         found = stash(components(linked))
         # n-grams whose classes are in several components
         placed = shared.select("token", "before", "key").join(found, F.col("key") == F.col("id"), "left").select("token", "before", "key", F.coalesce("component", "key").alias("component"))
@@ -192,9 +208,9 @@ class Join:
         rows = stash(placed.join(mixed, "token", "left_semi").join(shape, "key"))
         p, q = rows.alias("p"), rows.alias("q")
         new = (F.col("p.key") < F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & ~F.col("p.before").eqNullSafe(F.coalesce(F.col("q.before"), F.col("q.token")))
-        across = p.join(q, (F.col("p.token") == F.col("q.token")) & new & _possible("p", "q", self.percent)).select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
-        second = stash(across.join(first, ["a", "b"], "left_anti"))
-        whole = components(linked.unionByName(self.links(second, sizes)))
+        across = p.join(q, (F.col("p.token") == F.col("q.token")) & new & _possible("p", "q", self.percent)).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+        second = stash(across.join(first, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+        whole = components(linked.unionByName(self.links(second)))
         owner = self.classes.join(whole, F.col("key") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
         smallest = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         of_key = owner.select("key", "component").join(smallest, "component").join(sizes, "key").select("key", "component_id", "n")

@@ -55,6 +55,13 @@ def test_components_match_brute_force(spark, docs, n, percent):
     assert [found[i] for i in range(len(texts))] == brute(texts, n, percent)
 
 
+def test_large_sets_match_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 50)
+    texts = corpus(11, 100)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == [c for _, c in brute(texts, 3, 90)]
+
+
 def test_repeated_rows_and_ids(spark):
     a, b = "x y z u v w", "p q r s t u"
     rows = [(5, a), (5, b), (3, b), (7, a), (7, a), (None, a), (None, "other words here"), (9, None), (9, None)]
