@@ -160,7 +160,7 @@ both("block_ids", "SELECT r, c, block FROM blocks")
 both("distinct_blocks", "SELECT DISTINCT block FROM blocks WHERE valid")
 FOLDS = "SELECT block, CAST((row_number() OVER (ORDER BY block * 7919 % 1009, block) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT block FROM blocks WHERE valid) x"
 both("block_folds", f"SELECT b.r, b.c, coalesce(f.fold, -1) AS fold FROM blocks b LEFT JOIN ({FOLDS}) f ON b.block = f.block")
-both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1 AND pred = 1 AND r % 20 < 9) e ON e.block = b.block WHERE e.block IS NULL")
+both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1 AND r % 20 = 0 AND c % 20 < 4) e ON e.block = b.block WHERE e.block IS NULL")
 SPLIT = "SELECT b.*, CASE WHEN NOT valid THEN NULL WHEN t.block IS NOT NULL THEN 'test' ELSE 'train' END AS side FROM blocks b LEFT JOIN (SELECT block FROM (SELECT block, row_number() OVER (ORDER BY block * 7919 % 1009, block) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM blocks WHERE valid) x) y WHERE k <= greatest(1, round(0.3 * n))) t ON t.block = b.block"
 both("block_split", f"SELECT r, c, side FROM ({SPLIT}) s")
 SIDE = lambda x: IF(f"side = '{x}'")
