@@ -108,7 +108,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         .select("leaf", "line", F.xxhash64("leaf", "constants", "template").alias("template"))
     )
     shaped = stash(lines.select("doc_id", "leaf", "line", "around").join(templates, ["leaf", "line"]))
-    recurring = (
+    recurring = stash(
         shaped.groupBy("template", "doc_id")
         .agg(F.min("around").alias("around"))
         .groupBy("template", "around")
@@ -118,7 +118,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         .where((F.col("documents") >= min_docs) & (F.col("different") >= surroundings * F.col("documents")))
         .select("template")
     )
-    return shaped.join(recurring, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    # a template may hold a large share of all lines, so rows are not dealt by it if the list of templates can be sent
+    few = recurring.count() <= SENT_ROWS
+    return shaped.join(F.broadcast(recurring) if few else recurring, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def _cleaned(schema: T.StructType):
