@@ -2,9 +2,13 @@
 
 A line's leaf is its number of tokens and its leading tokens, where a token with a digit is a variable field. Within a leaf a
 token is constant at its place if enough lines have it there; other places are variable fields. Lines of a leaf with the
-same constants have one template, if enough of their tokens are constant. A template recurs if at least `min_docs` documents
-have it and a share SURROUNDINGS of these differ in the leaf of their longest other line: copies of whole documents, which
-near-duplicate stages handle, repeat their other lines too. Lines of recurring templates are dropped.
+same constants have one template, if enough of their tokens are constant. A template that at least `min_docs` documents have is
+a candidate. It recurs if these documents have at least `min_docs` different surroundings, and then its lines are dropped.
+
+A document's surrounding is the smallest hash of its own lines: those without a candidate template and without a sketched run of
+tokens that `min_docs` documents hold. So neither copies of whole documents, slightly changed ones among them, nor lines that
+stand together with the template decide, whatever share of the rows they are. For a document without own lines it is the smallest
+recurring hash of its other lines. Copies with wholly rewritten lines count as different.
 
 A null text stays null and an empty one empty; documents stay, even if all their lines go. Blank lines are kept and have no
 template. Each row counts as a document, by its id; repeated rows with one id count once. Null ids count as one document.
@@ -22,17 +26,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import as_bytes, load, stash, word_hashes
+from loamgrid.llm.common import as_bytes, load, stash, windows, word_hashes
 
-DEPTH, MIN_DOCS, SIMILARITY, SURROUNDINGS = 3, 10, 0.5, 0.5
+DEPTH, MIN_DOCS, SIMILARITY = 3, 10, 0.5
+#: Tokens of a run, and runs (the smallest hashes) of a line's sketch.
+RUN, SKETCH = 5, 4
 #: Rows of a table up to which it is sent to all tasks instead of shuffled to.
 SENT_ROWS = 1_000_000
 
 DIGITS = re.compile(rb"[0-9]")
 FIELD = b"<*>"
 
-LEAVES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("leaf", T.LongType())])
-LINES = T.StructType([*LEAVES.fields, T.StructField("line", T.LongType()), T.StructField("around", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+LINES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "leaf", "line")), T.StructField("tokens", T.ArrayType(T.LongType()))])
+#: leaf is null but for the first line of a leaf in a document.
+SKETCHES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "leaf", "line")), T.StructField("runs", T.ArrayType(T.LongType()))])
 
 
 def tokens_of(line: bytes) -> list[bytes]:
@@ -49,20 +56,26 @@ def line_of(tokens: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(tokens)) >> 1
 
 
-def _leaves(depth: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, leaves = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                found = {leaf_of(t, depth) for line in (text or b"").split(b"\n") if (t := tokens_of(line))}
-                ids += [doc_id] * len(found)
-                leaves += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64())], names=LEAVES.names)
+def sketches_of(lines: np.ndarray, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hashes of runs of each line, one line after the other, and where each line's end; a line shorter than a run has its own hash."""
+    sizes = np.array([len(x) for x in hashed], np.int64)
+    short = np.flatnonzero(sizes < RUN)
+    place, runs = short, lines[short].view(np.uint64)
+    if sizes.sum() >= RUN:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        within = owner[RUN - 1 :] == owner[: len(owner) - RUN + 1]
+        place, runs = np.concatenate([place, owner[: len(within)][within]]), np.concatenate([runs, windows(np.concatenate(hashed), RUN)[within]])
+    order = np.lexsort((runs, place))
+    place, runs = place[order], runs[order]
+    new = np.append(True, (place[1:] != place[:-1]) | (runs[1:] != runs[:-1]))[: len(place)]
+    place, runs = place[new], runs[new]
+    kept = np.arange(len(place)) - np.searchsorted(place, place) < SKETCH
+    return runs[kept], np.concatenate([[0], np.cumsum(np.bincount(place[kept], minlength=len(sizes)))])
 
-    return read
 
+def _read(depth: int, sketched: bool):
+    """Rows of SKETCHES or of LINES: each line once for each document."""
 
-def _lines(depth: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
         for whole in batches:
@@ -71,31 +84,50 @@ def _lines(depth: int):
                 rows: list[tuple] = []
                 hashed: list[np.ndarray] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                    split = [t for line in (text or b"").split(b"\n") if (t := tokens_of(line))]
-                    leaves = [leaf_of(t, depth) for t in split]
-                    longest = max(range(len(split)), key=lambda i: len(split[i]), default=-1)
-                    second = max((i for i in range(len(split)) if leaves[i] != leaves[longest]), key=lambda i: len(split[i]), default=-1)
-                    seen = set()
-                    for t, leaf in zip(split, leaves, strict=True):
-                        if (line := line_of(t)) not in seen:
+                    seen, met = set(), set()
+                    for own in (text or b"").split(b"\n"):
+                        if (t := tokens_of(own)) and (line := line_of(t)) not in seen:
                             seen.add(line)
-                            other = second if leaf == leaves[longest] else longest
-                            rows.append((doc_id, leaf, line, leaves[other] if other >= 0 else 0))
+                            leaf = leaf_of(t, depth)
+                            rows.append((doc_id, None if sketched and leaf in met else leaf, line))
+                            met.add(leaf)
                             hashed.append(known.of(t))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in hashed])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(hashed) if hashed else np.empty(0, np.uint64)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), tokens], names=LINES.names)
+                columns = list(zip(*rows, strict=True)) or [()] * 3
+                if sketched:
+                    values, ends = sketches_of(np.array(columns[2], np.int64), hashed)
+                else:
+                    values, ends = np.concatenate(hashed) if hashed else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in hashed])])
+                arrays = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), arrays], names=(SKETCHES if sketched else LINES).names)
 
     return read
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, surroundings: float = SURROUNDINGS) -> DataFrame:
+def sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
+def surroundings(sketches: DataFrame, candidates: DataFrame, min_docs: int) -> DataFrame:
+    """id, own, others: a document's id, the smallest hash of its own lines, and the smallest recurring hashes of two of its lines. candidates: line."""
+    runs = sketches.select("doc_id", "line", F.explode("runs").alias("run"))
+    common = stash(runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("run", F.lit(True).alias("common")))
+    by_line = (
+        runs.join(sent(common), "run", "left")
+        .groupBy("doc_id", "line")
+        .agg(F.min(F.when(F.col("common").isNull(), F.col("run"))).alias("fresh"), F.min(F.when(F.col("common"), F.col("run"))).alias("low"))
+        .join(sent(candidates.withColumn("candidate", F.lit(True))), "line", "left")
+    )
+    own = F.when(F.col("low").isNull() & F.col("candidate").isNull(), F.col("fresh"))
+    low = F.when(F.col("low").isNotNull(), F.struct("low", "line"))
+    return by_line.groupBy(F.col("doc_id").alias("id")).agg(F.min(own).alias("own"), F.slice(F.array_sort(F.collect_set(low)), 1, 2).alias("others"))
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, lines: hashes of a document's lines that have a recurring template."""
     texts = docs.select("doc_id", "text")
-    leaves = stash(texts.mapInArrow(_leaves(depth), LEAVES).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    small = leaves.count() <= SENT_ROWS
-    lines = stash(texts.mapInArrow(_lines(depth), LINES).join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi"))
+    sketches = stash(texts.mapInArrow(_read(depth, True), SKETCHES))
+    leaves = stash(sketches.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
+    lines = stash(texts.mapInArrow(_read(depth, False), LINES).join(sent(leaves), "leaf", "left_semi"))
     distinct = stash(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.any_value("tokens").alias("tokens")))
     at = distinct.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
     constant = at.groupBy("leaf", "place", "token").agg(F.sum("n").alias("with")).where(F.col("with") >= min_docs)
@@ -107,20 +139,25 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         .where(F.col("constants") >= similarity * F.col("size"))
         .select("leaf", "line", F.xxhash64("leaf", "constants", "template").alias("template"))
     )
-    shaped = stash(lines.select("doc_id", "leaf", "line", "around").join(templates, ["leaf", "line"]))
+    shaped = stash(lines.select("doc_id", "leaf", "line").join(templates, ["leaf", "line"]))
+    held = shaped.groupBy("template", "doc_id").agg(F.min("line").alias("line"))
+    enough = stash(held.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template"))
+    shaped = stash(shaped.join(sent(enough), "template", "left_semi").select("template", "doc_id", "line"))
+    around = surroundings(sketches, stash(shaped.select("line").distinct()), min_docs)
+    other = F.coalesce("own", F.expr("get(filter(others, x -> x.line <> line), 0).low"), F.lit(0))
     recurring = stash(
         shaped.groupBy("template", "doc_id")
-        .agg(F.min("around").alias("around"))
-        .groupBy("template", "around")
-        .agg(F.count("*").alias("n"))
+        .agg(F.min("line").alias("line"))
+        .join(around, F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("template", other.alias("around"))
+        .distinct()
         .groupBy("template")
-        .agg(F.sum("n").alias("documents"), F.count("*").alias("different"))
-        .where((F.col("documents") >= min_docs) & (F.col("different") >= surroundings * F.col("documents")))
+        .agg(F.count("*").alias("different"))
+        .where(F.col("different") >= min_docs)
         .select("template")
     )
     # a template may hold a large share of all lines, so rows are not dealt by it if the list of templates can be sent
-    few = recurring.count() <= SENT_ROWS
-    return shaped.join(F.broadcast(recurring) if few else recurring, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return shaped.join(sent(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def _cleaned(schema: T.StructType):

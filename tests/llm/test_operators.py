@@ -100,6 +100,25 @@ def test_line_dedup_drops_recurring_templates_only(spark, docs):
     assert all(r["text"] == PROSE[1] + "\n" + PROSE[2] for r in line_dedup.drop_recurring_lines(copies).collect())
 
 
+def test_line_dedup_counts_surroundings_absolutely(spark, docs):
+    own = [" ".join(R.choice(VOCABULARY) for _ in range(8)) for _ in range(60)]
+    line, passage = "all rights in this text are held by the house", [" ".join(R.choice(VOCABULARY) for _ in range(30)) for _ in range(3)]
+    changed = [" ".join(R.choice(VOCABULARY) for _ in range(40)).split() for _ in range(3)]
+
+    def near(i):  # copies with one word changed in one line
+        new = [list(x) for x in changed]
+        new[i % 3][7 + i % 30] = f"w{VOCABULARY[i]}"
+        return "\n".join(" ".join(x) for x in new)
+
+    copies = [f"{PROSE[1]}\n{PROSE[2]}\n{line}"] * 40
+    different = [f"{x}\n{line}" for x in own[:20]]
+    together = ["\n".join([x, *passage]) for x in own[20:40]]
+    texts = [*copies, *different, *together, *map(near, range(40)), line]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(docs(texts)).collect()}
+    want = [*[f"{PROSE[1]}\n{PROSE[2]}"] * 40, *own[:40], *texts[80:120], ""]
+    assert [rows[i] for i in range(len(texts))] == want
+
+
 def test_sharding_balances_and_keeps_copies_together(spark, docs):
     texts = [*TEXTS, *["same text"] * 6]
     rows = sharding.shards(docs(texts), n_shards=5).collect()
