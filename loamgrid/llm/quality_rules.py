@@ -3,6 +3,8 @@ and a document that loses too much of its text is rejected.
 
 A null text counts as empty. An empty document has no words, fails the base rules and is rejected. Each row is judged
 alone, so repeated rows get the same verdict; further columns stay as they are, only doc_id and text are read.
+
+The counts are those of the whole text. The text that is returned lacks the failing lines; blank lines stay, and so does null.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ UPPER, LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode()
 CONTINUED = bytes(range(0x80, 0xC0))
 
 SCHEMA = T.StructType(
-    [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("n_failed_lines", T.LongType()), T.StructField("n_lost_words", T.LongType()), T.StructField("kept", T.BooleanType())]
+    [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("n_failed_lines", T.LongType()), T.StructField("n_lost_words", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("text", T.StringType())]
 )
 
 
@@ -54,7 +56,7 @@ def line_fails(line: bytes, words: list[bytes], phrases: list[bytes]) -> bool:
     return bool(phrases) and any(p in line.lower() for p in phrases)
 
 
-def judge(text: bytes) -> tuple[int, int, int, int, int, bool, int, int, bool]:
+def judge(text: bytes) -> tuple[int, int, int, int, int, bool, int, int, bool, bytes]:
     """All columns of SCHEMA after doc_id."""
     words = text.split()
     n = len(words)
@@ -62,7 +64,7 @@ def judge(text: bytes) -> tuple[int, int, int, int, int, bool, int, int, bool]:
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     lower = text.lower()
     phrases = [p for p in BOILERPLATE if p in lower]
-    seen, dup, failed, lost = set(), 0, 0, 0
+    seen, dup, failed, lost, left = set(), 0, 0, 0, []
     for line in text.split(b"\n"):
         if own := line.split():
             dup += line in seen
@@ -70,6 +72,8 @@ def judge(text: bytes) -> tuple[int, int, int, int, int, bool, int, int, bool]:
             if line_fails(line, own, phrases):
                 failed += 1
                 lost += len(own)
+                continue
+        left.append(line)
     repeated = 0
     if n > WINDOW:
         h = windows(hash_words(text, lower=False), WINDOW)
@@ -83,30 +87,33 @@ def judge(text: bytes) -> tuple[int, int, int, int, int, bool, int, int, bool]:
             np.add.at(edge, at + WINDOW, -1)
             repeated = int((np.cumsum(edge)[:n] > 0).sum())
     base_failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
-    return n, word_chars, n_symbols, dup, repeated, base_failed, failed, lost, not base_failed and lost <= MOST_LOST * n
+    return n, word_chars, n_symbols, dup, repeated, base_failed, failed, lost, not base_failed and lost <= MOST_LOST * n, b"\n".join(left) if failed else text
 
 
 def _judged(batches):
     for batch in batches:
-        rows = [judge(t or b"") for t in as_bytes(batch.column(1))]
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
+        rows = [judge(t) if t is not None else (*judge(b"")[:-1], None) for t in as_bytes(batch.column(1))]
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
+        texts = pa.array(columns.pop(), pa.binary()).cast(pa.string())
         kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 2 + [pa.bool_()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=SCHEMA.names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), texts], names=SCHEMA.names)
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: the counts, the base verdict, and whether the document is kept. No shuffle."""
+    """One row for each row of docs: the counts, the base verdict, whether the document is kept, and its text without the failing lines. No shuffle."""
     return docs.select("doc_id", "text").mapInArrow(_judged, SCHEMA)
 
 
 def _kept(batches):
     for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        yield batch.filter(pa.array([judge(t or b"")[-1] for t in texts], pa.bool_()))
+        rows = [judge(t or b"") for t in as_bytes(batch.column("text"))]
+        texts = pa.array([x[-1] for x in rows], pa.binary()).cast(pa.string())  # a null text is never kept
+        whole = [texts if c == "text" else batch.column(c) for c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(whole, names=batch.schema.names).filter(pa.array([x[-2] for x in rows], pa.bool_()))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep; their texts stay whole."""
+    """The rows of docs, all columns, that the rules keep, without the failing lines."""
     return docs.mapInArrow(_kept, docs.schema)
 
 
