@@ -4,9 +4,9 @@ Features are rates of whole texts: densities of a fixed word list and of a list
 second-person words near listed words, capitals, punctuation, and obfuscated spellings (signs within words, repeated letters).
 Labels of training rows alone are learned from; no id, source, language or label is an input.
 
-The learned list holds the words with the highest log odds of a toxic label, LEXICON at most. Trees are fitted on a bounded
-sample of labelled training rows (TRAIN_TOXIC and TRAIN_CLEAN at most, by hash of the id), calibration on others of the
-training rows (CALIBRATE at most). Null and empty texts have all features 0 and get the score that such features get. Rows
+The learned list holds the words with the highest log odds of a toxic label, LEXICON at most. Labelled training
+rows are sampled by hash of the id, TRAIN_TOXIC + CALIBRATE / 4 toxic and TRAIN_CLEAN + CALIBRATE clean ones at most; trees and list
+are fitted on about half of them, the calibration on the others, weighted to the labels' shares among all training rows. Null and empty texts have all features 0 and get the score that such features get. Rows
 without a label are scored like others. Without training rows of both labels every score is the share of toxic labels.
 """
 
@@ -131,13 +131,13 @@ def with_features(docs: DataFrame, learned: dict[bytes, float]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rate, SCORED)
 
 
-def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the scores' break points and the rising shares of label 1, drawn towards the mean by one row."""
     order = np.argsort(scores, kind="stable")
-    mean = float(labels.mean()) if len(labels) else 0.0
+    mean = float(np.average(labels, weights=weights)) if len(labels) else 0.0
     pools: list[list[float]] = []  # sum, weight, lowest score, highest
-    for s, y in zip(scores[order].tolist(), labels[order].tolist(), strict=True):
-        pools.append([y, 1.0, s, s])
+    for s, y, n in zip(scores[order].tolist(), labels[order].tolist(), weights[order].tolist(), strict=True):
+        pools.append([y * n, n, s, s])
         while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
             a, w, _, high = pools.pop()
             pools[-1][0] += a
@@ -152,9 +152,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs. Labels join the documents by id; texts aren't shuffled twice."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
-    # bounded samples by hash: the first rows of each label train, the next calibrate
+    # bounded samples by hash
     part = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(n)
     chosen = stash(part(1, TRAIN_TOXIC + CALIBRATE // 4).unionByName(part(0, TRAIN_CLEAN + CALIBRATE)))
+    shares = [{int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()} for rows in (known, chosen)]
+    weight = {y: shares[0][y] / n for y, n in shares[1].items()}
     sample = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))
     train = sample.where(fold == 0)
@@ -164,12 +166,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = {(r["fold"], r["label"]): r["count"] for r in split.groupBy("fold", "label").count().collect()}
     result = lambda score, rows: rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
     if not counts.get((0, 0.0)) or not counts.get((0, 1.0)):
-        toxic, every = sum(n for (_, y), n in counts.items() if y), sum(counts.values())
+        toxic, every = sum(n * weight[int(y)] for (_, y), n in counts.items() if y), sum(n * weight[int(y)] for (_, y), n in counts.items())
         return result(F.lit(toxic / every if every else 0.0), docs)
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5, seed=5, cacheNodeIds=False).fit(split.where("fold = 0").repartition(6, "doc_id"))
     raw = lambda rows: model.transform(rows).select("doc_id", F.element_at(vector_to_array("rawPrediction"), 2).alias("raw"), *[c for c in ("label",) if c in rows.columns])
     calibration = raw(split.where("fold = 1")).select("raw", "label").toPandas()  # CALIBRATE rows and a quarter at most
-    x, y = isotonic(calibration["raw"].to_numpy(), calibration["label"].to_numpy()) if len(calibration) else (np.array([0.0]), np.array([0.5]))
+    x, y = isotonic(calibration["raw"].to_numpy(), calibration["label"].to_numpy(), calibration["label"].map(weight).to_numpy()) if len(calibration) else (np.array([0.0]), np.array([0.5]))
     return result(F.col("score"), _calibrated(raw(with_features(docs, learned).select("doc_id", array_to_vector("features").alias("x"))), x, y))
 
 

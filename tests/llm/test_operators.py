@@ -156,6 +156,16 @@ def test_toxicity_separates_held_out_rows(spark, docs):
     assert [x["score"] for x in none] == [0.0, 0.0]
 
 
+def test_toxicity_is_calibrated_to_all_training_rows(spark, docs, monkeypatch):
+    for name, n in (("TRAIN_TOXIC", 60), ("TRAIN_CLEAN", 30), ("CALIBRATE", 30)):
+        monkeypatch.setattr(toxicity, name, n)
+    r = random.Random(11)
+    texts = [" ".join(r.choice(VOCABULARY) for _ in range(30)) for _ in range(600)]  # labels do not depend on them
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    scores = [x["score"] for x in toxicity.toxicity(docs(texts), labels).collect()]
+    assert sum(scores) / len(scores) < 0.2
+
+
 @pytest.mark.parametrize("run", [quality_rules.quality_verdicts, lambda d: packing.pack(packing.pieces(d, packing.default_tokenizer(), with_ids=False)), line_dedup.drop_recurring_lines, sharding.shards])
 def test_empty_tables(spark, docs, run):
     assert run(docs(["x"]).limit(0)).count() == 0
