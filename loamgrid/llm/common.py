@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that a Python worker's word cache keeps. Words beyond it are hashed anew each time, with the same result.
 WORD_CACHE = 250_000
@@ -29,15 +31,64 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_folder()}"
+    """The cluster's spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or f"file://{_own_folder()}"
 
 
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as a table into the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/loamgrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stashed_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stashed_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A sieve's largest size in 64-bit words (16 MB), and its bits for each value while it is below that.
+SIEVE_WORDS, SIEVE_BITS = 1 << 21, 16
+
+
+class Sieve:
+    """A Bloom filter of bounded size over 64-bit values: it finds all of them, and a few others that an exact join must remove."""
+
+    def __init__(self, values: DataFrame):
+        """values: one column of longs, without null."""
+        size = 1
+        while size < SIEVE_WORDS and size * 64 < SIEVE_BITS * values.count():
+            size *= 2
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, bit = (np.concatenate(x) for x in zip(*_sieve_places(batch.column(0).to_numpy(zero_copy_only=False), size), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
+
+        rows = values.mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # `size` rows at most
+        self.words = np.zeros(size, np.uint64)
+        self.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+
+    def test(self, values: np.ndarray) -> np.ndarray:
+        found = np.ones(len(values), bool)
+        for word, bit in _sieve_places(values, len(self.words)):
+            found &= self.words[word] & bit != 0
+        return found
+
+
+def _sieve_places(values: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    h = values.view(np.uint64)
+    for i in range(3):
+        h = mix(h + np.uint64(i))
+        yield ((h >> np.uint64(8)) % np.uint64(size)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import stash
+from loamgrid.llm.common import discard, stash
 
 ROUNDS = 60
 
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stash(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stash(small.where("u <> v").distinct())
+        before, edges = edges, stash(small.where("u <> v").distinct())
+        discard(before, large)
         if (now := _size(edges)) == size:
             break
         size = now

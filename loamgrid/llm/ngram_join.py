@@ -4,14 +4,20 @@ Documents with equal words are one class, and classes are compared. The global o
 ones last, rarest first; two sets as similar as asked for share an n-gram in the first few of both (their prefixes). The order
 is cut into fragments: prefixes propose pairs, then the overlap of a pair is counted in each fragment apart and summed.
 
-Only components are asked for, so pairs are proposed in two turns. First each prefix n-gram links its classes to the smallest
-of them. Then n-grams that still join several components propose the pairs across these, once each, if sizes and parity
-bitmaps (whose differing bits never exceed the number of differing n-grams) leave the similarity possible. Pairs within a
-component are not looked at, so groups of near copies cost links in proportion to their size, and no link is lost.
+Only components are asked for, so pairs are proposed in rounds, and those whose classes are in one component by then are left
+out. An n-gram of two classes proposes this pair. Of the others, a small share of the classes, drawn by hash, are hubs of the
+first round, a larger share of the second and the rest of the third; a pair is proposed in the round in which one of its classes
+is a hub and neither was before. So every pair has its turn, and a group of near copies is mostly one component after the first,
+at a cost in proportion to its size. Proposals must have sizes, places of their first common n-gram, and parity bitmaps (whose
+differing bits never exceed the number of differing n-grams) that leave the similarity possible. No link is lost.
+
+Texts are read where they lie and never shuffled; what they yield is told apart by the key of their words, and a sieve of
+bounded size (and an exact join after it) picks the classes that are asked for.
 
 Null texts and texts without words have no n-grams and link with nothing; fewer words than n are one n-gram. Rows with a null
 doc_id link with nothing and have a null component. Repeated rows are linked as equal; rows of one id and different words are
-rows of their own. Classes are keyed by 64-bit hashes of their words, n-grams by 64-bit hashes. No rows give no rows.
+rows of their own. Very long texts are whole sets like others. Columns other than doc_id and text are not read, of any name;
+keep_one_of_each hands them on. Classes are keyed by 64-bit hashes of their words, n-grams by 64-bit hashes. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,23 +31,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import as_bytes, distinct, hash_texts, load, stash, windows
+from loamgrid.llm.common import Sieve, as_bytes, discard, distinct, hash_texts, load, stash, windows
 from loamgrid.llm.components import components
 
 WORDS, PERCENT = 3, 90
 #: An n-gram counts as frequent with more documents than this; the list of the most frequent holds so many at most. Both
 #: settle the order alone, which changes costs and no result.
-FREQUENT, LISTED = 8, 1_000_000
+FREQUENT, LISTED = 8, 500_000
 #: Fragments of the global order.
 FRAGMENTS = 8
-#: Rows of (id, key) up to which they are sent to all tasks instead of shuffled to.
-SENT_ROWS = 1_000_000
 #: Bits of a parity bitmap, in 64-bit words: of a whole set, and of each fragment of a set of more than LARGE n-grams.
-BITMAP, FRAGMENT_BITMAP, LARGE = 8, 32, 1_200
+BITMAP, FRAGMENT_BITMAP, LARGE = 12, 32, 1_200
+#: One class in so many is a hub of the first round, of the second; all others are of the third.
+HUBS = (32, 4)
 
 KEYS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType())])
 PROFILES = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(f"b{i}", T.LongType()) for i in range(BITMAP)], T.StructField("tokens", T.ArrayType(T.LongType()))])
 PARTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("part", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+TOKENS = T.StructType([T.StructField("token", T.LongType()), T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -58,13 +65,19 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(t) for t in as_bytes(batch.column(1))], pa.int64())], names=KEYS.names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Of batches (text, key, sure): keys and sorted sets. Rows not sure are checked to have that key."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int, sieve=None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Of batches (text): keys and sorted sets, a key once for each task, of those that the sieve finds."""
+    seen: set[int] = set()
     for batch in batches:
         for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
-            rows = [(k, t) for t, k, sure in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) if sure or key_of(t) == k]
-            yield [k for k, _ in rows], [distinct(windows(h, words)) for h in hash_texts([t or b"" for _, t in rows])]
+            texts = as_bytes(batch.slice(at, 1000).column(0))
+            keys = [key_of(t) for t in texts]
+            if sieve is not None:
+                found = sieve.value.test(np.array([k or 0 for k in keys], np.int64)).tolist()
+                keys = [k if f else None for k, f in zip(keys, found, strict=True)]
+            rows: dict[int, bytes] = {k: t for k, t in zip(keys, texts, strict=True) if k is not None and k not in seen}
+            seen.update(rows)
+            yield list(rows), [distinct(windows(h, words)) for h in hash_texts(list(rows.values()))]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -74,7 +87,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def parity(own: np.ndarray, size: int) -> np.ndarray:
     """A bitmap of so many 64-bit words: each n-gram turns one bit."""
-    odd = np.bincount((own & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
+    odd = np.bincount((own % np.uint64(64 * size)).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -115,11 +128,26 @@ def _profiled(words: int, percent: int, frequent):
     return read
 
 
-def _parted(words: int, fragments: int):
+def _of_tokens(sieve):
+    """Rows of TOKENS from (key, tokens): of the n-grams that the sieve finds, with their places."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(lists.offsets.to_numpy())
+            at = np.arange(len(tokens)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+            hit = sieve.value.test(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)[hit]), pa.array(at[hit].astype(np.int32))], names=TOKENS.names)
+
+    return read
+
+
+def _parted(words: int, fragments: int, sieve):
     edges = np.array([((1 << 64) * i // fragments) for i in range(1, fragments)], np.uint64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _sets(batches, words):
+        for keys, sets in _sets(batches, words, sieve):
             cut = [p for s in sets for p in np.split(s, np.searchsorted(s, edges))]
             large = np.repeat([len(s) > LARGE for s in sets], fragments).tolist()
             bits = [parity(p, FRAGMENT_BITMAP).view(np.uint64) if x else p[:0] for p, x in zip(cut, large, strict=True)]
@@ -142,43 +170,37 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 class Join:
-    """The stages of one join; tables live in the shared folder."""
+    """The stages of one join; tables live in the shared folder until their last reader is done."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
-        self.texts, self.words, self.percent, self.spark = docs.select("doc_id", "text"), words, percent, docs.sparkSession
-        self.ids = stash(self.texts.mapInArrow(_keyed, KEYS))
-        self.classes = stash(self.ids.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-        self.unique = not self.ids.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1)
-
-    def _of(self, classes: DataFrame) -> DataFrame:
-        """text, key, sure of one document of each class (doc_id, key)."""
-        own = classes.select(F.col("doc_id").alias("__id"), "key")
-        if classes.count() <= SENT_ROWS:
-            own = F.broadcast(own)
-        return self.texts.join(own, F.col("doc_id") == F.col("__id")).select("text", "key", F.lit(self.unique).alias("sure"))
+        self.words, self.percent, self.spark = words, percent, docs.sparkSession
+        self.known = docs.where("doc_id is not null").select("doc_id", "text")
+        self.unknown = docs.where("doc_id is null").select("text")
+        self.ids = stash(self.known.mapInArrow(_keyed, KEYS))
 
     def profiles(self) -> DataFrame:
-        own = self._of(self.classes)
-        counts = own.mapInArrow(_counted(self.words, self.percent), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
+        """One row for each class."""
+        texts = self.known.select("text")
+        counts = texts.mapInArrow(_counted(self.words, self.percent), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
         top = counts.orderBy(F.desc("n"), "token").limit(LISTED).toArrow()
         listed, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
         order = np.argsort(listed)
         frequent = self.spark.sparkContext.broadcast((listed[order], n[order]))
-        return stash(own.mapInArrow(_profiled(self.words, self.percent, frequent), PROFILES))
+        return stash(texts.mapInArrow(_profiled(self.words, self.percent, frequent), PROFILES).dropDuplicates(["key"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b (keys), na, nb (sizes). a and b of those that are as similar as asked for."""
-        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        members = stash(self.classes.join(asked, "key", "left_semi"))
-        parts = stash(self._of(members).mapInArrow(_parted(self.words, FRAGMENTS), PARTS))
+        """pairs: a, b (keys), na, nb (sizes), a table. A table of those (a, b) that are as similar as asked for."""
+        asked = stash(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+        sieve = self.spark.sparkContext.broadcast(Sieve(asked))
+        parts = stash(self.known.select("text").mapInArrow(_parted(self.words, FRAGMENTS, sieve), PARTS).join(asked, "key", "left_semi").dropDuplicates(["key", "fragment"]))
+        discard(asked)
 
         def by_fragment(some: DataFrame, column: str, count: Column) -> DataFrame:
             """The pairs with the sum of what is counted in each fragment apart."""
             each = some.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
             side = lambda c: parts.select(F.col("key").alias(c), "fragment", F.col(column).alias(f"of_{c}"))
             met = each.join(side("a"), ["a", "fragment"]).join(side("b"), ["b", "fragment"])
-            partial = met.select("a", "b", "na", "nb", "fragment", count.alias("counted")).distinct()
-            return partial.groupBy("a", "b", "na", "nb").agg(F.sum("counted").alias("counted"))
+            return met.select("a", "b", "na", "nb", count.alias("counted")).groupBy("a", "b", "na", "nb").agg(F.sum("counted").alias("counted"))
 
         both = F.col("na") + F.col("nb")
         large = F.least("na", "nb") > LARGE
@@ -186,36 +208,58 @@ class Join:
         possible = by_fragment(pairs.where(large), "bits", differing).where((100 + self.percent) * (both - F.col("counted")) >= 2 * self.percent * both)
         left = stash(pairs.where(~large).unionByName(possible.select(pairs.columns)))
         overlap = by_fragment(left, "part", F.size(F.array_intersect("of_a", "of_b")))
-        return overlap.where((100 + self.percent) * F.col("counted") >= self.percent * both).select("a", "b")
+        found = stash(overlap.where((100 + self.percent) * F.col("counted") >= self.percent * both).select("a", "b"))
+        discard(parts, left)
+        return found
+
+    def _near(self, pairs: DataFrame, shape: DataFrame) -> DataFrame:
+        met = pairs.join(shape.alias("p"), F.col("a") == F.col("p.key")).join(shape.alias("q"), F.col("b") == F.col("q.key"))
+        return met.where(_possible("p", "q", self.percent)).select("a", "b", F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+
+    def across(self, rows: DataFrame, turn: int) -> DataFrame:
+        """The pairs of one round. rows: token, key, at, component, turn, n and the bitmap, of n-grams that join several components."""
+        p, q = rows.where(F.col("turn") == turn).alias("p"), rows.where(F.col("turn") >= turn).alias("q")
+        n, m = F.col("p.n"), F.col("q.n")
+        once = (F.col("q.turn") > turn) | (F.col("p.key") < F.col("q.key"))
+        placed = (100 + self.percent) * F.least(n - F.col("p.at"), m - F.col("q.at")) >= self.percent * (n + m)
+        on = (F.col("p.token") == F.col("q.token")) & (F.col("p.component") != F.col("q.component")) & once & placed & _possible("p", "q", self.percent)
+        return p.join(q, on).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"), F.when(F.col("p.key") < F.col("q.key"), n).otherwise(m).alias("na"), F.when(F.col("p.key") < F.col("q.key"), m).otherwise(n).alias("nb")).distinct()
 
     def run(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id for each row with an id."""
         profiles = self.profiles()
         shape = profiles.select("key", "n", *[f"b{i}" for i in range(BITMAP)])
-        sizes = profiles.select("key", "n").distinct()
-        before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", F.lit(1), F.size("tokens") - 1))
-        tokens = profiles.select("key", F.inline(F.arrays_zip(F.col("tokens").alias("token"), before.alias("before"))))
-        met = tokens.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("token", "hub")
-        shared = stash(tokens.join(met, "token"))
-        star = shared.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-        near = star.join(shape.alias("p"), F.col("a") == F.col("p.key")).join(shape.alias("q"), F.col("b") == F.col("q.key")).where(_possible("p", "q", self.percent))
-        first = stash(near.select("a", "b", F.col("p.n").alias("na"), F.col("q.n").alias("nb")))
-        linked = stash(self.links(first))
-        found = stash(components(linked))
-        # n-grams whose classes are in several components
-        placed = shared.select("token", "before", "key").join(found, F.col("key") == F.col("id"), "left").select("token", "before", "key", F.coalesce("component", "key").alias("component"))
-        mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        rows = stash(placed.join(mixed, "token", "left_semi").join(shape, "key"))
-        p, q = rows.alias("p"), rows.alias("q")
-        new = (F.col("p.key") < F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & ~F.col("p.before").eqNullSafe(F.coalesce(F.col("q.before"), F.col("q.token")))
-        across = p.join(q, (F.col("p.token") == F.col("q.token")) & new & _possible("p", "q", self.percent)).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
-        second = stash(across.join(first, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-        whole = components(linked.unionByName(self.links(second)))
-        owner = self.classes.join(whole, F.col("key") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+        tokens = profiles.select("key", F.explode("tokens").alias("token"))
+        met = stash(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("key").alias("a"), F.max("key").alias("b")).where("c > 1"))
+        several = met.where("c > 2").select("token")
+        sieve = self.spark.sparkContext.broadcast(Sieve(several))
+        draw = F.pmod(F.xxhash64("key"), F.lit(HUBS[0]))
+        turn = F.when(draw == 0, 0).when(draw % HUBS[1] == 1, 1).otherwise(2)
+        shared = profiles.select("key", "tokens").mapInArrow(_of_tokens(sieve), TOKENS).join(several, "token", "left_semi")
+        rows = stash(shared.join(shape, "key").withColumn("turn", turn).withColumn("component", F.col("key")))
+        first = self._near(met.where("c = 2").select("a", "b").distinct(), shape).unionByName(self.across(rows, 0)).distinct()
+        linked = found = None
+        for step in range(len(HUBS) + 1):
+            if step:
+                placed = rows.where(F.col("turn") >= step).drop("component").join(found, F.col("key") == F.col("id"), "left").withColumn("component", F.coalesce("component", "key")).drop("id")
+                mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+                before, rows = rows, stash(placed.join(mixed, "token", "left_semi"))
+                discard(before)
+            pairs = stash(self.across(rows, step) if step else first)
+            new = self.links(pairs)
+            both = new if linked is None else stash(linked.unionByName(new))
+            if linked is not None:
+                discard(linked, new, found)
+            discard(pairs)
+            linked, found = both, stash(components(both))
+        sizes = stash(profiles.select("key", "n"))
+        discard(rows, met, profiles, linked)
+        classes = self.ids.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        owner = stash(classes.join(found, F.col("key") == F.col("id"), "left").join(sizes, "key").select("key", "n", "doc_id", F.coalesce("component", "key").alias("component")))
         smallest = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        of_key = owner.select("key", "component").join(smallest, "component").join(sizes, "key").select("key", "component_id", "n")
-        known = self.ids.where("doc_id is not null").join(of_key, "key", "left")
-        return known.select("doc_id", "key", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        of_key = stash(owner.join(smallest, "component").select("key", "component_id", "n"))
+        discard(found, sizes, owner)
+        return self.ids.join(of_key, "key", "left").select("doc_id", "key", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def without_id(self) -> DataFrame:
         """n_shingles of the rows without an id."""
@@ -226,7 +270,7 @@ class Join:
                 n = [len(distinct(windows(h, words))) for h in hash_texts([t or b"" for t in as_bytes(batch.column(0))])]
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n_shingles"])
 
-        return self.texts.where("doc_id is null").select("text").mapInArrow(sizes, "n_shingles long")
+        return self.unknown.mapInArrow(sizes, "n_shingles long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -237,25 +281,33 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return join.run().select(columns).unionByName(join.without_id().select(nulls[0], "n_shingles", nulls[1]))
 
 
+def _sifted(sieve, wanted: bool, keyed: bool = False):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            hit = sieve.value.test(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            part = batch.filter(pa.array(hit == wanted))
+            if keyed:
+                part = pa.RecordBatch.from_arrays([*part.columns, pa.array([key_of(t) for t in as_bytes(part.column("text"))], pa.int64())], names=[*part.schema.names, "__key"])
+            yield part
+
+    return read
+
+
 def keep_one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of docs, all columns: of each component the document with the smallest id. Rows that link with nothing stay."""
-    join = Join(docs, words, percent)
-    gone = stash(join.run().where("doc_id <> component_id").select("doc_id", "key").distinct())
-    if join.unique:
-        out = gone.select("doc_id")
-        return docs.join(F.broadcast(out) if gone.count() <= SENT_ROWS else out, "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat an id are told apart by their words; of repeated rows with words one stays
-    names = docs.columns
-    keyed = docs.mapInArrow(_with_key, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
-    left = keyed.join(gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
-    alone = F.col("doc_id").isNull() | F.col("__key").isNull()
-    return left.where(alone).select(names).unionByName(left.where(~alone).dropDuplicates(["doc_id", "__key"]).select(names))
-
-
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = pa.array([key_of(t) for t in as_bytes(batch.column("text"))], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+    """The rows of docs, all columns: of each component one row of the document with the smallest id. Rows that link with nothing stay.
+    A sieve tells the rows that may go from those that surely stay, so that only the former are shuffled."""
+    spark, names = docs.sparkSession, docs.columns
+    all_rows = stash(Join(docs, words, percent).run())
+    gone = stash(all_rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")).distinct())
+    again = all_rows.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    sieve = spark.sparkContext.broadcast(Sieve(gone.select(F.col("__id").alias("doc_id")).unionByName(again)))
+    discard(all_rows)
+    stay = docs.mapInArrow(_sifted(sieve, False), docs.schema)
+    maybe = docs.mapInArrow(_sifted(sieve, True, True), T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
+    left = maybe.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    wordless = F.col("__key").isNull()
+    return stay.unionByName(left.where(wordless).select(names)).unionByName(left.where(~wordless).dropDuplicates(["doc_id", "__key"]).select(names))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
