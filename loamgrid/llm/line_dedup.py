@@ -11,7 +11,9 @@ stand together with the template decide, whatever share of the rows they are. Fo
 recurring hash of its other lines. Copies with wholly rewritten lines count as different.
 
 A null text stays null and an empty one empty; documents stay, even if all their lines go. Blank lines are kept and have no
-template. Each row counts as a document, by its id; repeated rows with one id count once. Null ids count as one document.
+template. Lines and texts of any length are read whole. Each row counts as a document, by its id; repeated rows with one id count
+once. Null ids count as one document. Ties of hashes don't matter, as only smallest ones are compared. No rows give no rows. Further
+columns of any name are handed on.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import as_bytes, load, stash, windows, word_hashes
+from loamgrid.llm.common import as_bytes, discard, load, stash, windows, word_hashes
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 10, 0.5
 #: Tokens of a run, and runs (the smallest hashes) of a line's sketch.
 RUN, SKETCH = 5, 4
 #: Rows of a table up to which it is sent to all tasks instead of shuffled to.
 SENT_ROWS = 1_000_000
+#: Hashes of recurring lines (8 bytes each) that are sent to all tasks at once.
+BLOCK = 1_000_000
 
 DIGITS = re.compile(rb"[0-9]")
 FIELD = b"<*>"
@@ -123,7 +127,7 @@ def surroundings(sketches: DataFrame, candidates: DataFrame, min_docs: int) -> D
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, lines: hashes of a document's lines that have a recurring template."""
+    """A table of the hashes of the lines that have a recurring template."""
     texts = docs.select("doc_id", "text")
     sketches = stash(texts.mapInArrow(_read(depth, True), SKETCHES))
     leaves = stash(sketches.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
@@ -157,34 +161,43 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         .select("template")
     )
     # a template may hold a large share of all lines, so rows are not dealt by it if the list of templates can be sent
-    return shaped.join(sent(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    gone = stash(shaped.select("template", "line").distinct().join(sent(recurring), "template", "left_semi").select("line").distinct())
+    discard(sketches, leaves, lines, distinct, shaped, enough)
+    return gone
 
 
-def _cleaned(schema: T.StructType):
+def _cleaned(schema: T.StructType, gone, counted: bool):
+    """Drops the lines in gone, a sorted array; n_dropped_lines adds to what earlier blocks dropped."""
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(gone.value.tolist())
         for batch in batches:
             texts, counts = [], []
-            for text, lines in zip(as_bytes(batch.column("text")), batch.column("__lines").to_pylist(), strict=True):
-                if text is None or not lines:
-                    texts.append(text)
-                    counts.append(0)
-                    continue
-                gone = set(lines)
-                split = text.split(b"\n")
-                kept = [line for line in split if not (t := tokens_of(line)) or line_of(t) not in gone]
-                texts.append(b"\n".join(kept))
-                counts.append(len(split) - len(kept))
-            out = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_dropped_lines": pa.array(counts, pa.int64())}
+            before = batch.column("n_dropped_lines").to_pylist() if counted else [0] * len(batch)
+            for text, n in zip(as_bytes(batch.column("text")), before, strict=True):
+                split = (text or b"").split(b"\n")
+                kept = [line for line in split if not (t := tokens_of(line)) or line_of(t) not in known]
+                texts.append(text if len(kept) == len(split) else b"\n".join(kept))
+                counts.append(n + len(split) - len(kept))
+            out = {"text": pa.array(texts, pa.binary()).cast(pa.string())} | ({"n_dropped_lines": pa.array(counts, pa.int64())} if counted else {})
             yield pa.RecordBatch.from_arrays([out[c] if c in out else batch.column(c) for c in schema.names], names=schema.names)
 
     return clean
 
 
-def drop_recurring_lines(docs: DataFrame, counted: bool = False, **options) -> DataFrame:
-    """docs, all columns, without the lines of recurring templates; if counted, with n_dropped_lines."""
-    schema = T.StructType([*(f for f in docs.schema.fields if not counted or f.name != "n_dropped_lines"), *[T.StructField("n_dropped_lines", T.LongType())] * counted])
-    found = stash(recurring_lines(docs, **options)).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc").mapInArrow(_cleaned(schema), schema)
+def drop_recurring_lines(docs: DataFrame, counted: bool = False, block: int = BLOCK, **options) -> DataFrame:
+    """docs, all columns, without the lines of recurring templates; if counted, with n_dropped_lines (a column of that name is replaced).
+    Texts are not shuffled: the lines' hashes are sent to the tasks in blocks of `block`, and each line is judged where it is read."""
+    spark = docs.sparkSession
+    gone = recurring_lines(docs, **options)
+    parts = -(-gone.count() // block)
+    if counted:
+        docs = docs.drop("n_dropped_lines").withColumn("n_dropped_lines", F.lit(0).cast("long"))
+    schema = docs.schema
+    for i in range(parts):
+        own = gone.where(F.pmod(F.xxhash64("line"), F.lit(parts)) == i).toArrow()["line"].to_numpy()  # about `block` longs
+        docs = docs.mapInArrow(_cleaned(schema, spark.sparkContext.broadcast(own), counted), schema)
+    return docs
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
