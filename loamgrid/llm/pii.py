@@ -5,7 +5,10 @@ numbers, digit counts for phones), and words near a span adjust its score. The f
 the further kinds need a score of MIN_SCORE, which context words give or take.
 
 Places are counted in code points, end exclusive: a text is split at a pattern and its matches are taken in order, so the
-lengths of both give each match's place. A null text counts as empty and has no span. Each row is judged alone.
+lengths of both give each match's place. Context words begin at a word's border, and those that lower a score are whole words.
+A null text counts as empty and has no span. Each row is judged alone, so repeated rows have equal spans; spans of different kinds
+may overlap, and ties of equal starts stay in the order of kinds. Whole texts of any length are searched. No rows give no rows.
+Only doc_id and text are read, so further columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -33,13 +36,13 @@ AT_LEAST = {"card": "[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]", "ip": r"[0-9
 #: Score that a confirmed match starts with, words near it that raise the score, and words that lower it.
 START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "mac": 0.6}
 CONTEXT = {
-    "email": "mail|contact|write|address",
-    "ip": "ip|host|server|address|login",
+    "email": "e?mail|contact|write|address",
+    "ip": r"ip\b|host|server|address|login",
     "card": "card|visa|master|credit|debit|pay",
-    "phone": "phone|call|tel|mobile|fax|contact",
+    "phone": r"(?:tele)?phone|call|tel\b|mobile|fax|contact",
     "iban": "iban|bank|account|konto|compte|cuenta",
-    "ssn": "ssn|social|security|tax",
-    "mac": "mac|device|hardware|ethernet",
+    "ssn": r"ssn|social|security|tax\b",
+    "mac": r"mac\b|device|hardware|ethernet",
 }
 AGAINST = "version|order|isbn|part no|example only|build"
 REACH, RAISE, LOWER, MIN_SCORE = 40, 0.3, 0.3, 0.5
@@ -90,8 +93,9 @@ def _spans(kind: str, text: Column) -> Column:
         return F.struct(F.coalesce(end, here).alias("at"), F.when(x["match"].isNotNull() & _confirmed(kind, x["match"]), F.concat(acc["found"], F.array(F.struct(here.alias("start"), end.alias("end"), x["match"].alias("match"))))).otherwise(acc["found"]).alias("found"))
 
     def scored(x: Column) -> Column:
-        near = F.lower(F.substr(text, F.greatest(x["start"] - REACH + 1, F.lit(1)), x["end"] - x["start"] + 2 * REACH))
-        score = START[kind] + F.when(near.rlike(CONTEXT[kind]), RAISE).otherwise(0.0) - F.when(near.rlike(AGAINST), LOWER).otherwise(0.0)
+        first = F.greatest(x["start"] - REACH, F.lit(0))
+        near = F.lower(F.substr(text, first + 1, x["end"] + REACH - first))
+        score = START[kind] + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0) - F.when(near.rlike(rf"\b(?:{AGAINST})\b"), LOWER).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
     found = F.transform(F.aggregate(pairs, start, step, lambda acc: acc["found"]), scored)
