@@ -1,13 +1,17 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, verified by exact shingle containment.
 
 An item of n shingles is contained in a document that has at least `threshold` of them, so the document lacks at most
-n - ceil(threshold * n). Items are partitioned by n, and an item's sketch is the bottom of its min-hash order, one shingle
-more than it may lack: a document that contains the item has at least one of them, whatever its length. Documents that hit a
-sketch are candidates; for them all shingles of the item are looked up and counted. The sketch thus loses nothing.
-
-Words are lower-cased and stripped of punctuation at their ends. Texts shorter than a shingle are one shingle of all their
-words. Null and wordless texts match nothing. Benchmark items are taken in blocks of a fixed number of shingles, so what is
-sent to the tasks has that bound and the documents are read once for each block. Repeated rows give repeated matches.
+n - ceil(threshold * n). Items are partitioned by the length of their shingles and by n, in powers of two. Each partition has a
+candidate threshold h, which grows with its size: an item's signature is the bottom of its min-hash order, h shingles more than it
+may lack, so that a document that contains the item has at least h of them, whatever its own length. Items with h hits are
+candidates, and only their shingles are all looked up and counted. The search thus loses nothing.
+
+Words are lower-cased, and punctuation, also within words, counts as white space. Items of fewer words than a shingle are found by
+runs of their own number of words, anywhere in a document; documents of fewer words contain only these. Null and wordless texts
+match nothing and are kept. Benchmark items are taken in blocks of a fixed number of shingles, so what is sent to the tasks has that
+bound and the documents are read once for each block. Repeated rows, of documents or items, give repeated matches; ties need no
+order. Texts of any length are searched whole. Without documents or items there are no matches. Further columns of any name are
+handed on by drop_contaminated and not read.
 """
 
 from __future__ import annotations
@@ -33,54 +37,95 @@ PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuati
 MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("item_shingles", T.LongType()), T.StructField("shared_shingles", T.LongType()), T.StructField("containment", T.DoubleType())])
 
 
+def words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    return hash_texts([t.translate(PLAIN) for t in texts])
+
+
 def shingles(texts: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Of each text, hashes of the distinct shingles, sorted."""
-    return (distinct(windows(words, n)) for words in hash_texts([t.translate(PLAIN) for t in texts]))
+    """Of each text, hashes of the distinct shingles, sorted; a shorter text is one shingle."""
+    return (distinct(windows(words, n)) for words in words_of(texts))
 
 
 def most_lacking(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9)
 
 
-class Index:
-    """Of a block of items: all shingles with their items, and which of them are in sketches."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
-        sizes = np.array([len(s) for _, s in items], np.int64)
-        owner = np.repeat(np.arange(len(items)), sizes)
-        every = np.concatenate([s for _, s in items] or [np.empty(0, np.uint64)])
-        # each item's shingles are sorted by hash, so its sketch is the first few
-        sketch = np.concatenate([np.arange(n) <= most_lacking(n, threshold) for n in sizes.tolist()] or [np.empty(0, bool)])
+def candidate_hits(n: int) -> int:
+    """Signature hits that make a candidate, by the partition of items of n shingles."""
+    return 1 + n.bit_length() // 3
+
+
+class Partition:
+    """Items with shingles of one length and numbers of shingles between two powers of two."""
+
+    def __init__(self, items: list[tuple], threshold: float):
+        """items: item_id, shingles."""
+        self.ids = [i for i, _ in items]
+        self.items = [s for _, s in items]
+        self.least = np.array([len(s) - most_lacking(len(s), threshold) for s in self.items], np.int64)
+        # no more hits are asked for than the least that a containing document has
+        self.hits = np.minimum([candidate_hits(len(s)) for s in self.items], self.least)
+        # shingles are sorted by hash, so a signature is the first few
+        own = [s[: len(s) - least + h] for s, least, h in zip(self.items, self.least.tolist(), self.hits.tolist(), strict=True)]
+        every, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
         order = np.argsort(every, kind="stable")
-        self.ids, self.sizes, self.threshold = np.array([i for i, _ in items], np.int64), sizes, threshold
-        self.hashes, self.owner, self.sketches = every[order], owner[order], np.unique(every[sketch])
+        self.signature, self.owner = every[order], owner[order]
 
-    def search(self, own: np.ndarray) -> list[tuple[int, int, int]]:
+    def search(self, own: np.ndarray) -> Iterator[tuple]:
         """(item, its shingles, those shared) of the items that a document with these shingles contains."""
-        if not len(self.sketches) or not len(own):
-            return []
-        at = np.searchsorted(self.sketches, own)
-        if not (self.sketches[np.minimum(at, len(self.sketches) - 1)] == own).any():
-            return []
-        first, last = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
-        hit = first < last
-        shared = np.zeros(len(self.ids), np.int64)
-        for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True):
-            shared[self.owner[a:b]] += 1
-        found = np.flatnonzero(shared >= self.sizes - [most_lacking(n, self.threshold) for n in self.sizes.tolist()])
-        return [(int(self.ids[i]), int(self.sizes[i]), int(shared[i])) for i in found if self.sizes[i]]
-
-
-def _blocks(benchmark: DataFrame, n: int, block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+        first = np.searchsorted(self.signature, own, "left")
+        met = np.flatnonzero(self.signature[np.minimum(first, len(self.signature) - 1)] == own)
+        if not len(met):
+            return
+        first, last = first[met], np.searchsorted(self.signature, own[met], "right")
+        hits = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), minlength=len(self.ids))
+        for i in np.flatnonzero(hits >= self.hits).tolist():
+            item = self.items[i]
+            shared = int((own[np.minimum(np.searchsorted(own, item), len(own) - 1)] == item).sum())
+            if shared >= self.least[i]:
+                yield self.ids[i], len(item), shared
+
+
+class Index:
+    """The partitions of a block of items (item_id, length of shingles, shingles)."""
+
+    def __init__(self, items: list[tuple], n: int, threshold: float):
+        by: dict[tuple[int, int], list] = {}
+        for item_id, length, own in items:
+            by.setdefault((length, len(own).bit_length()), []).append((item_id, own))
+        self.n, self.partitions = n, [(length, Partition(x, threshold)) for (length, _), x in sorted(by.items(), key=lambda x: x[0])]
+
+    def search(self, words: np.ndarray) -> list[tuple]:
+        found, own = [], {}
+        for length, partition in self.partitions:
+            if len(words) >= length:
+                if length not in own:
+                    own[length] = distinct(windows(words, length))
+                found += partition.search(own[length])
+        return found
+
+
+def _items(n: int):
+    """From item_id, text: the length of its shingles, and them; not of wordless ones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(i, min(n, len(w)), distinct(windows(w, n))) for i, w in zip(batch.column(0).to_pylist(), words_of([t or b"" for t in as_bytes(batch.column(1))]), strict=True) if len(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int32()), pa.array([x[2].view(np.int64) for x in own], pa.list_(pa.int64()))], names=["item_id", "length", "shingles"])
+
+    return read
+
+
+def _blocks(benchmark: DataFrame, n: int, block: int) -> Iterator[list[tuple]]:
     """The items, in blocks of so many shingles; one block is held at a time."""
-    items: list[tuple[int, np.ndarray]] = []
+    items: list[tuple] = []
     size = 0
-    for row in benchmark.select("item_id", F.col("text").cast("binary")).toLocalIterator():
-        own = next(shingles([bytes(row[1] or b"")], n))
+    for row in benchmark.select("item_id", "text").mapInArrow(_items(n), "item_id long, length int, shingles array<long>").toLocalIterator():
+        own = np.array(row["shingles"], np.int64).view(np.uint64)
         if items and size + len(own) > block:
             yield items
             items, size = [], 0
-        items.append((row[0], own))
+        items.append((row["item_id"], row["length"], own))
         size += len(own)
     if items:
         yield items
@@ -91,12 +136,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, thresh
     spark = docs.sparkSession
     found = spark.createDataFrame([], MATCHES)
     for items in _blocks(benchmark, n, block):
-        index = spark.sparkContext.broadcast(Index(items, threshold))
+        index = spark.sparkContext.broadcast(Index(items, n, threshold))
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = shingles([t or b"" for t in as_bytes(batch.column(1))], n)
-                rows = [(i, item, size, shared, shared / size) for i, s in zip(batch.column(0).to_pylist(), own, strict=True) for item, size, shared in index.value.search(s)]
+                own = words_of([t or b"" for t in as_bytes(batch.column(1))])
+                rows = [(i, item, size, shared, shared / size) for i, w in zip(batch.column(0).to_pylist(), own, strict=True) for item, size, shared in index.value.search(w)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=MATCHES.names)
 
@@ -108,12 +153,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, t
     """The rows of docs, all columns, that contain no item."""
     spark = docs.sparkSession
     for items in _blocks(benchmark, n, block):
-        index = spark.sparkContext.broadcast(Index(items, threshold))
+        index = spark.sparkContext.broadcast(Index(items, n, threshold))
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = shingles([t or b"" for t in as_bytes(batch.column("text"))], n)
-                yield batch.filter(pa.array([not index.value.search(s) for s in own], pa.bool_()))
+                own = words_of([t or b"" for t in as_bytes(batch.column("text"))])
+                yield batch.filter(pa.array([not index.value.search(w) for w in own], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
