@@ -2,7 +2,8 @@
 and a document that loses too much of its text is rejected.
 
 A null text counts as empty. An empty document has no words, fails the base rules and is rejected. Each row is judged
-alone, so repeated rows get the same verdict; further columns stay as they are, only doc_id and text are read.
+alone, so repeated rows get the same verdict; further columns stay as they are, only doc_id and text are read. Texts and lines of any
+length are judged whole. No rows give no rows.
 
 The counts are those of the whole text. The text that is returned lacks the failing lines; blank lines stay, and so does null.
 """
@@ -24,15 +25,23 @@ SPACES = b" \t\n\v\f\r"
 #: Base rules: fewest words, and largest percentage of words in repeated windows of eight.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Line rules: a line fails with a larger share of symbols among its characters, of bare separators among its words,
-#: of capitals among its ASCII letters or of words equal to the word before (both from four words on), or with a phrase of BOILERPLATE.
+#: of capitals among its ASCII letters or of words equal to the word before (both from four words on), with a phrase of BOILERPLATE,
+#: or cut off: with an ending of CUT_OFF.
 MOST_SYMBOLS, MOST_SEPARATORS, MOST_CAPITALS, MOST_STUTTER = 0.10, 0.25, 0.80, 0.50
 #: A document is rejected if failing lines hold more than this share of its words.
 MOST_LOST = 0.5
 SEPARATORS = frozenset([b"|", b">", b">>", b"-", b"--", b"*", b"/", b"\\", b"+", "»".encode(), "›".encode(), "·".encode(), "•".encode(), "–".encode(), "—".encode()])
-BOILERPLATE = (
-    b"lorem ipsum", b"enable javascript", b"javascript is disabled", b"javascript is required", b"accept cookies", b"accept all cookies", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service",
-    b"click here", b"subscribe to", b"sign up now", b"sign up for", b"log in to", b"login to", b"share this", b"share on", b"read more", b"skip to content", b"skip to main content", b"back to top",
+BOILERPLATE = tuple(
+    p.encode()
+    for p in (
+        "lorem ipsum", "enable javascript", "javascript is disabled", "javascript is required", "accept cookies", "accept all cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
+        "click here", "subscribe to", "sign up now", "sign up for", "log in to", "login to", "share this", "share on", "read more", "skip to content", "skip to main content", "back to top",
+        "javascript aktivieren", "cookies akzeptieren", "alle cookies", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "jetzt anmelden", "jetzt registrieren", "mehr lesen", "zum inhalt springen", "nach oben",
+        "activer javascript", "accepter les cookies", "tous les cookies", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "abonnez-vous", "lire la suite", "aller au contenu", "haut de page",
+        "activar javascript", "aceptar cookies", "todas las cookies", "política de privacidad", "condiciones de uso", "haga clic aquí", "suscríbete", "leer más", "saltar al contenido", "volver arriba",
+    )
 )
+CUT_OFF = (b"...", "…".encode(), b"[more]", b"[...]")
 UPPER, LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode()
 CONTINUED = bytes(range(0x80, 0xC0))
 
@@ -53,6 +62,8 @@ def line_fails(line: bytes, words: list[bytes], phrases: list[bytes]) -> bool:
             return True
         if sum(map(operator.eq, words, words[1:])) > MOST_STUTTER * n:
             return True
+    if words[-1].endswith(CUT_OFF):
+        return True
     return bool(phrases) and any(p in line.lower() for p in phrases)
 
 
