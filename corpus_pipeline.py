@@ -1,4 +1,11 @@
-"""A corpus from raw documents to packed training sequences: five stages, each a table of its own between the next."""
+"""A corpus from raw documents to packed training sequences: five stages, each a table of its own between the next.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents. Null, empty and wordless
+texts go with the quality rules, as do documents that the rules reject; those that stay lack their failing lines, then the lines of
+recurring templates (a text may be empty after that and is packed as one end token). Of a component of near copies the row with the
+smallest id stays, and of repeated rows one. Rows with a null id stay, link with nothing, and are packed. Very long texts are cut
+into pieces only by the last stage. An empty table gives no rows. Further columns of any name are handed on until the last stage.
+"""
 
 from __future__ import annotations
 
@@ -36,6 +43,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
+    before: list[DataFrame] = []
     for _, stage in STAGES[:-1]:
         docs = common.stash(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        common.discard(*before)
+        before = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    common.discard(*before)  # the last stage has read it into its pieces
+    return packed
