@@ -1,5 +1,6 @@
 """Brute-force versions of the operators on small tables, with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
+import os
 import random
 import re
 import zlib
@@ -81,8 +82,9 @@ def test_decontamination_finds_items_in_long_texts(spark, docs):
     texts = [*TEXTS, f"{long} {items[0]}", f"{long}, ({items[1].upper()})! {long}", f"a b {' '.join(changed)} c d", items[2][:60]]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate([*items, None, ""])], "item_id long, text string")
     split = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [split(t)] if w for i in range(max(1, len(w) - 4))}
-    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if len(shingles(item) & shingles(t)) >= 0.8 * len(shingles(item))}
+    shingles = lambda t, n: {tuple(w[i : i + n]) for w in [split(t)] for i in range(len(w) - n + 1)}
+    of = lambda item: min(5, len(split(item)))
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if len(shingles(item, of(item)) & shingles(t, of(item))) >= 0.8 * len(shingles(item, of(item)))}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs(texts), bench).collect()}
     assert got == want and len(want) >= 2
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs(texts), bench, block=10).collect()}  # an item a block
@@ -142,6 +144,56 @@ def test_html_extraction_keeps_the_article_alone(spark):
     assert sorted(got) == [(1, "One\n\nfirst & more text", 22), (2, "Two\n\nsecond & more text", 23), (3, "", 0), (4, "", 0), (5, "only bold", 9), (5, "only bold", 9)]
 
 
+def test_html_differencing_matches_brute_force(spark):
+    """Pages without an article: each loses the lines of a longest common subsequence with its nearest different page, whatever the ranges."""
+    r = random.Random(5)
+    menu, rows = [f"menu {i}" for i in range(6)], []
+    for i in range(40):
+        lines = [*menu[: r.randrange(3, 7)], *[f"text {i} {k}" for k in range(r.randrange(4))], r.choice(["shared end", "other end"])]
+        rows.append((i, f"http://h{i % 2}.org/d{i % 3}/p{i:02d}", "".join(f"<p>{x}</p>" for x in lines)))
+    rows += [(100 + k, f"http://h0.org/d0/p06-{k}", rows[6][2]) for k in range(15)]  # copies that stand together
+    rows.append((None, "http://h0.org/d0/p06", rows[6][2]))
+    ordered = sorted(rows, key=lambda x: (*html_extraction.split_url(x[1]), -1 if x[0] is None else x[0]))
+    want = {}
+    for k, (i, url, page) in enumerate(ordered):
+        host, path = html_extraction.split_url(url)
+        before = next((x for x in ordered[k::-1] if x[2] != page), None)
+        after = next((x for x in ordered[k:] if x[2] != page), None)
+        others = [x for x in (before, after) if x and html_extraction.split_url(x[1])[0] == host]
+        alike = lambda x: len(os.path.commonprefix([path, html_extraction.split_url(x[1])[1]]))  # noqa: B023, E731
+        best = max(others, key=alike, default=None)
+        own, other = (re.findall(r"<p>(.*?)</p>", x) for x in (page, best[2] if best else ""))
+        gone = html_extraction.common_lines(own, other) if best and own != other else set()
+        want[i] = "\n\n".join(x for n, x in enumerate(own) if n not in gone)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for ranges in (1, 5, 23):
+        got = {x["page_id"]: x["text"] for x in html_extraction.extract(table.withColumn("path", table["url"]), ranges).collect()}
+        assert got == want
+    assert html_extraction.extract(table.limit(0)).count() == 0
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(12))] for _ in range(2))
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+        kept, rest = sorted(html_extraction.common_lines(a, b)), iter(b)
+        assert len(kept) == size[-1][-1] and all(any(y == a[i] for y in rest) for i in kept)
+
+
+def test_decontamination_of_short_and_repeated_items(spark, docs):
+    items = spark.createDataFrame([(1, "Very Short"), (2, PROSE[3]), (2, PROSE[3]), (3, None), (4, " . ")], "item_id long, text string")
+    table = docs(["it is, very short indeed", "very long", PROSE[3] + " end", None, "", "very short"])
+    got = sorted((r["doc_id"], r["item_id"], r["containment"]) for r in decontamination.contaminated(table, items).collect())
+    whole = [(2, 2, 1.0)] * 2
+    assert got == [(0, 1, 1.0), *whole, (5, 1, 1.0)]
+    assert {r["doc_id"] for r in decontamination.drop_contaminated(table, items).collect()} == {1, 3, 4}
+    assert decontamination.contaminated(table.limit(0), items).count() == decontamination.contaminated(table, items.limit(0)).count() == 0
+
+
 def test_toxicity_separates_held_out_rows(spark, docs):
     r = random.Random(9)
     toxic = [r.random() < 0.4 for _ in range(240)]
