@@ -21,7 +21,17 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
+#: Rows of a batch between Spark and Python: long texts fill memory by batches.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the driver's; from now on the session's batches are small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

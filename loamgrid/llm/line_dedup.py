@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import as_bytes, discard, load, stash, windows, word_hashes
+from loamgrid.llm.common import Sieve, as_bytes, discard, load, stash, windows, word_hashes
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 10, 0.5
 #: Tokens of a run, and runs (the smallest hashes) of a line's sketch.
@@ -77,8 +77,8 @@ def sketches_of(lines: np.ndarray, hashed: list[np.ndarray]) -> tuple[np.ndarray
     return runs[kept], np.concatenate([[0], np.cumsum(np.bincount(place[kept], minlength=len(sizes)))])
 
 
-def _read(depth: int, sketched: bool):
-    """Rows of SKETCHES or of LINES: each line once for each document."""
+def _read(depth: int, sketched: bool, sieve=None):
+    """Rows of SKETCHES or of LINES: each line once for each document; of LINES those whose leaf the sieve finds."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
@@ -86,7 +86,7 @@ def _read(depth: int, sketched: bool):
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
                 rows: list[tuple] = []
-                hashed: list[np.ndarray] = []
+                tokens: list[list[bytes]] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                     seen, met = set(), set()
                     for own in (text or b"").split(b"\n"):
@@ -95,7 +95,11 @@ def _read(depth: int, sketched: bool):
                             leaf = leaf_of(t, depth)
                             rows.append((doc_id, None if sketched and leaf in met else leaf, line))
                             met.add(leaf)
-                            hashed.append(known.of(t))
+                            tokens.append(t)
+                if sieve is not None:
+                    hit = sieve.value.test(np.array([x[1] for x in rows], np.int64)).tolist()
+                    rows, tokens = ([x for x, h in zip(own, hit, strict=True) if h] for own in (rows, tokens))
+                hashed = [known.of(t) for t in tokens]
                 columns = list(zip(*rows, strict=True)) or [()] * 3
                 if sketched:
                     values, ends = sketches_of(np.array(columns[2], np.int64), hashed)
@@ -131,7 +135,8 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     texts = docs.select("doc_id", "text")
     sketches = stash(texts.mapInArrow(_read(depth, True), SKETCHES))
     leaves = stash(sketches.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    lines = stash(texts.mapInArrow(_read(depth, False), LINES).join(sent(leaves), "leaf", "left_semi"))
+    sieve = texts.sparkSession.sparkContext.broadcast(Sieve(leaves))
+    lines = stash(texts.mapInArrow(_read(depth, False, sieve), LINES).join(sent(leaves), "leaf", "left_semi"))
     distinct = stash(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.any_value("tokens").alias("tokens")))
     at = distinct.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
     constant = at.groupBy("leaf", "place", "token").agg(F.sum("n").alias("with")).where(F.col("with") >= min_docs)
