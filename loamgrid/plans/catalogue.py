@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.operators import raster, spatial
+from loamgrid.operators import forest, polygons, raster, spatial
+from loamgrid.sources import files
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
@@ -81,13 +82,13 @@ bands = ", ".join
 INDICES = ("NDVI", "NDWI", "NDBI", "NDRE", "NBR2")
 
 # scenes
-both("scene_search", "SELECT id, day, round(cloud, 4) AS cloud FROM scenes WHERE cloud < 10 AND day >= '1996-05-01' AND day <= '1996-09-30' AND west < 6.29 AND east > 6.01 AND south < 49.72 AND north > 49.54")
+both("scene_search", "SELECT id, day, round(cloud, 6) AS cloud FROM scenes WHERE cloud < 10 AND day >= '1996-05-01' AND day <= '1996-09-30' AND west < 6.29 AND east > 6.01 AND south < 49.72 AND north > 49.54")
 both("boa_offset", "SELECT id, CASE WHEN offset_applied THEN 0 WHEN coalesce(TRY_CAST(baseline AS DOUBLE), 0) >= 4.0 THEN -1000 ELSE 0 END AS boa_offset FROM scenes")
 both("tile_id", "SELECT id, coalesce(nullif(replace(grid_code, 'MGRS-', ''), ''), CAST(utm_zone AS VARCHAR(9)) || latitude_band || grid_square) AS tile FROM scenes")
-SUMMARY = "SELECT id, day, round(cloud, 4) AS cloud, round(greatest(least(east, 6.29E0) - greatest(west, 6.01E0), 0) * greatest(least(north, 49.72E0) - greatest(south, 49.54E0), 0) / (0.28E0 * 0.18E0), 6) AS covered, west <= 6.01 AND east >= 6.29 AND south <= 49.54 AND north >= 49.72 AS contains_aoi FROM scenes"
+SUMMARY = "SELECT id, day, round(cloud, 6) AS cloud, round(greatest(least(east, 6.29E0) - greatest(west, 6.01E0), 0) * greatest(least(north, 49.72E0) - greatest(south, 49.54E0), 0) / (0.28E0 * 0.18E0), 6) AS covered, west <= 6.01 AND east >= 6.29 AND south <= 49.54 AND north >= 49.72 AS contains_aoi FROM scenes"
 both("scene_summary", SUMMARY)
 both("st_contains", f"SELECT id, contains_aoi FROM ({SUMMARY}) s")
-both("pin_scene", "SELECT id, day, round(cloud, 4) AS cloud FROM scenes WHERE id = 'S17'")
+both("pin_scene", "SELECT id, day, round(cloud, 6) AS cloud FROM scenes WHERE id = 'S17'")
 both("select_scene", f"SELECT id, day, cloud FROM ({SUMMARY}) s WHERE contains_aoi AND cloud < 10 ORDER BY cloud, day, id LIMIT 1")
 both("q_scene_list", f"SELECT id, covered, cloud, contains_aoi FROM ({SUMMARY}) s WHERE cloud < 10 ORDER BY contains_aoi DESC, cloud, id")
 # pixels
@@ -133,24 +134,19 @@ both("edge_density", f"SELECT {IF('e <> label')} + {IF('s <> label')} AS edges,
 DISTANCE = f"SELECT p.r, p.c, round(min(sqrt((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c))) * 10, 6) AS distance_m FROM smooth p CROSS JOIN ({EDGES}) q WHERE q.edge AND abs(p.r - q.r) <= 8 AND abs(p.c - q.c) <= 12 GROUP BY p.r, p.c"
 distances = lambda s, d: raster.boundary_distance(run(s, d, "SELECT r, c, label FROM smooth"))
 own("boundary_distance", distances, DISTANCE)
-own("uncertain_fraction", lambda s, d: distances(s, d).agg(F.round(F.avg((F.col("distance_m") < 30).cast("double")), 6).alias("share")), f"SELECT round(avg(CASE WHEN distance_m < 30 THEN 1.0 ELSE 0.0 END), 6) AS share FROM ({DISTANCE}) x")
+own("uncertain_fraction", lambda s, d: distances(s, d).agg(F.round(F.avg((F.col("distance_m") < 100).cast("double")), 6).alias("share")), f"SELECT round(avg(CASE WHEN distance_m < 100 THEN 1.0 ELSE 0.0 END), 6) AS share FROM ({DISTANCE}) x")
 BAND = "CASE WHEN distance_m < 20 THEN '0-20' WHEN distance_m < 50 THEN '20-50' WHEN distance_m < 100 THEN '50-100' WHEN distance_m < 200 THEN '100-200' WHEN distance_m < 400 THEN '200-400' ELSE '>400' END"
 BANDED = f"SELECT {BAND} AS band, {N} AS n, round(avg(CASE WHEN label = pred THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy FROM dist JOIN smooth USING (r, c) GROUP BY {BAND}"
 own("accuracy_by_distance", lambda s, d: run(s, d, BANDED, dist=distances(s, d)), BANDED.replace("FROM dist", f"FROM ({DISTANCE}) dist"))
-WRONG = "SELECT r, c, CASE WHEN label = pred THEN 0 WHEN distance_m < 30 THEN 1 ELSE 2 END AS kind FROM dist JOIN smooth USING (r, c)"
+WRONG = "SELECT r, c, CASE WHEN label = pred THEN 0 WHEN distance_m < 100 THEN 1 ELSE 2 END AS kind FROM dist JOIN smooth USING (r, c)"
 own("disagreement", lambda s, d: run(s, d, WRONG, dist=distances(s, d)), WRONG.replace("FROM dist", f"FROM ({DISTANCE}) dist"))
 both("band_label", "SELECT lo, hi, CASE WHEN hi IS NULL THEN '>' || CAST(lo AS VARCHAR(9)) ELSE CAST(lo AS VARCHAR(9)) || '-' || CAST(hi AS VARCHAR(9)) END AS band FROM (SELECT 0 AS lo, 20 AS hi UNION ALL SELECT 20, 50 UNION ALL SELECT 50, 100 UNION ALL SELECT 100, 200 UNION ALL SELECT 200, 400 UNION ALL SELECT 400, NULL) b")
-INPUT = "SELECT r, c, label FROM smooth WHERE r < 40 AND c < 60"
-REACH = "WITH RECURSIVE n AS (SELECT r * 1000000 + c AS id, r, c, label FROM g), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.label = b.label AND {near}), w AS (SELECT id AS start, id AS node FROM n UNION SELECT w.start, e.b FROM w JOIN e ON e.a = w.node) SELECT n.r, n.c, n.label, CAST(x.component AS BIGINT) AS component FROM n JOIN (SELECT node, min(start) AS component FROM w GROUP BY node) x ON x.node = n.id"
-for key, near, steps in (("components_4", "abs(a.r - b.r) + abs(a.c - b.c) = 1", ((0, 1), (1, 0))), ("components", "greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1", ((0, 1), (1, 0), (1, 1), (1, -1)))):
+INPUT = "SELECT r, c, label FROM smooth"
+for key, steps in (("components_4", ((0, 1), (1, 0))), ("components", ((0, 1), (1, 0), (1, 1), (1, -1)))):
     QUERIES[key] = lambda s, d, steps=steps: raster.components(run(s, d, INPUT), steps)
-    grid = ", ".join(f"{n} AS ({VIEWS[n]})" for n in closure(INPUT))
-    ORACLES[key] = REACH.format(near=near).replace("WITH RECURSIVE", f"WITH RECURSIVE {grid}, g AS ({INPUT}),")
 SIZES = "SELECT label, CAST(count(DISTINCT component) AS BIGINT) AS regions, CAST(count(*) * 100 AS BIGINT) AS area_m2 FROM ({}) x GROUP BY label"
 own("polygonise", lambda s, d: run(s, d, SIZES.replace("({})", "x0"), x0=QUERIES["components_4"](s, d)), None)
-ORACLES["polygonise"] = ORACLES["components_4"].replace("SELECT n.r, n.c", "SELECT n.label, CAST(count(DISTINCT x.component) AS BIGINT) AS regions, CAST(count(*) * 100 AS BIGINT) AS area_m2 --").replace(", n.label, CAST(x.component AS BIGINT) AS component FROM", "\nFROM") + " GROUP BY n.label"
 own("fragmentation", lambda s, d: run(s, d, "SELECT CAST(count(*) AS BIGINT) AS patches, round(avg(n) * 0.01E0, 6) AS mean_ha, round(sum(CASE WHEN n < 5 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS tiny FROM (SELECT component, count(*) AS n FROM x0 GROUP BY component) y", x0=QUERIES["components"](s, d)), None)
-ORACLES["fragmentation"] = ORACLES["components"].replace("SELECT n.r, n.c, n.label, CAST(x.component AS BIGINT) AS component FROM n JOIN", "SELECT CAST(count(*) AS BIGINT) AS patches, round(avg(m) * 0.01E0, 6) AS mean_ha, round(sum(CASE WHEN m < 5 THEN m ELSE 0 END) / CAST(sum(m) AS DOUBLE), 6) AS tiny FROM (SELECT component, count(*) AS m FROM n JOIN") + " GROUP BY component) y"
 MIN3 = lambda v, f: f"SELECT r, c, own, CASE WHEN count(*) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 3 AND '{f}' = 'min' THEN 0 ELSE {f}({v}) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS {v} FROM (SELECT r, c, own, CASE WHEN count(*) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 3 AND '{f}' = 'min' THEN 0 ELSE {f}({v}) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS {v} FROM"
 THIN = f"{MIN3('v', 'max')} ({MIN3('v', 'min')} (SELECT r, c, CASE WHEN label = 1 THEN 1 ELSE 0 END AS own, CASE WHEN label = 1 THEN 1 ELSE 0 END AS v FROM pixels) a) b) d) e"
 both("thin_structures", f"SELECT r, c, own = 1 AND v = 0 AS thin FROM ({THIN}) z")
@@ -160,7 +156,7 @@ both("block_ids", "SELECT r, c, block FROM blocks")
 both("distinct_blocks", "SELECT DISTINCT block FROM blocks WHERE valid")
 FOLDS = "SELECT block, CAST((row_number() OVER (ORDER BY block * 7919 % 1009, block) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT block FROM blocks WHERE valid) x"
 both("block_folds", f"SELECT b.r, b.c, coalesce(f.fold, -1) AS fold FROM blocks b LEFT JOIN ({FOLDS}) f ON b.block = f.block")
-both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1 AND r % 20 = 0 AND c % 20 < 4) e ON e.block = b.block WHERE e.block IS NULL")
+both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1) e ON e.block = b.block WHERE e.block IS NULL")
 SPLIT = "SELECT b.*, CASE WHEN NOT valid THEN NULL WHEN t.block IS NOT NULL THEN 'test' ELSE 'train' END AS side FROM blocks b LEFT JOIN (SELECT block FROM (SELECT block, row_number() OVER (ORDER BY block * 7919 % 1009, block) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM blocks WHERE valid) x) y WHERE k <= greatest(1, round(0.3 * n))) t ON t.block = b.block"
 both("block_split", f"SELECT r, c, side FROM ({SPLIT}) s")
 SIDE = lambda x: IF(f"side = '{x}'")
@@ -175,7 +171,7 @@ F1 = "CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END"
 both("per_class_metrics", f"SELECT k AS class_id, {R('p', 'prec')}, {R('q', 'recall')}, {R(F1, 'f1')}, support FROM ({CLASSWISE}) z")
 both("overall_metrics", f"SELECT round(po, 6) AS accuracy, round((po - pe) / (1 - pe), 6) AS kappa, {R('macro', 'macro_f1')}, {R('weighted', 'weighted_f1')}, n FROM (SELECT CAST(sum(hit) AS DOUBLE) / sum(support) AS po, sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe, avg({F1}) AS macro, sum({F1} * support) / sum(support) AS weighted, CAST(sum(support) AS BIGINT) AS n FROM ({CLASSWISE}) z) m")
 both("split_comparison", f"SELECT round(avg(CASE WHEN r % 3 = 0 AND label = pred THEN 1.0E0 WHEN r % 3 = 0 THEN 0.0E0 END) - avg(CASE WHEN side = 'test' AND label = pred THEN 1.0E0 WHEN side = 'test' THEN 0.0E0 END), 6) AS inflation FROM ({SPLIT}) s")
-both("drop_rare_classes", "SELECT r, c, CASE WHEN share >= 0.2 THEN label ELSE 0 END AS label FROM pixels JOIN (SELECT label AS l, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM pixels WHERE label <> 0 GROUP BY label) s ON l = label")
+both("drop_rare_classes", "SELECT r, c, CASE WHEN share >= 0.005 THEN label ELSE 0 END AS label FROM pixels JOIN (SELECT label AS l, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM pixels WHERE label <> 0 GROUP BY label) s ON l = label")
 both("zonal_stats", f"SELECT block AS zone, {N} AS pixels, round(100.0E0 * {IF('label = 6')} / count(*), 6) AS forest_pct, round(100.0E0 * {IF('label = 1')} / count(*), 6) AS built_pct, round(count(*) * 1e-4, 6) AS km2, round(least(count(*) / 400.0E0, 1), 6) AS coverage FROM blocks WHERE label > 0 GROUP BY block")
 # smoothing
 RIGHT = f"SELECT sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3)) AS d FROM ({STANDARD}) a JOIN ({STANDARD}) b ON a.valid AND b.valid AND "
@@ -195,13 +191,14 @@ THETAS = "SELECT CAST(p_size AS DOUBLE) / 4 AS theta, round(avg(p_retailprice),
 both("select_theta", f"SELECT theta, dropped, retention FROM ({THETAS}) t WHERE retention >= 0.75 ORDER BY dropped, theta LIMIT 1")
 both("sweep_report", f"SELECT theta, metric, value FROM (SELECT theta, 'dropped' AS metric, dropped AS value FROM ({THETAS}) a UNION ALL SELECT theta, 'retention', retention FROM ({THETAS}) b) x")
 # polygons
+CORNERS = "SELECT poly_id, k, CASE k WHEN 1 THEN x1 WHEN 2 THEN x1 WHEN 3 THEN (x0 + x1) / 2 ELSE x0 END AS x, CASE k WHEN 2 THEN (y0 + y1) / 2 WHEN 3 THEN y1 WHEN 4 THEN y1 ELSE y0 END AS y FROM polys CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) c"
 both("class_area", f"SELECT class_name, {N} AS n, round(sum(area) / 1e6, 6) AS km2 FROM named GROUP BY class_name")
 both("q_class_area", f"SELECT class_name, {N} AS n, round(sum(area) / 1e6, 6) AS km2, round(100 * sum(area) / sum(sum(area)) OVER (), 6) AS pct FROM named GROUP BY class_name ORDER BY km2 DESC, class_name")
 both("share_of_total", "SELECT class_id, round(100 * sum(area) / sum(sum(area)) OVER (), 6) AS pct FROM named GROUP BY class_id")
 both("filtered_sum", "SELECT class_id, round(sum(area) FILTER (WHERE area >= 20000), 4) AS large, round(sum(area) FILTER (WHERE area < 0), 4) AS none_of_them FROM named GROUP BY class_id")
-both("speck_filter", f"SELECT {IF('area >= 20000')} AS kept, {IF('area < 20000')} AS dropped, round(sum(CASE WHEN area < 20000 THEN area ELSE 0 END), 4) AS dropped_m2 FROM named")
+both("speck_filter", f"SELECT {IF('area >= 2000')} AS kept, {IF('area < 2000')} AS dropped, round(sum(CASE WHEN area < 2000 THEN area ELSE 0 END), 4) AS dropped_m2 FROM named")
 both("area_stats", f"SELECT class_id, round(min(area) / 1e4, 6) AS min_ha, round({PERCENTILE('area', 0.5)} / 1e4, 6) AS median_ha FROM named GROUP BY class_id")
-both("st_area", "SELECT poly_id, round((x0 * y0 - x1 * y0 + x1 * y1 - x0 * y1 + x0 * y1 - x0 * y0 + x1 * y0 - x1 * y1) / 2 + (x1 - x0) * (y1 - y0), 4) AS area FROM polys")
+both("st_area", f"SELECT poly_id, round(abs(sum(x * y2 - x2 * y)) / 2, 4) AS area FROM (SELECT poly_id, x, y, lead(x) OVER (PARTITION BY poly_id ORDER BY k) AS x2, lead(y) OVER (PARTITION BY poly_id ORDER BY k) AS y2 FROM ({CORNERS}) z) e GROUP BY poly_id")
 both("st_perimeter", "SELECT poly_id, round(2 * (x1 - x0) + 2 * (y1 - y0), 4) AS perimeter FROM polys")
 both("compactness", "SELECT poly_id, round(4 * pi() * area / nullif(power(2 * (x1 - x0) + 2 * (y1 - y0), 2), 0), 6) AS compactness FROM named")
 both("st_intersects", "SELECT poly_id, greatest(p.x0, a.x0) <= least(p.x1, a.x1) AND greatest(p.y0, a.y0) <= least(p.y1, a.y1) AS meets FROM polys p CROSS JOIN aoi a")
@@ -236,3 +233,58 @@ PATCHES = "SELECT poly_id, class_name, area, 2 * (x1 - x0) + 2 * (y1 - y0) AS le
 both("topk", f"SELECT poly_id, round(area, 4) AS area FROM ({PATCHES}) t")
 both("patch_rank", f"SELECT CAST(row_number() OVER (ORDER BY area DESC, poly_id) AS BIGINT) AS k, poly_id FROM ({PATCHES}) t")
 both("q_forest_patches", f"SELECT CAST(row_number() OVER (ORDER BY area DESC, poly_id) AS BIGINT) AS k, class_name, round(area / 1e6, 6) AS km2, round(4 * pi() * area / nullif(power(len, 2), 0), 6) AS compactness FROM ({PATCHES}) t")
+
+# polygons of five corners: boxes with one corner cut off
+EDGE = f"SELECT poly_id, x, y, lead(x) OVER (PARTITION BY poly_id ORDER BY k) AS x2, lead(y) OVER (PARTITION BY poly_id ORDER BY k) AS y2 FROM ({CORNERS}) z"
+POINT = "array(CAST({} AS DOUBLE), CAST({} AS DOUBLE))"
+RINGED = "SELECT poly_id, class_id, x0, y0, x1, y1, array(array(" + ", ".join(POINT.format(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "(y0 + y1) / 2"), ("(x0 + x1) / 2", "y1"), ("x0", "y1"), ("x0", "y0"))) + ")) AS rings FROM polys"
+ringed = lambda s, d: run(s, d, RINGED)
+LENGTH = f"SELECT poly_id, sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))) AS p, abs(sum(x * y2 - x2 * y)) / 2 AS area FROM ({EDGE}) e GROUP BY poly_id"
+own("ring_area", lambda s, d: ringed(s, d).select("poly_id", F.round(polygons.area(F.col("rings")), 4).alias("area")), f"SELECT poly_id, round(area, 4) AS area FROM ({LENGTH}) z")
+own("ring_perimeter", lambda s, d: ringed(s, d).select("poly_id", F.round(polygons.perimeter(F.col("rings")), 4).alias("perimeter")), f"SELECT poly_id, round(p, 4) AS perimeter FROM ({LENGTH}) z")
+own("ring_compactness", lambda s, d: ringed(s, d).select("poly_id", F.round(polygons.compactness(F.col("rings")), 6).alias("compactness")), f"SELECT poly_id, round(4 * pi() * area / nullif(p * p, 0), 6) AS compactness FROM ({LENGTH}) z")
+own("ring_contains", lambda s, d: ringed(s, d).select("poly_id", polygons.contains(F.col("rings"), F.col("x1") - 4.5, F.col("y1") - 3.5).alias("inside")), f"SELECT e.poly_id, sum(CASE WHEN (y > p.y1 - 3.5) <> (y2 > p.y1 - 3.5) AND p.x1 - 4.5 < (x2 - x) * (p.y1 - 3.5 - y) / nullif(y2 - y, 0) + x THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM ({EDGE}) e JOIN polys p ON p.poly_id = e.poly_id GROUP BY e.poly_id")
+own("ring_clip", lambda s, d: ringed(s, d).select("poly_id", F.round(F.coalesce(polygons.area(F.array(polygons.clip(F.col("rings")[0], F.lit(5000.0), F.lit(5000.0), F.lit(15000.0), F.lit(15000.0)))), F.lit(0.0)), 4).alias("area")), None)
+own("st_isvalid", lambda s, d: ringed(s, d).select("poly_id", polygons.is_valid(F.col("rings")[0]).alias("valid")), "SELECT poly_id, TRUE AS valid FROM polys WHERE x1 > x0")
+# files
+paged = lambda s, d: files.collections(ringed(s, d).select("poly_id", F.struct(F.col("poly_id").alias("ID"), F.col("class_id").alias("Code")).alias("properties"), "rings"), 1000, "poly_id")
+own("geojson_scan", lambda s, d: files.features(paged(s, d).select("text"), "ID bigint, Code int").select("id", "code", F.round(polygons.area(F.col("rings")), 4).alias("area")), f"SELECT z.poly_id AS id, class_id AS code, round(z.area, 4) AS area FROM ({LENGTH}) z JOIN polys p ON p.poly_id = z.poly_id")
+BOXED = "SELECT CAST(s_suppkey AS BIGINT) AS lau, s_name AS name, n_name AS land FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+own("load_communes", lambda s, d: files.features(files.collections(run(s, d, BOXED).select("lau", F.struct(F.col("lau").alias("LAU2"), F.col("name").alias("COMMUNE"), F.col("land").alias("Canton")).alias("properties"), F.lit(None).cast(files.RING).alias("rings")), 500, "lau").select("text"), "LAU2 bigint, COMMUNE string, Canton string").select("lau2", "commune", "canton"), "SELECT CAST(s_suppkey AS BIGINT) AS lau2, s_name AS commune, n_name AS canton FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+SUMMED = f"SELECT max(id) AS newest, {N} AS scenes FROM scenes"
+own("manifest_scan", lambda s, d: run(s, d, SUMMED).select(F.to_json(F.struct("newest", "scenes")).alias("text")).select(F.from_json("text", "newest string, scenes bigint").alias("m")).select("m.*"), SUMMED)
+
+
+def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last result of a script over the polygons."""
+    run(spark, sf_dir, "SELECT * FROM named").createOrReplaceTempView("loamgrid_named")
+    script = "-- classes with their area\nCREATE OR REPLACE TEMPORARY VIEW loamgrid_sums AS SELECT class_id, round(sum(area), 4) AS area FROM loamgrid_named GROUP BY class_id;\n-- the largest first\nSELECT class_id, area FROM loamgrid_sums ORDER BY area DESC;\n-- end\n"
+    return files.run_script(spark, script)[-1][1]
+
+
+own("sql_script", scripted, "SELECT class_id, round(sum(area), 4) AS area FROM named GROUP BY class_id")
+own("repair_geometry", lambda s, d: ringed(s, d).select("poly_id", F.when(polygons.is_valid(F.col("rings")[0]), F.round(polygons.area(F.col("rings")), 4)).alias("area")), f"SELECT poly_id, CASE WHEN area > 0 THEN round(area, 4) END AS area FROM ({LENGTH}) z")
+both("q_web_metrics", f"SELECT round(po, 4) AS accuracy, round((po - pe) / (1 - pe), 4) AS kappa, n FROM (SELECT CAST(sum(hit) AS DOUBLE) / sum(support) AS po, sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe, CAST(sum(support) AS BIGINT) AS n FROM ({CLASSWISE}) z) m")
+# forests
+DRAWN = "(r * 7919 + c * 104729) % 1000003"
+both("random_split", f"SELECT r, c, CASE WHEN NOT valid THEN NULL WHEN {DRAWN} < 300001 THEN 'test' ELSE 'train' END AS side FROM indexed")
+own("subsample", lambda s, d: forest.subsample(run(s, d, "SELECT r, c, label FROM indexed WHERE valid"), 200, ["r", "c"]).agg(F.count("*").alias("n"), F.countDistinct("r", "c").alias("n_distinct")), "SELECT CAST(least(count(*), 200) AS BIGINT) AS n, CAST(least(count(*), 200) AS BIGINT) AS n_distinct FROM indexed WHERE valid")
+LEARNT = f"SELECT s.*, f.fold FROM (SELECT r, c, label, block, CASE WHEN {DRAWN} < 300001 THEN 1 ELSE 0 END AS drawn, {bands((*BANDS, *INDICES))}, side FROM (SELECT i.*, b.side, b.block FROM indexed i JOIN ({SPLIT}) b ON b.r = i.r AND b.c = i.c) j WHERE valid AND NDVI IS NOT NULL AND NDWI IS NOT NULL AND NDBI IS NOT NULL AND NDRE IS NOT NULL AND NBR2 IS NOT NULL) s JOIN ({FOLDS}) f ON f.block = s.block"
+TREES = {"trees": 20, "depth": 8}
+learnt = lambda s, d: run(s, d, LEARNT)
+fitted = lambda s, d, **o: forest.fit(learnt(s, d).where("side = 'train'"), [*BANDS, *INDICES], **TREES, **o)
+own("rf_predict", lambda s, d: forest.predict(fitted(s, d), learnt(s, d)).select("r", "c", "label", "pred"), None)
+own("rf_evaluate", lambda s, d: forest.predict(fitted(s, d, balanced=True), learnt(s, d).where("side = 'test'")).agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")), None)
+own("feature_importance", lambda s, d: s.createDataFrame(forest.importances(fitted(s, d)), "feature string, importance double"), None)
+oof = lambda s, d: forest.out_of_fold(learnt(s, d), [*BANDS, *INDICES], 5, **TREES)
+own("rf_oof", lambda s, d: oof(s, d).select("r", "c", "fold", "label", "pred", "p"), None)
+own("oof_accuracy", lambda s, d: oof(s, d).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")), None)
+
+
+def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = learnt(spark, sf_dir)
+    sides = [x.where(w) for w in ("side = 'train'", "side = 'test'", "drawn = 0", "drawn = 1")]
+    return spark.createDataFrame(forest.leakage_sweep(*sides, [*BANDS, *INDICES], [100, 400, 1_600_000_000], ["r", "c"], **TREES), "n long, blocked double, random double, difference double")
+
+
+own("leakage_sweep", leakage, None)
