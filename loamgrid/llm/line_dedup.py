@@ -130,8 +130,8 @@ def surroundings(sketches: DataFrame, candidates: DataFrame, min_docs: int) -> D
     return by_line.groupBy(F.col("doc_id").alias("id")).agg(F.min(own).alias("own"), F.slice(F.array_sort(F.collect_set(low)), 1, 2).alias("others"))
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """A table of the hashes of the lines that have a recurring template."""
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> tuple[DataFrame, Sieve]:
+    """A table of the hashes of the lines that have a recurring template, and a sieve of the ids of documents with such lines."""
     texts = docs.select("doc_id", "text")
     sketches = stash(texts.mapInArrow(_read(depth, True), SKETCHES))
     leaves = stash(sketches.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
@@ -166,12 +166,13 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         .select("template")
     )
     # a template may hold a large share of all lines, so rows are not dealt by it if the list of templates can be sent
-    gone = stash(shaped.select("template", "line").distinct().join(sent(recurring), "template", "left_semi").select("line").distinct())
-    discard(sketches, leaves, lines, distinct, shaped, enough)
-    return gone
+    held = stash(shaped.join(sent(recurring), "template", "left_semi").select("doc_id", "line"))
+    gone, owners = stash(held.select("line").distinct()), Sieve(held.where("doc_id is not null").select("doc_id"))
+    discard(sketches, leaves, lines, distinct, shaped, enough, held)
+    return gone, owners
 
 
-def _cleaned(schema: T.StructType, gone, counted: bool):
+def _cleaned(schema: T.StructType, gone, owners, counted: bool):
     """Drops the lines in gone, a sorted array; n_dropped_lines adds to what earlier blocks dropped."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,13 @@ def _cleaned(schema: T.StructType, gone, counted: bool):
         for batch in batches:
             texts, counts = [], []
             before = batch.column("n_dropped_lines").to_pylist() if counted else [0] * len(batch)
-            for text, n in zip(as_bytes(batch.column("text")), before, strict=True):
+            ids = batch.column("doc_id")
+            met = owners.value.test(ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            for text, n, asked in zip(as_bytes(batch.column("text")), before, met.tolist(), strict=True):
+                if not asked:
+                    texts.append(text)
+                    counts.append(n)
+                    continue
                 split = (text or b"").split(b"\n")
                 kept = [line for line in split if not (t := tokens_of(line)) or line_of(t) not in known]
                 texts.append(text if len(kept) == len(split) else b"\n".join(kept))
@@ -194,14 +201,15 @@ def drop_recurring_lines(docs: DataFrame, counted: bool = False, block: int = BL
     """docs, all columns, without the lines of recurring templates; if counted, with n_dropped_lines (a column of that name is replaced).
     Texts are not shuffled: the lines' hashes are sent to the tasks in blocks of `block`, and each line is judged where it is read."""
     spark = docs.sparkSession
-    gone = recurring_lines(docs, **options)
+    gone, owners = recurring_lines(docs, **options)
+    owners = spark.sparkContext.broadcast(owners)
     parts = -(-gone.count() // block)
     if counted:
         docs = docs.drop("n_dropped_lines").withColumn("n_dropped_lines", F.lit(0).cast("long"))
     schema = docs.schema
     for i in range(parts):
         own = gone.where(F.pmod(F.xxhash64("line"), F.lit(parts)) == i).toArrow()["line"].to_numpy()  # about `block` longs
-        docs = docs.mapInArrow(_cleaned(schema, spark.sparkContext.broadcast(own), counted), schema)
+        docs = docs.mapInArrow(_cleaned(schema, spark.sparkContext.broadcast(own), owners, counted), schema)
     return docs
 
 
