@@ -174,13 +174,9 @@ def hash_texts(texts: list[bytes]) -> Iterator[np.ndarray]:
         at = end
 
 
-def hash_words(text: bytes, lower: bool = True) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text, in order, A-Z lower-cased if asked for: polynomials of their bytes, all at once."""
-    if lower:
-        text = text.lower()
-    if len(text) <= BLOCK:
-        return _hash_block(text)[0]
-    found, at = [], 0
+def blocks(text: bytes) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of about BLOCK bytes that cut no word."""
+    at = 0
     while at < len(text):
         end = at + BLOCK
         if end < len(text):
@@ -188,9 +184,30 @@ def hash_words(text: bytes, lower: bool = True) -> np.ndarray:
             if cut < 0:  # a word longer than the block
                 cut = min((i for c in SPACES if (i := text.find(c, end)) >= 0), default=len(text) - 1)
             end = cut + 1
-        found.append(_hash_block(text[at:end])[0])
+        yield at, min(end, len(text))
         at = end
-    return np.concatenate(found)
+
+
+def hash_words(text: bytes, lower: bool = True) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text, in order, A-Z lower-cased if asked for: polynomials of their bytes, all at once."""
+    if lower:
+        text = text.lower()
+    if len(text) <= BLOCK:
+        return _hash_block(text)[0]
+    return np.concatenate([_hash_block(text[at:end])[0] for at, end in blocks(text)])
+
+
+def masked_words(text: bytes, field: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a text, in order; a word with a digit has the hash `field`."""
+    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for at, end in blocks(text):
+        part = text[at:end]
+        h, start = _hash_block(part)
+        digits = np.flatnonzero(np.frombuffer(part, np.uint8) - np.uint8(48) < 10)
+        h[np.searchsorted(start, digits, side="right") - 1] = field
+        hashes.append(h)
+        starts.append(start + at)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 @cache

@@ -18,17 +18,15 @@ columns of any name are handed on.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import Sieve, as_bytes, discard, load, stash, windows, word_hashes
+from loamgrid.llm.common import STEP, Sieve, as_bytes, discard, load, masked_words, mix, stash, windows
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 10, 0.5
 #: Tokens of a run, and runs (the smallest hashes) of a line's sketch.
@@ -38,37 +36,60 @@ SENT_ROWS = 1_000_000
 #: Hashes of recurring lines (8 bytes each) that are sent to all tasks at once.
 BLOCK = 1_000_000
 
-DIGITS = re.compile(rb"[0-9]")
-FIELD = b"<*>"
+#: The hash of a variable field.
+FIELD = np.uint64(1)
 
 LINES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "leaf", "line")), T.StructField("tokens", T.ArrayType(T.LongType()))])
 #: leaf is null but for the first line of a leaf in a document.
 SKETCHES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "leaf", "line")), T.StructField("runs", T.ArrayType(T.LongType()))])
 
 
-def tokens_of(line: bytes) -> list[bytes]:
-    """The tokens, those with a digit masked."""
-    words = line.split()
-    return [FIELD if DIGITS.search(w) else w for w in words] if DIGITS.search(line) else words
-
-
-def leaf_of(tokens: list[bytes], depth: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth])) >> 1
-
-
-def line_of(tokens: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) >> 1
-
-
-def sketches_of(lines: np.ndarray, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+class Lines:
+    """The lines with tokens of some texts, one after the other: doc (place of the text), nth (its line number there), line and leaf
+    (hashes), tokens (all hashes, variable fields alike) and size (tokens of each line)."""
+
+    def __init__(self, texts: list[bytes], depth: int = DEPTH):
+        joined = b"\n".join(texts)
+        self.tokens, start = masked_words(joined, FIELD)
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        at = np.searchsorted(breaks, start)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        self.size = np.diff(np.append(first, len(at)))
+        place = np.arange(len(at)) - np.repeat(first, self.size)
+        weight = mix(np.arange(1, self.size.max(initial=0) + 1, dtype=np.uint64) * STEP) | np.uint64(1)
+        part = self.tokens * weight[place]
+        total = lambda x: np.add.reduceat(x, first) if len(first) else x
+        size = self.size.astype(np.uint64)
+        self.line = (mix(total(part) + size) >> np.uint64(1)).view(np.int64)
+        self.leaf = (mix(total(np.where(place < depth, part, np.uint64(0))) + size * STEP) >> np.uint64(1)).view(np.int64)
+        opens = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        self.doc = np.searchsorted(opens, start[first], side="right") - 1
+        self.nth = at[first] - np.searchsorted(breaks, opens)[self.doc]
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Only the lines with a true value stay."""
+        self.tokens = self.tokens[np.repeat(kept, self.size)]
+        self.doc, self.nth, self.line, self.leaf, self.size = (x[kept] for x in (self.doc, self.nth, self.line, self.leaf, self.size))
+
+
+def first_of(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether a value is the first such of its document."""
+    order = np.lexsort((value, doc))
+    new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (value[order][1:] != value[order][:-1]))[: len(order)]
+    found = np.zeros(len(order), bool)
+    found[order[new]] = True
+    return found
+
+
+def sketches_of(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """The smallest hashes of runs of each line, one line after the other, and where each line's end; a line shorter than a run has its own hash."""
-    sizes = np.array([len(x) for x in hashed], np.int64)
-    short = np.flatnonzero(sizes < RUN)
-    place, runs = short, lines[short].view(np.uint64)
+    sizes = lines.size
+    place = np.flatnonzero(sizes < RUN)
+    runs = lines.line[place].view(np.uint64)
     if sizes.sum() >= RUN:
         owner = np.repeat(np.arange(len(sizes)), sizes)
         within = owner[RUN - 1 :] == owner[: len(owner) - RUN + 1]
-        place, runs = np.concatenate([place, owner[: len(within)][within]]), np.concatenate([runs, windows(np.concatenate(hashed), RUN)[within]])
+        place, runs = np.concatenate([place, owner[: len(within)][within]]), np.concatenate([runs, windows(lines.tokens, RUN)[within]])
     order = np.lexsort((runs, place))
     place, runs = place[order], runs[order]
     new = np.append(True, (place[1:] != place[:-1]) | (runs[1:] != runs[:-1]))[: len(place)]
@@ -81,32 +102,21 @@ def _read(depth: int, sketched: bool, sieve=None):
     """Rows of SKETCHES or of LINES: each line once for each document; of LINES those whose leaf the sieve finds."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_hashes()
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                rows: list[tuple] = []
-                tokens: list[list[bytes]] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                    seen, met = set(), set()
-                    for own in (text or b"").split(b"\n"):
-                        if (t := tokens_of(own)) and (line := line_of(t)) not in seen:
-                            seen.add(line)
-                            leaf = leaf_of(t, depth)
-                            rows.append((doc_id, None if sketched and leaf in met else leaf, line))
-                            met.add(leaf)
-                            tokens.append(t)
+                lines = Lines([t or b"" for t in as_bytes(batch.column(1))], depth)
+                lines.keep(first_of(lines.doc, lines.line))
                 if sieve is not None:
-                    hit = sieve.value.test(np.array([x[1] for x in rows], np.int64)).tolist()
-                    rows, tokens = ([x for x, h in zip(own, hit, strict=True) if h] for own in (rows, tokens))
-                hashed = [known.of(t) for t in tokens]
-                columns = list(zip(*rows, strict=True)) or [()] * 3
+                    lines.keep(sieve.value.test(lines.leaf))
                 if sketched:
-                    values, ends = sketches_of(np.array(columns[2], np.int64), hashed)
+                    values, ends = sketches_of(lines)
+                    leaf = pa.array(lines.leaf, mask=~first_of(lines.doc, lines.leaf))
                 else:
-                    values, ends = np.concatenate(hashed) if hashed else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in hashed])])
+                    values, ends = lines.tokens, np.concatenate([[0], np.cumsum(lines.size)])
+                    leaf = pa.array(lines.leaf)
                 arrays = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), arrays], names=(SKETCHES if sketched else LINES).names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.doc)), leaf, pa.array(lines.line), arrays], names=(SKETCHES if sketched else LINES).names)
 
     return read
 
@@ -173,24 +183,24 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
 
 
 def _cleaned(schema: T.StructType, gone, owners, counted: bool):
-    """Drops the lines in gone, a sorted array; n_dropped_lines adds to what earlier blocks dropped."""
+    """Drops the lines in gone, a sorted array that is not empty; n_dropped_lines adds to what earlier blocks dropped."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(gone.value.tolist())
         for batch in batches:
-            texts, counts = [], []
-            before = batch.column("n_dropped_lines").to_pylist() if counted else [0] * len(batch)
+            texts = as_bytes(batch.column("text"))
+            counts = batch.column("n_dropped_lines").to_pylist() if counted else [0] * len(batch)
             ids = batch.column("doc_id")
             met = owners.value.test(ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
-            for text, n, asked in zip(as_bytes(batch.column("text")), before, met.tolist(), strict=True):
-                if not asked:
-                    texts.append(text)
-                    counts.append(n)
-                    continue
-                split = (text or b"").split(b"\n")
-                kept = [line for line in split if not (t := tokens_of(line)) or line_of(t) not in known]
-                texts.append(text if len(kept) == len(split) else b"\n".join(kept))
-                counts.append(n + len(split) - len(kept))
+            asked = np.flatnonzero(met).tolist()
+            lines = Lines([texts[i] or b"" for i in asked])
+            known = gone.value
+            hit = known[np.minimum(np.searchsorted(known, lines.line), len(known) - 1)] == lines.line
+            dropped: dict[int, set[int]] = {}
+            for i, nth in zip(lines.doc[hit].tolist(), lines.nth[hit].tolist(), strict=True):
+                dropped.setdefault(asked[i], set()).add(nth)
+            for i, which in dropped.items():
+                texts[i] = b"\n".join(line for nth, line in enumerate(texts[i].split(b"\n")) if nth not in which)
+                counts[i] += len(which)
             out = {"text": pa.array(texts, pa.binary()).cast(pa.string())} | ({"n_dropped_lines": pa.array(counts, pa.int64())} if counted else {})
             yield pa.RecordBatch.from_arrays([out[c] if c in out else batch.column(c) for c in schema.names], names=schema.names)
 
@@ -209,6 +219,9 @@ def drop_recurring_lines(docs: DataFrame, counted: bool = False, block: int = BL
     schema = docs.schema
     for i in range(parts):
         own = gone.where(F.pmod(F.xxhash64("line"), F.lit(parts)) == i).toArrow()["line"].to_numpy()  # about `block` longs
+        if not len(own):
+            continue
+        own = np.sort(own)
         docs = docs.mapInArrow(_cleaned(schema, spark.sparkContext.broadcast(own), owners, counted), schema)
     return docs
 
