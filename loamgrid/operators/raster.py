@@ -24,15 +24,22 @@ def boundary(pixels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def boundary_distance(pixels: DataFrame, pixel_m: float = 10.0) -> DataFrame:
-    """r, c, distance_m to the nearest edge pixel, exact, in two passes: rows to the nearest edge in the own column, by windows up
-    and down; then, in each row, the smallest of squared column distance plus squared step. The second pass meets only pixels of
-    the same row that are no further than the row's largest first-pass distance allows."""
+    """r, c, distance_m to the nearest edge pixel, exact if the grid is complete (masked pixels as rows), in two passes: rows to the nearest edge in the own column, by windows up
+    and down; then, within each row, the smallest of squared column distance plus squared step. A row is one array, as wide as the
+    scene; a pixel looks no further along it than its own first-pass distance, or at the whole row if its column has no edge. A
+    map without edges has null distances."""
     marked = boundary(pixels).select("r", "c", F.when(F.col("edge"), F.col("r")).alias("at"))
     above, below = down().rowsBetween(Window.unboundedPreceding, 0), down().rowsBetween(0, Window.unboundedFollowing)
     first = marked.select("r", "c", F.least(F.col("r") - F.last("at", True).over(above), F.first("at", True).over(below) - F.col("r")).alias("g"))
-    near = first.groupBy("r").agg(F.collect_list(F.struct("c", "g")).alias("row"))  # one grid row: as wide as the scene
-    best = lambda c: F.array_min(F.transform(F.filter("row", lambda x: x["g"].isNotNull()), lambda x: x["g"] * x["g"] + (x["c"] - c) * (x["c"] - c)))
-    return first.join(near, "r").select("r", "c", F.round(F.sqrt(best(F.col("c"))) * pixel_m, 6).alias("distance_m"))
+    rows = first.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("row"))
+
+    def best(x: Column, i: Column) -> Column:
+        low = F.greatest(i + 1 - x["g"], F.lit(1))
+        near = F.when(x["g"].isNull(), F.col("row")).otherwise(F.slice("row", low, i + 2 + x["g"] - low))
+        squares = F.transform(near, lambda y: y["g"] * y["g"] + (y["c"] - x["c"]) * (y["c"] - x["c"]))  # null where there is no edge
+        return F.struct(x["c"].alias("c"), F.round(F.sqrt(F.array_min(squares)) * pixel_m, 6).alias("distance_m"))
+
+    return rows.select("r", F.explode(F.transform("row", best)).alias("x")).select("r", "x.c", "x.distance_m")
 
 
 def components(pixels: DataFrame, offsets: tuple = ((0, 1), (1, 0)), rounds: int = 200) -> DataFrame:

@@ -58,3 +58,13 @@ def test_forest_learns_and_folds_are_guarded(spark):
     assert forest.subsample(table, 17, ["id"]).count() == 17 and forest.subsample(table, None, ["id"]).count() == 300
     with pytest.raises(ValueError, match="fold 0"):
         forest.out_of_fold(table.where("label <> 3 or fold = 0"), ["x", "y"], 4, trees=2, depth=2)
+
+
+def test_boundary_distance_matches_all_pairs(spark):
+    r = random.Random(2)
+    label = {(i, j): i // 5 + j // 8 + (r.random() < 0.03) for i in range(11) for j in range(17)}
+    table = spark.createDataFrame([(i, j, v) for (i, j), v in label.items()], "r int, c int, label int")
+    edges = [(x["r"], x["c"]) for x in raster.boundary(table).where("edge").collect()]
+    want = {(i, j): round(min((i - a) ** 2 + (j - b) ** 2 for a, b in edges) ** 0.5 * 10, 6) for i, j in label}
+    assert {(x["r"], x["c"]): x["distance_m"] for x in raster.boundary_distance(table).collect()} == want
+    assert {x["distance_m"] for x in raster.boundary_distance(table.withColumn("label", F.lit(1))).collect()} == {None}
