@@ -221,3 +221,22 @@ def test_toxicity_is_calibrated_to_all_training_rows(spark, docs, monkeypatch):
 @pytest.mark.parametrize("run", [quality_rules.quality_verdicts, lambda d: packing.pack(packing.pieces(d, packing.default_tokenizer(), with_ids=False)), line_dedup.drop_recurring_lines, sharding.shards])
 def test_empty_tables(spark, docs, run):
     assert run(docs(["x"]).limit(0)).count() == 0
+
+
+def test_sharding_moves_near_texts_together(spark, docs):
+    """Families of near texts: the links are those of a brute-force comparison of sketches' shingles, and moves cut fewer of them."""
+    r = random.Random(11)
+    families = [[r.choice(VOCABULARY) for _ in range(200)] for _ in range(12)]
+    texts = [" ".join([*f[:k], "changed", *f[k + 1 :]]) for f in families for k in (3, 90, 150, 197)] + [" ".join(r.choice(VOCABULARY) for _ in range(60)) for _ in range(80)]
+    table = docs(texts)
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    key = {row["cluster"]: row["doc_id"] for row in sharding.linked(table).select("doc_id", sharding._cluster(sharding.F.lit(0)).alias("cluster")).collect()}
+    links = [(key[row["a"]], key[row["b"]]) for row in sharding.near_links(table).collect()]
+    assert all(len(shingles[a] & shingles[b]) > 0.7 * len(shingles[a] | shingles[b]) for a, b in links)
+    assert len({x for link in links for x in link}) >= 44  # of 48
+    result, cuts = sharding.shards_and_cuts(table, n_shards=4)
+    counts = [row["count"] for row in result.groupBy("shard").count().collect()]
+    assert sum(counts) == len(texts) and max(counts) - min(counts) <= 1
+    assert cuts[-1] < 0.3 * cuts[0]
+    where = {row["doc_id"]: row["shard"] for row in result.collect()}
+    assert sum(where[a] != where[b] for a, b in links) <= cuts[-1]
