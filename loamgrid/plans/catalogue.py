@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.operators import forest, polygons, raster, spatial
+from loamgrid.functions import projection
+from loamgrid.operators import forest, polygons, raster, simplify, smoothing, spatial
+from loamgrid.plans import sweep
 from loamgrid.sources import files
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
 
@@ -288,3 +290,29 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 own("leakage_sweep", leakage, None)
+# smoothing with contrast weights, in tiles
+FIELD = f"SELECT s.r, s.c, s.valid, s.f1, s.f2, s.f3, p.p0, p.p1, p.p2 FROM ({STANDARD}) s JOIN ({PROBS}) p ON p.r = s.r AND p.c = s.c"
+WEIGHT = "exp(-((p.f1 - q.f1) * (p.f1 - q.f1) + (p.f2 - q.f2) * (p.f2 - q.f2) + (p.f3 - q.f3) * (p.f3 - q.f3)) / 2) / sqrt(dr * dr + dc * dc)"
+SENT = f"SELECT p.r, p.c, {', '.join(f'sum(q.p{k} * {WEIGHT}) AS m{k}' for k in range(3))} FROM ({FIELD}) p CROSS JOIN {AROUND} JOIN ({FIELD}) q ON p.valid AND q.valid AND q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0 GROUP BY p.r, p.c"
+SETTLED = f"SELECT t.r, t.c, t.valid, {', '.join(f't.p{k} * exp(0.8E0 * coalesce(m{k}, 0)) AS u{k}' for k in range(3))} FROM ({FIELD}) t LEFT JOIN ({SENT}) m ON m.r = t.r AND m.c = t.c"
+field = lambda s, d: run(s, d, FIELD).select("r", "c", "valid", "p0", "p1", "p2", F.col("f1").alias("f0"), F.col("f2").alias("f1"), F.col("f3").alias("f2"))
+own("contrast_mean_field", lambda s, d: smoothing.smooth(field(s, d), [0.8], 1.0, 1, 3, 3).select("r", "c", *[F.round(F.col("q")[i], 5).alias(f"q{i}") for i in range(3)]), f"SELECT r, c, {', '.join(f'round(CASE WHEN valid THEN u{k} / (u0 + u1 + u2) ELSE 0 END, 5) AS q{k}' for k in range(3))} FROM ({SETTLED}) z")
+sigma = lambda s, d: QUERIES["contrast_sigma"](s, d).first()["sigma"] or 1.0
+own("crf_convergence", lambda s, d: smoothing.convergence(smoothing.smooth(field(s, d), sweep.THETAS, sigma(s, d), sweep.STEPS, 3, 3), 3).withColumn("change", F.round("change", 6)), None)
+TRUTH = "SELECT r, c, label AS truth FROM indexed WHERE valid"
+thin = lambda s, d: run(s, d, f"SELECT r, c FROM ({THIN}) z WHERE own = 1 AND v = 0")
+own("theta_sweep", lambda s, d: sweep.sweep(field(s, d), run(s, d, TRUTH), thin(s, d), sigma(s, d), (1, 2, 4), 3), None)
+own("evaluate_map", lambda s, d: sweep.evaluate(run(s, d, "SELECT 0.0E0 AS theta, r, c, CASE WHEN valid THEN pred ELSE 0 END AS label FROM indexed"), run(s, d, TRUTH), thin(s, d)), None)
+# projections
+UTM = projection.to_utm("scenes", ["id", "west", "south"], "west", "south", 31)
+both("reproject_utm", f"SELECT id, round(east, 3) AS east, round(north, 3) AS north, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({projection.from_utm(UTM, ['id', 'east', 'north'], 'east', 'north', 31)}) z")
+both("reproject_laea", f"SELECT ref_id, round(east, 3) AS east, round(north, 3) AS north FROM ({projection.to_utm(projection.from_laea('reference', ['ref_id'], '(x0 + 4100000)', '(y0 + 2950000)'), ['ref_id'], 'lon', 'lat', 32)}) z")
+both("reproject_mercator", f"SELECT id, round(mx, 3) AS mx, round(my, 3) AS my, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({projection.from_mercator(projection.to_mercator('scenes', ['id'], 'west', 'south'), ['id', 'mx', 'my'], 'mx', 'my')}) z")
+PADDED = "SELECT poly_id, x0 + 599000 AS x0, y0 + 5399000 AS y0, x1 + 601000 AS x1, y1 + 5401000 AS y1 FROM polys"
+both("query_bounds", f"SELECT poly_id, round(min(lon), 7) AS west, round(min(lat), 7) AS south, round(max(lon), 7) AS east, round(max(lat), 7) AS north FROM ({projection.from_utm(projection.outline(PADDED, ['poly_id']), ['poly_id'], 'x', 'y', 31)}) z GROUP BY poly_id")
+CORNER = projection.to_mercator(projection.from_utm("SELECT 600000.0E0 AS x, 5500000.0E0 AS y", ["x"], "x", "y", 31), ["x"], "lon", "lat")
+CENTRES = f"SELECT r, c, mx + 16 * (c + 0.5E0) AS x, my - 16 * (r + 0.5E0) AS y FROM pixels CROSS JOIN ({CORNER}) corner"
+SOUGHT = projection.to_utm(projection.from_mercator(CENTRES, ["r", "c"], "x", "y"), ["r", "c"], "lon", "lat", 31)
+both("warp_nearest", f"SELECT d.r, d.c, coalesce(s.label, 0) AS label FROM (SELECT r, c, CAST(floor((5500000 - north) / 10) AS INT) AS sr, CAST(floor((east - 600000) / 10) AS INT) AS sc FROM ({SOUGHT}) z) d LEFT JOIN pixels s ON s.r = d.sr AND s.c = d.sc")
+# simplification: middle points on straight sides go, the sizes stay
+own("simplify", lambda s, d: simplify.simplify(ringed(s, d).select("poly_id", "rings"), 30.0).select("poly_id", F.size(F.col("rings")[0]).alias("points"), F.round(polygons.area(F.col("rings")), 4).alias("area")), None)
