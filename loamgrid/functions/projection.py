@@ -115,10 +115,10 @@ def from_mercator(relation: str, keep: list[str], x: str, y: str) -> str:
 
 def outline(relation: str, keep: list[str], points: int = 64) -> str:
     """keep, x, y: the points along the edges of boxes x0, y0, x1, y1, so many steps an edge; a row becomes 4 * points rows."""
-    steps = " UNION ALL ".join(f"SELECT {i}{' AS k' if not i else ''}" for i in range(4 * points))
+    steps = ", ".join(f"({i})" for i in range(4 * points))
     share = f"(k % {points}) / {number(points)}"
     side = lambda a, b, c, d: f"CASE k // {points} WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} ELSE {d} END"
     x = side(f"x0 + (x1 - x0) * {share}", "x1", f"x1 - (x1 - x0) * {share}", "x0")
     y = side("y0", f"y0 + (y1 - y0) * {share}", "y1", f"y1 - (y1 - y0) * {share}")
     source = relation if relation.isidentifier() else f"({relation}) s1"
-    return f"SELECT {', '.join(keep)}, {x} AS x, {y} AS y FROM {source} CROSS JOIN ({steps}) edge"
+    return f"SELECT {', '.join(keep)}, {x} AS x, {y} AS y FROM {source} CROSS JOIN (VALUES {steps}) AS edge(k)"
