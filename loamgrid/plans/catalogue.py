@@ -190,7 +190,8 @@ own("softmax", lambda s, d: run(s, d, PROBS).select("r", "c", raster.softmax(F.a
 both("argmax_label", f"SELECT r, c, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 1 WHEN p1 >= p2 THEN 2 ELSE 4 END AS label FROM ({PROBS}) z")
 own("map_labels", lambda s, d: fields(s, d, 1).select("r", "c", F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), F.array_position(F.transform("q", lambda x: F.round(x, 9)), F.round(F.array_max("q"), 9)).cast("int")).alias("label")), f"SELECT r, c, CASE WHEN round(u0 / (u0 + u1 + u2), 9) >= round(greatest(u1, u2) / (u0 + u1 + u2), 9) THEN 1 WHEN round(u1 / (u0 + u1 + u2), 9) >= round(u2 / (u0 + u1 + u2), 9) THEN 2 ELSE 4 END AS label FROM ({STEP}) z")
 THETAS = "SELECT CAST(p_size AS DOUBLE) / 4 AS theta, round(avg(p_retailprice), 4) AS dropped, round(avg(CASE WHEN p_partkey % 4 > 0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS retention FROM part GROUP BY p_size"
-both("select_theta", f"SELECT theta, dropped, retention FROM ({THETAS}) t WHERE retention >= 0.75 ORDER BY dropped, theta LIMIT 1")
+ABLE = f"SELECT *, sum(CASE WHEN retention >= 0.75 THEN 1 ELSE 0 END) OVER () AS able, min(theta) OVER () AS smallest FROM ({THETAS}) t"  # one row for each theta
+both("select_theta", f"SELECT theta, dropped, retention FROM ({ABLE}) t WHERE retention >= 0.75 OR (able = 0 AND theta = smallest) ORDER BY dropped, theta LIMIT 1")
 both("sweep_report", f"SELECT theta, metric, value FROM (SELECT theta, 'dropped' AS metric, dropped AS value FROM ({THETAS}) a UNION ALL SELECT theta, 'retention', retention FROM ({THETAS}) b) x")
 # polygons
 CORNERS = "SELECT poly_id, k, CASE k WHEN 1 THEN x1 WHEN 2 THEN x1 WHEN 3 THEN (x0 + x1) / 2 ELSE x0 END AS x, CASE k WHEN 2 THEN (y0 + y1) / 2 WHEN 3 THEN y1 WHEN 4 THEN y1 ELSE y0 END AS y FROM polys CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) c"
