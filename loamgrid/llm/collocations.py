@@ -223,9 +223,9 @@ def op11_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFram
 ORACLE_SQL = """
 WITH docs AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
 cut AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?' || chr(10) || '-' || chr(13) || ']')) AS piece FROM docs),
-pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[ ' || chr(9) || ']+'), x -> x <> '') AS w FROM cut),
+pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[ ' || chr(9) || ']+'), lambda x: x <> '') AS w FROM cut),
 totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
-grams AS (SELECT lang, k, list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' ')) AS found FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+grams AS (SELECT lang, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS found FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
 phrases AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(found) AS phrase FROM grams) GROUP BY ALL HAVING count(*) >= 100),
 split AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM phrases),
 inner_ AS (SELECT DISTINCT s.lang, s.phrase FROM split s JOIN split o ON o.lang = s.lang AND o.k > s.k AND o.f >= s.f AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ')),

@@ -63,8 +63,8 @@ def as_is(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 
 
 def numbers(words: list[bytes]) -> np.ndarray:
-    known: dict[bytes, int] = {}
-    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
 def _needed(lag: int) -> int:
@@ -100,7 +100,7 @@ def scan(words: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
         samples = grams[: max(0, len(grams) - first) : step]
         width = end - first
         beyond = np.concatenate([grams, np.zeros(step + width, np.uint64)])  # zeros are compared, and told apart below
-        rows = np.lib.stride_tricks.as_strided(beyond[first:], (len(samples), width), (step * 8, 8), writeable=False)
+        rows = np.ndarray((len(samples), width), np.uint64, beyond, 8 * first, (8 * step, 8))
         at, lag = np.nonzero(rows == samples[:, None])
         at, lag = at * step, lag + first
         if not len(at):
