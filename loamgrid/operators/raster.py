@@ -18,8 +18,9 @@ def down() -> WindowSpec:
 
 
 def boundary(pixels: DataFrame, label: str = "label") -> DataFrame:
-    """pixels with `edge`: whether one of the four neighbours has another label; the scene's border is none."""
-    other = [~F.coalesce(f(label).over(w), F.col(label)).eqNullSafe(F.col(label)) for w in (across(), down()) for f in (F.lag, F.lead)]
+    """pixels with `edge`: whether one of the four neighbours has another label; the scene's border, and a neighbour that is missing, is none."""
+    next_to = lambda f, at, step: F.coalesce(f(at).over(across() if at == "c" else down()) == F.col(at) + step, F.lit(False))
+    other = [next_to(f, at, step) & ~f(label).over(across() if at == "c" else down()).eqNullSafe(F.col(label)) for at in ("c", "r") for f, step in ((F.lag, -1), (F.lead, 1))]
     return pixels.withColumn("edge", other[0] | other[1] | other[2] | other[3])
 
 
@@ -42,33 +43,6 @@ def boundary_distance(pixels: DataFrame, pixel_m: float = 10.0) -> DataFrame:
     return rows.select("r", F.explode(F.transform("row", best)).alias("x")).select("r", "x.c", "x.distance_m")
 
 
-def components(pixels: DataFrame, offsets: tuple = ((0, 1), (1, 0)), rounds: int = 200) -> DataFrame:
-    """r, c, label, component: the smallest pixel number of each region of equal labels. First runs along rows become nodes, so the
-    graph is small; then labels sink along links and are halved by looking up their own label, until nothing moves."""
-    number = F.col("r").cast("long") * 1_000_000 + F.col("c")
-    runs = pixels.withColumn("new", (~F.lag("label").over(across()).eqNullSafe(F.col("label"))).cast("int")).withColumn("run", F.sum("new").over(across()))
-    noded = runs.withColumn("node", F.min(number).over(Window.partitionBy("r", "run"))).select("r", "c", "label", "node").persist()
-    links = None
-    for dr, dc in offsets:
-        if dr:
-            other = noded.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), "label", F.col("node").alias("a"))
-            own = noded.join(other, ["r", "c", "label"]).select(F.col("node").alias("b"), "a").distinct()
-            links = own if links is None else links.unionByName(own)
-    both = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a"))).distinct().persist()
-    labels = noded.select("node").distinct().withColumn("component", F.col("node"))
-    before = None
-    for _ in range(rounds):
-        low = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("component").alias("low"))
-        sunk = labels.join(low, labels["node"] == low["b"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        jump = sunk.select(F.col("node").alias("k"), F.col("component").alias("up"))
-        labels = _cut(sunk.join(jump, sunk["component"] == jump["k"]).select("node", F.col("up").alias("component")))
-        now = labels.agg(F.sum("component")).first()[0]
-        if now == before:
-            break
-        before = now
-    return noded.join(labels, "node").select("r", "c", "label", "component")
-
-
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends in the shared folder if the session names one."""
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()

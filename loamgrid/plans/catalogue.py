@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import projection
-from loamgrid.operators import forest, polygons, raster, simplify, smoothing, spatial
+from loamgrid.operators import forest, polygons, raster, regions, simplify, smoothing, spatial
 from loamgrid.plans import sweep
 from loamgrid.sources import files
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
@@ -145,7 +145,7 @@ own("disagreement", lambda s, d: run(s, d, WRONG, dist=distances(s, d)), WRONG.r
 both("band_label", "SELECT lo, hi, CASE WHEN hi IS NULL THEN '>' || CAST(lo AS VARCHAR(9)) ELSE CAST(lo AS VARCHAR(9)) || '-' || CAST(hi AS VARCHAR(9)) END AS band FROM (SELECT 0 AS lo, 20 AS hi UNION ALL SELECT 20, 50 UNION ALL SELECT 50, 100 UNION ALL SELECT 100, 200 UNION ALL SELECT 200, 400 UNION ALL SELECT 400, NULL) b")
 INPUT = "SELECT r, c, label FROM smooth"
 for key, steps in (("components_4", ((0, 1), (1, 0))), ("components", ((0, 1), (1, 0), (1, 1), (1, -1)))):
-    QUERIES[key] = lambda s, d, steps=steps: raster.components(run(s, d, INPUT), steps)
+    QUERIES[key] = lambda s, d, steps=steps: regions.components(run(s, d, INPUT), steps)
 SIZES = "SELECT label, CAST(count(DISTINCT component) AS BIGINT) AS regions, CAST(count(*) * 100 AS BIGINT) AS area_m2 FROM ({}) x GROUP BY label"
 own("polygonise", lambda s, d: run(s, d, SIZES.replace("({})", "x0"), x0=QUERIES["components_4"](s, d)), None)
 own("fragmentation", lambda s, d: run(s, d, "SELECT CAST(count(*) AS BIGINT) AS patches, round(avg(n) * 0.01E0, 6) AS mean_ha, round(sum(CASE WHEN n < 5 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS tiny FROM (SELECT component, count(*) AS n FROM x0 GROUP BY component) y", x0=QUERIES["components"](s, d)), None)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.operators import raster, smoothing
+from loamgrid.operators import raster, regions, smoothing
 
 #: The thetas, steps, smallest area of a polygon in m2, area of a pixel in m2, and the class of built-up land.
 THETAS, STEPS = (0.3, 0.8, 2.0, 5.0, 12.0), 8
@@ -26,10 +26,10 @@ def evaluate(maps: DataFrame, truth: DataFrame, thin: DataFrame) -> DataFrame:
     built = maps.groupBy("theta").agg((F.sum((F.col("label") == BUILT).cast("long")) * PIXEL_AREA / 1e6).alias("built_km2"))
     kept = maps.join(thin, ["r", "c"]).groupBy("theta").agg(F.avg((F.col("label") == BUILT).cast("double")).alias("retention"))
     laid = maps.where("label <> 0").select((F.col("r") + place * height).cast("int").alias("r"), "c", "label")
-    regions = raster.components(laid).groupBy("component").agg((F.count("*") * PIXEL_AREA).alias("area"), F.min("r").alias("r"))
+    patches = regions.region_runs(laid).groupBy("component").agg((F.sum("n") * PIXEL_AREA).alias("area"), F.min("r").alias("r"))
     back = F.element_at(F.array(*map(F.lit, thetas)), (F.floor(F.col("r") / height) + 1).cast("int")).alias("theta")
     small = F.col("area") < LEAST_AREA
-    found = regions.select(back, "area").groupBy("theta").agg(F.sum((~small).cast("long")).alias("polygons"), F.sum(small.cast("long")).alias("dropped"), (F.sum(F.when(small, F.col("area")).otherwise(0)) / 1e6).alias("dropped_km2"))
+    found = patches.select(back, "area").groupBy("theta").agg(F.sum((~small).cast("long")).alias("polygons"), F.sum(small.cast("long")).alias("dropped"), (F.sum(F.when(small, F.col("area")).otherwise(0)) / 1e6).alias("dropped_km2"))
     return built.join(figures, "theta", "left").join(kept, "theta", "left").join(found, "theta", "left")
 
 

@@ -9,23 +9,6 @@ from loamgrid.operators import forest, polygons, raster
 from loamgrid.sources import files
 
 
-def test_components_match_a_flood_fill(spark):
-    r = random.Random(1)
-    label = {(i, j): r.randrange(2) for i in range(12) for j in range(15)}
-    steps = ((0, 1), (1, 0), (1, 1), (1, -1))
-    want: dict = {}
-    for start in sorted(label):
-        todo = [start]
-        while todo:
-            i, j = at = todo.pop()
-            if at in want:
-                continue
-            want[at] = start[0] * 1_000_000 + start[1]
-            todo += [x for a, b in steps for x in ((i + a, j + b), (i - a, j - b)) if label.get(x) == label[at] and x not in want]
-    table = spark.createDataFrame([(i, j, v) for (i, j), v in label.items()], "r int, c int, label int")
-    assert {(x["r"], x["c"]): x["component"] for x in raster.components(table, steps).collect()} == want
-
-
 def test_polygons_with_a_hole(spark):
     outer, hole, bow = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]], [[4.0, 4.0], [6.0, 4.0], [6.0, 6.0], [4.0, 6.0], [4.0, 4.0]], [[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 2.0], [0.0, 0.0]]
     g = spark.createDataFrame([([outer, hole], bow)], "rings array<array<array<double>>>, bow array<array<double>>")
