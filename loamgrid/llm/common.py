@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgrid.stored import discard, shared_folder, stash, stash_observed  # noqa: F401
+
 #: Entries that a Python worker's word cache keeps. Words beyond it are hashed anew each time, with the same result.
 WORD_CACHE = 250_000
 
@@ -35,36 +34,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="loamgrid-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or f"file://{_own_folder()}"
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df as a table into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/loamgrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.stashed_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stashed tables that nothing will read any more."""
-    for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.stashed_at)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: A sieve's largest size in 64-bit words (16 MB), and its bits for each value while it is below that.
 SIEVE_WORDS, SIEVE_BITS = 1 << 21, 16
 

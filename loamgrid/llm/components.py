@@ -1,44 +1,3 @@
 """Connected components by joins, for graphs of any size."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from loamgrid.llm.common import discard, stash
-
-ROUNDS = 60
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links: columns a and b, two ids each. Returns id, component (the smallest id that links reach), for ids with a link to another.
-
-    Large and small stars by turns: each id links its larger neighbours, then all of them, to its smallest one, until nothing
-    changes. A round's links are a table in the shared folder; a hub's neighbours are reduced to their minimum, never gathered.
-    """
-    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    size = _size(edges)
-    for _ in range(ROUNDS):
-        if not size[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        before, edges = edges, stash(small.where("u <> v").distinct())
-        discard(before, large)
-        if (now := _size(edges)) == size:
-            break
-        size = now
-    else:
-        raise RuntimeError("the components did not settle")
-    stars = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def _size(edges: DataFrame) -> tuple[int, ...]:
-    """One row: the number of links, and sums that change with them."""
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))), F.lit(0)), F.coalesce(F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))), F.lit(0))).first()
-    return tuple(row)
+from loamgrid.operators.graph import components  # noqa: F401

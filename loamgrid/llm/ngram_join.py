@@ -5,11 +5,13 @@ ones last, rarest first; two sets as similar as asked for share an n-gram in the
 is cut into fragments: prefixes propose pairs, then the overlap of a pair is counted in each fragment apart and summed.
 
 Only components are asked for, so pairs are proposed in rounds, and those whose classes are in one component by then are left
-out. An n-gram of two classes proposes this pair. Of the others, a small share of the classes, drawn by hash, are hubs of the
-first round, a larger share of the second and the rest of the third; a pair is proposed in the round in which one of its classes
-is a hub and neither was before. So every pair has its turn, and a group of near copies is mostly one component after the first,
-at a cost in proportion to its size. Proposals must have sizes, places of their first common n-gram, and parity bitmaps (whose
-differing bits never exceed the number of differing n-grams) that leave the similarity possible. No link is lost.
+out. An n-gram of two classes proposes this pair. Of the others' classes, a few for each n-gram (HUBS of them, drawn by hash and by
+the number of its classes) are hubs of the first round, GROWTH times as many of the second, and so on up to all; a pair is proposed
+in the round in which one of its classes is a hub and neither was before. So every pair has its turn, and the first round proposes
+HUBS pairs for each class and n-gram, however large a group of near copies is. Later rounds have the n-grams of several components
+only, and pair those of the largest one with the others, never with each other: what they cost grows with what is still apart.
+Proposals must have sizes, places of their first common n-gram, and parity bitmaps (whose differing bits never exceed the number
+of differing n-grams) that leave the similarity possible. No link is lost. After each round, new links contract the components.
 
 Texts are read where they lie and never shuffled; what they yield is told apart by the key of their words, and a sieve of
 bounded size (and an exact join after it) picks the classes that are asked for.
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import Sieve, as_bytes, discard, distinct, hash_texts, load, stash, windows
+from loamgrid.llm.common import Sieve, as_bytes, discard, distinct, hash_texts, load, stash, stash_observed, windows
 from loamgrid.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -42,8 +44,10 @@ FREQUENT, LISTED = 8, 500_000
 FRAGMENTS = 8
 #: Bits of a parity bitmap, in 64-bit words: of a whole set, and of each fragment of a set of more than LARGE n-grams.
 BITMAP, FRAGMENT_BITMAP, LARGE = 12, 32, 1_200
-#: One class in so many is a hub of the first round, of the second; all others are of the third.
-HUBS = (32, 4)
+#: Hubs of an n-gram in the first round, on average, and how many times more each further round has.
+HUBS, GROWTH = 4, 32
+#: Classes of an n-gram that meet its hubs in one part of a join.
+SALTED = 4_096
 
 KEYS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType())])
 PROFILES = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(f"b{i}", T.LongType()) for i in range(BITMAP)], T.StructField("tokens", T.ArrayType(T.LongType()))])
@@ -177,6 +181,8 @@ class Join:
         self.known = docs.where("doc_id is not null").select("doc_id", "text")
         self.unknown = docs.where("doc_id is null").select("text")
         self.ids = stash(self.known.mapInArrow(_keyed, KEYS))
+        self.proposed: list[int] = []  # pairs of each round
+        self.kept: list[DataFrame] = []  # tables that the result reads
 
     def profiles(self) -> DataFrame:
         """One row for each class."""
@@ -210,6 +216,7 @@ class Join:
         overlap = by_fragment(left, "part", F.size(F.array_intersect("of_a", "of_b")))
         found = stash(overlap.where((100 + self.percent) * F.col("counted") >= self.percent * both).select("a", "b"))
         discard(parts, left)
+        sieve.destroy()
         return found
 
     def _near(self, pairs: DataFrame, shape: DataFrame) -> DataFrame:
@@ -217,13 +224,25 @@ class Join:
         return met.where(_possible("p", "q", self.percent)).select("a", "b", F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
 
     def across(self, rows: DataFrame, turn: int) -> DataFrame:
-        """The pairs of one round. rows: token, key, at, component, turn, n and the bitmap, of n-grams that join several components."""
-        p, q = rows.where(F.col("turn") == turn).alias("p"), rows.where(F.col("turn") >= turn).alias("q")
+        """The pairs of one round. rows: token, key, at, component, level (none below turn), salts, major, n and the bitmap, of n-grams of several components."""
         n, m = F.col("p.n"), F.col("q.n")
-        once = (F.col("q.turn") > turn) | (F.col("p.key") < F.col("q.key"))
+        once = (F.col("q.level") > turn) | (F.col("p.key") < F.col("q.key"))
         placed = (100 + self.percent) * F.least(n - F.col("p.at"), m - F.col("q.at")) >= self.percent * (n + m)
-        on = (F.col("p.token") == F.col("q.token")) & (F.col("p.component") != F.col("q.component")) & once & placed & _possible("p", "q", self.percent)
-        return p.join(q, on).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"), F.when(F.col("p.key") < F.col("q.key"), n).otherwise(m).alias("na"), F.when(F.col("p.key") < F.col("q.key"), m).otherwise(n).alias("nb")).distinct()
+        on = (F.col("p.token") == F.col("q.token")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.component") != F.col("q.component")) & once & placed & _possible("p", "q", self.percent)
+        hubs = rows.where(F.col("level") == turn).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+        found = None
+        for p, q in ((hubs.where(~F.col("major")), dealt), (hubs.where("major"), dealt.where(~F.col("major")))):
+            met = p.alias("p").join(q.alias("q"), on).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"), F.when(F.col("p.key") < F.col("q.key"), n).otherwise(m).alias("na"), F.when(F.col("p.key") < F.col("q.key"), m).otherwise(n).alias("nb"))
+            found = met if found is None else found.unionByName(met)
+        return found.distinct()
+
+    def mixed(self, rows: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+        """rows of this round, a table: those of n-grams of several components by now, and whether they lie in the n-gram's largest one."""
+        placed = rows.where(F.col("level") >= turn).drop("component", "major").join(found, F.col("key") == F.col("id"), "left").withColumn("component", F.coalesce("component", "key")).drop("id")
+        sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+        several = sizes.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("size", "component"))["component"].alias("largest")).where("k > 1").select("token", "largest")
+        return stash(placed.join(several, "token").withColumn("major", F.col("component") == F.col("largest")).drop("largest"))
 
     def run(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id for each row with an id."""
@@ -231,34 +250,37 @@ class Join:
         shape = profiles.select("key", "n", *[f"b{i}" for i in range(BITMAP)])
         tokens = profiles.select("key", F.explode("tokens").alias("token"))
         met = stash(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("key").alias("a"), F.max("key").alias("b")).where("c > 1"))
-        several = met.where("c > 2").select("token")
-        sieve = self.spark.sparkContext.broadcast(Sieve(several))
-        draw = F.pmod(F.xxhash64("key"), F.lit(HUBS[0]))
-        turn = F.when(draw == 0, 0).when(draw % HUBS[1] == 1, 1).otherwise(2)
-        shared = profiles.select("key", "tokens").mapInArrow(_of_tokens(sieve), TOKENS).join(several, "token", "left_semi")
-        rows = stash(shared.join(shape, "key").withColumn("turn", turn).withColumn("component", F.col("key")))
+        several = met.where("c > 2").select("token", "c")
+        sieve = self.spark.sparkContext.broadcast(Sieve(several.select("token")))
+        rank = F.col("c") * (F.xxhash64("key").cast("double") / 2.0**64 + 0.5)  # about its place among the n-gram's classes, by hash
+        level = F.when(rank < HUBS, 0).otherwise(F.floor(F.log(rank / HUBS) / float(np.log(GROWTH))) + 1).cast("int")
+        shared = profiles.select("key", "tokens").mapInArrow(_of_tokens(sieve), TOKENS).join(several, "token")
+        shared = shared.withColumn("level", level).withColumn("salts", F.ceil(F.col("c") / SALTED).cast("int")).drop("c")
+        rows = stash(shared.join(shape, "key").withColumn("component", F.col("key")).withColumn("major", F.lit(False)))
         first = self._near(met.where("c = 2").select("a", "b").distinct(), shape).unionByName(self.across(rows, 0)).distinct()
-        linked = found = None
-        for step in range(len(HUBS) + 1):
-            if step:
-                placed = rows.where(F.col("turn") >= step).drop("component").join(found, F.col("key") == F.col("id"), "left").withColumn("component", F.coalesce("component", "key")).drop("id")
-                mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-                before, rows = rows, stash(placed.join(mixed, "token", "left_semi"))
-                discard(before)
-            pairs = stash(self.across(rows, step) if step else first)
-            new = self.links(pairs)
-            both = new if linked is None else stash(linked.unionByName(new))
-            if linked is not None:
-                discard(linked, new, found)
+        found, turn = None, 0
+        while True:
+            pairs, seen = stash_observed(first if not turn else self.across(rows, turn), F.count(F.lit(1)).alias("n"))
+            self.proposed.append(seen["n"])
+            if seen["n"] or found is None:
+                new = self.links(pairs)
+                before, found = found, merged(found, new)
+                discard(new, *([before] if before else []))
             discard(pairs)
-            linked, found = both, stash(components(both))
+            turn += 1
+            before, rows = rows, self.mixed(rows, found, turn)
+            discard(before)
+            if not rows.head(1):
+                break
+        sieve.destroy()
         sizes = stash(profiles.select("key", "n"))
-        discard(rows, met, profiles, linked)
+        discard(rows, met, profiles)
         classes = self.ids.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
         owner = stash(classes.join(found, F.col("key") == F.col("id"), "left").join(sizes, "key").select("key", "n", "doc_id", F.coalesce("component", "key").alias("component")))
         smallest = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         of_key = stash(owner.join(smallest, "component").select("key", "component_id", "n"))
         discard(found, sizes, owner)
+        self.kept = [self.ids, of_key]
         return self.ids.join(of_key, "key", "left").select("doc_id", "key", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def without_id(self) -> DataFrame:
@@ -273,6 +295,20 @@ class Join:
         return self.unknown.mapInArrow(sizes, "n_shingles long")
 
 
+def merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """found: id, component so far; links: a, b. The components with the new links, a table: only links between components are contracted."""
+    if found is None:
+        return stash(components(links))
+    of = lambda c: found.select(F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"))
+    lifted = links.join(of("a"), F.col("a") == F.col("id_a"), "left").join(of("b"), F.col("b") == F.col("id_b"), "left")
+    new = stash(components(lifted.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))))
+    up = new.select(F.col("id").alias("low"), F.col("component").alias("up"))
+    moved = found.join(up, F.col("component") == F.col("low"), "left").select("id", F.coalesce("up", "component").alias("component"))
+    whole = stash(moved.unionByName(new.join(found, "id", "left_anti")))
+    discard(new)
+    return whole
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     join = Join(docs, words, percent)
@@ -298,7 +334,9 @@ def keep_one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows of docs, all columns: of each component one row of the document with the smallest id. Rows that link with nothing stay.
     A sieve tells the rows that may go from those that surely stay, so that only the former are shuffled."""
     spark, names = docs.sparkSession, docs.columns
-    all_rows = stash(Join(docs, words, percent).run())
+    join = Join(docs, words, percent)
+    all_rows = stash(join.run())
+    discard(*join.kept)
     gone = stash(all_rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")).distinct())
     again = all_rows.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     sieve = spark.sparkContext.broadcast(Sieve(gone.select(F.col("__id").alias("doc_id")).unionByName(again)))

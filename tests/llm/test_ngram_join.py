@@ -88,3 +88,22 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 1 for i in range(1, 41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_pairs_of_near_copies_grow_with_their_number(spark):
+    """Texts of 300 words, one of them changed, nearly all link. The pairs of all rounds must grow with the copies, not with their square."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+
+    def pairs(n):
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            copy[r.randrange(300)] = f"x{i}"
+            rows.append((i, " ".join(copy)))
+        join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+        assert {x["component_id"] for x in join.run().collect()} == {0}
+        return sum(join.proposed)
+
+    for n in (500, 4000):
+        assert pairs(n) < 20 * n  # four hubs on average, whatever n
