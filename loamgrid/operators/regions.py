@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamgrid.operators.graph import components as linked
-from loamgrid.stored import discard, stash
+from loamgrid.stored import discard, stash, stash_observed
 
 #: Rows and columns of a tile.
 TILE = 512
@@ -104,3 +104,69 @@ def components(pixels: DataFrame, offsets: Sequence[tuple[int, int]] = ((0, 1),
     runs = region_runs(pixels, offsets, tile)
     at = F.explode(F.sequence("c", F.col("c") + F.col("n") - 1))
     return runs.select(F.col("r").cast("int").alias("r"), at.alias("c"), "label", "component").withColumn("c", F.col("c").cast("int"))
+
+
+# outlines
+
+#: Fixed order: the four sides of a pixel against the clock, rows running down: bottom, right, top, left. Of each: how it starts and
+#: runs (corners are numbered like pixels, the upper left one as the pixel), and the pixels ahead on the left and on the right.
+_SIDES = (
+    {"start": (1, 0), "step": (0, 1), "left": (0, 1), "right": (1, 1), "beyond": (1, 0)},
+    {"start": (1, 1), "step": (-1, 0), "left": (-1, 0), "right": (-1, 1), "beyond": (0, 1)},
+    {"start": (0, 1), "step": (0, -1), "left": (0, -1), "right": (-1, -1), "beyond": (-1, 0)},
+    {"start": (0, 0), "step": (1, 0), "left": (1, 0), "right": (1, -1), "beyond": (0, -1)},
+)
+
+
+def outlines(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """label, component, ring, size, signed, points: the rings of each region of four neighbours, as corners (r, c) in order, without
+    those on straight lines. size is the ring's length in pixels; signed is its area, positive for outer rings and negative for
+    holes. Rings that touch at a corner are rings of their own.
+
+    Sides of pixels towards another region are linked, each with the side that follows it against the clock; then every side learns
+    the smallest number within its next 1, 2, 4, ... sides and how far it is, until all of its ring is known. So a ring of any
+    length, or any number of them, is put in order by joins, and only the corners of one ring come together."""
+    own = stash(components(pixels, ((0, 1), (1, 0)), tile))
+    known = own.select("r", "c", "label", "component")
+    sides = None
+    for i, s in enumerate(_SIDES):
+        at = lambda way, s=s: known.select((F.col("r") - s[way][0]).alias("r"), (F.col("c") - s[way][1]).alias("c"), F.col("component").alias(way))
+        near = known.join(at("beyond"), ["r", "c"], "left").where("beyond is null or beyond <> component").join(at("left"), ["r", "c"], "left").join(at("right"), ["r", "c"], "left")
+        same = lambda way: F.coalesce(F.col(way) == F.col("component"), F.lit(False))
+        # ahead: nothing of the region on the left, so turn left around the own pixel; or go straight on; or turn right
+        turn = F.when(~same("left"), 0).when(~same("right"), 1).otherwise(2)
+        move = lambda k, s=s: F.when(turn == 0, F.lit(0)).when(turn == 1, F.lit(s["left"][k])).otherwise(F.lit(s["right"][k]))
+        side = (i + F.when(turn == 0, 1).when(turn == 1, 0).otherwise(3)) % 4
+        number_of = lambda r, c, k: number(r, c) * 4 + k
+        found = near.select(
+            "label", "component", number_of(F.col("r"), F.col("c"), F.lit(i)).alias("side"), number_of(F.col("r") + move(0), F.col("c") + move(1), side).alias("next"),
+            (F.col("r") + s["start"][0]).alias("y"), (F.col("c") + s["start"][1]).alias("x"), F.lit(s["step"][0]).alias("dy"), F.lit(s["step"][1]).alias("dx"),
+        )
+        sides = found if sides is None else sides.unionByName(found)
+    table = stash(sides)
+    discard(own)
+    state = stash(table.select("side", "next", F.least("side", "next").alias("low"), F.when(F.col("next") < F.col("side"), 1).otherwise(0).cast("long").alias("far"), F.lit(1).cast("long").alias("length")))
+    # low: the smallest number among this side and the next `length`; far: steps to it
+    state = _doubled(state)
+    placed = table.join(state.select("side", "low", "far"), "side")
+    length = placed.groupBy("low").agg(F.count("*").alias("size"), F.sum(-F.col("x") * F.col("dy")).alias("signed"))
+    turns = table.select(F.col("next").alias("side"), F.col("dy").alias("dy0"), F.col("dx").alias("dx0"))
+    corners = placed.join(turns, "side").where("dy <> dy0 or dx <> dx0")
+    ordered = corners.groupBy("label", "component", "low").agg(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("k"), F.col("y").alias("r"), F.col("x").alias("c")))).alias("p"))
+    points = F.transform("p", lambda q: F.struct(q["r"].alias("r"), q["c"].alias("c")))
+    return ordered.join(length, "low").select("label", "component", F.col("low").alias("ring"), "size", "signed", points.alias("points"))
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """Pointer doubling, a table each time, until no side learns of a smaller number."""
+    while True:
+        beyond = state.select(F.col("side").alias("s2"), F.col("next").alias("n2"), F.col("low").alias("low2"), F.col("far").alias("far2"), F.col("length").alias("length2"))
+        met = state.join(beyond, F.col("next") == F.col("s2"))
+        less = F.col("low2") < F.col("low")
+        moved = met.select("side", F.col("n2").alias("next"), F.when(less, F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(less, F.col("length") + F.col("far2")).otherwise(F.col("far")).alias("far"), (F.col("length") + F.col("length2")).alias("length"), less.alias("moved"))
+        new, seen = stash_observed(moved, F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("n"))
+        discard(state)
+        state = new.drop("moved")
+        state.stashed_at = new.stashed_at
+        if not seen["n"]:
+            return state
