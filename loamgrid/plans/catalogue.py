@@ -11,22 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import projection
-from loamgrid.operators import forest, polygons, raster, regions, simplify, smoothing, spatial
+from loamgrid.operators import forest, planar, polygons, raster, regions, scanline, simplify, smoothing, spatial
 from loamgrid.plans import sweep
-from loamgrid.sources import files
+from loamgrid.sources import files, shapes
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Views of pairs that meet, which Spark gets from the cell join.
-PAIRS = {
-    "commune_polys": "SELECT g.lau2, g.commune, g.covered_fraction, p.poly_id, p.class_id, p.class_name, greatest(least(g.ix1, p.x1) - greatest(g.ix0, p.x0), 0) * greatest(least(g.iy1, p.y1) - greatest(g.iy0, p.y0), 0) AS area FROM commune_aoi_v g JOIN named p ON greatest(g.ix0, p.x0) <= least(g.ix1, p.x1) AND greatest(g.iy0, p.y0) <= least(g.iy1, p.y1)",
-    "poly_reference": "SELECT p.poly_id, q.ref_id, p.class_id AS class_id, q.class_name AS ref_name, greatest(p.x0, q.x0) AS x0, greatest(p.y0, q.y0) AS y0, least(p.x1, q.x1) AS x1, least(p.y1, q.y1) AS y1 FROM named p JOIN reference q ON greatest(p.x0, q.x0) <= least(p.x1, q.x1) AND greatest(p.y0, q.y0) <= least(p.y1, q.y1)",
-}
-
-
 def duck(sql: str, more: dict[str, str] | None = None) -> str:
     every = VIEWS | (more or {})
     names = closure(sql, more)
@@ -51,23 +44,51 @@ def both(name: str, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, sql)
 
 
+def shaped(spark: SparkSession, sf_dir: str, name: str, view: str, columns: str, rings: str) -> DataFrame:
+    return run(spark, sf_dir, f"SELECT {columns}, x0, y0, x1, y1, {shapes.rings(name)} AS {rings} FROM {view}")
+
+
+def commune_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communes and what of them lies in the area of interest."""
+    met = spatial.spatial_join(shaped(spark, sf_dir, "commune", "communes", "lau2, commune, canton", "g"), shaped(spark, sf_dir, "aoi", "aoi", "1 AS one", "a")).select("l.*", "r.a")
+    found = planar.with_shared_area(met.select("*", F.col("g").alias("g2"), F.col("a").alias("a2")), ["g2", "a2"]).where(f"area > {shapes.LEAST}")
+    whole = polygons.area(F.col("g"))
+    return found.select("*", (whole / 1e6).alias("commune_area_km2"), (F.col("area") / 1e6).alias("covered_area_km2"), (F.col("area") / whole).alias("covered_fraction")).drop("area")
+
+
+def commune_polys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = spatial.spatial_join(commune_cover(spark, sf_dir), shaped(spark, sf_dir, "poly", "named", "poly_id, class_id, class_name", "p"))
+    return planar.with_shared_area(met.select("l.lau2", "l.commune", "l.covered_fraction", "l.g", "l.a", "r.poly_id", "r.class_id", "r.class_name", "r.p"), ["p", "g", "a"]).where(f"area > {shapes.LEAST}").withColumn("area", F.round("area", 3))
+
+
+def class_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aoi, out = shaped(spark, sf_dir, "aoi", "aoi", "1 AS one", "a"), []
+    for kind, view in (("poly", "named"), ("ref", "reference")):
+        met = spatial.spatial_join(shaped(spark, sf_dir, kind, view, "class_name", "p"), aoi).select("l.class_name", "l.p", "r.a").where("class_name is not null")
+        out.append(planar.with_shared_area(met, ["p", "a"]).groupBy("class_name").agg((F.sum("area") / 1e6).alias("km2")).withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
+def new_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is built up and wasn't, by polygon, reference and commune: two cell joins, one after the other."""
+    built = shaped(spark, sf_dir, "poly", "(SELECT * FROM named WHERE class_id = 1) n", "poly_id", "p")
+    other = shaped(spark, sf_dir, "ref", "(SELECT * FROM reference WHERE class_name IS DISTINCT FROM 'Artificial surfaces') r", "ref_id", "q")
+    corner = lambda f, c: f(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c)
+    met = spatial.spatial_join(built, other, 500.0).select("l.poly_id", "l.p", "r.ref_id", "r.q", corner(F.greatest, "x0"), corner(F.greatest, "y0"), corner(F.least, "x1"), corner(F.least, "y1"))
+    three = spatial.spatial_join(met, commune_cover(spark, sf_dir).where("covered_fraction >= 0.9"))
+    return planar.with_shared_area(three.select("r.lau2", "r.commune", "r.g", "r.a", "l.poly_id", "l.p", "l.ref_id", "l.q"), ["p", "q", "g", "a"]).where(f"area > {shapes.LEAST}").withColumn("area", F.round("area", 3))
+
+
+MET = {"commune_cover": commune_cover, "commune_polys": commune_polys, "class_cover": class_cover, "new_parts": new_parts}
+
+
 def paired(name: str, sql: str) -> None:
-    """One text over PAIRS: the cell join in Spark, a plain join in DuckDB."""
-    ORACLES[name] = duck(sql, PAIRS)
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {}
-        if "commune_polys" in sql:
-            g = run(spark, sf_dir, "SELECT lau2, commune, covered_fraction, ix0 AS x0, iy0 AS y0, ix1 AS x1, iy1 AS y1 FROM commune_aoi_v")
-            pairs = spatial.spatial_join(g, run(spark, sf_dir, "SELECT * FROM named"))
-            frames["commune_polys"] = pairs.select("l.lau2", "l.commune", "l.covered_fraction", "r.poly_id", "r.class_id", "r.class_name", spatial.overlap("l", "r").alias("area"))
-        if "poly_reference" in sql:
-            pairs = spatial.spatial_join(run(spark, sf_dir, "SELECT * FROM named"), run(spark, sf_dir, "SELECT * FROM reference"), 500.0)
-            corner = lambda f, p: f(F.col(f"l.{p}"), F.col(f"r.{p}")).alias(p)
-            frames["poly_reference"] = pairs.select("l.poly_id", "r.ref_id", "l.class_id", F.col("r.class_name").alias("ref_name"), corner(F.greatest, "x0"), corner(F.greatest, "y0"), corner(F.least, "x1"), corner(F.least, "y1"))
-        return run(spark, sf_dir, sql, **frames)
+    """One text over shapes that meet: cell joins and plane geometry in Spark, plain joins over edges in DuckDB."""
+    import re
 
-    QUERIES[name] = query
+    ORACLES[name] = duck(sql, shapes.MET)
+    used = [n for n in MET if re.search(rf"\b{n}\b", sql)]
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, sql, **{n: MET[n](spark, sf_dir) for n in used})
 
 
 def own(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -214,24 +235,23 @@ both("assign_classes", "SELECT ref_id, class_id, class_name FROM reference WHERE
 FOREST, OTHER = "class_name LIKE '%forest%'", "class_name IS DISTINCT FROM 'Artificial surfaces'"
 both("predicates", f"SELECT {IF(FOREST)} AS forest, {IF('class_name IS NOT NULL')} AS named_rows, {IF(OTHER)} AS not_built FROM reference")
 both("load_report", f"SELECT 'named' AS name, {N} AS n FROM named UNION ALL SELECT 'communes', {N} FROM communes UNION ALL SELECT 'reference', {N} FROM reference UNION ALL SELECT 'aoi', {N} FROM aoi")
-both("commune_aoi", "SELECT lau2, commune, canton, round(commune_area_km2, 6) AS commune_area_km2, round(covered_area_km2, 6) AS covered_area_km2, round(covered_fraction, 6) AS covered_fraction FROM commune_aoi_v")
-both("join_aoi", "SELECT lau2, round(covered_area_km2, 6) AS km2 FROM commune_aoi_v")
-both("choropleth_bins", "SELECT lau2, CASE WHEN covered_fraction < 0.9 THEN 'not rated' WHEN covered_fraction * 65 < 30 THEN '<30' WHEN covered_fraction * 65 < 40 THEN '30-40' WHEN covered_fraction * 65 < 50 THEN '40-50' WHEN covered_fraction * 65 < 60 THEN '50-60' ELSE '>60' END AS bin FROM commune_aoi_v")
+paired("commune_aoi", "SELECT lau2, commune, canton, round(commune_area_km2, 6) AS commune_area_km2, round(covered_area_km2, 6) AS covered_area_km2, round(covered_fraction, 6) AS covered_fraction FROM commune_cover")
+paired("join_aoi", "SELECT lau2, round(covered_area_km2, 6) AS km2 FROM commune_cover")
 paired("spatial_join", "SELECT lau2, poly_id, round(area, 4) AS area FROM commune_polys")
 COVER = "SELECT lau2, commune, class_name, sum(area) / 1e6 AS km2 FROM commune_polys WHERE covered_fraction >= 0.9 GROUP BY lau2, commune, class_name"
-SHARES = f"SELECT lau2, commune, round(sum(km2), 6) AS km2, round(100 * sum(km2) FILTER (WHERE class_name LIKE '%forest%') / nullif(sum(km2), 0), 6) AS forest_pct, round(100 * sum(km2) FILTER (WHERE class_name = 'Artificial surfaces') / nullif(sum(km2), 0), 6) AS built_pct FROM ({COVER}) c GROUP BY lau2, commune"
-paired("two_level_agg", f"SELECT lau2, class_name, round(km2, 6) AS km2 FROM ({COVER}) c")
+SHARES = f"SELECT lau2, commune, round(sum(km2), 9) AS km2, round(100 * sum(km2) FILTER (WHERE class_name LIKE '%forest%') / nullif(sum(km2), 0), 6) AS forest_pct, round(100 * sum(km2) FILTER (WHERE class_name = 'Artificial surfaces') / nullif(sum(km2), 0), 6) AS built_pct FROM ({COVER}) c GROUP BY lau2, commune"
+paired("choropleth_bins", f"SELECT lau2, CASE WHEN g.covered_fraction < 0.9 OR s.forest_pct IS NULL THEN 'not rated' WHEN s.forest_pct < 30 THEN '<30' WHEN s.forest_pct < 40 THEN '30-40' WHEN s.forest_pct < 50 THEN '40-50' WHEN s.forest_pct < 60 THEN '50-60' ELSE '>60' END AS bin FROM commune_cover g LEFT JOIN ({SHARES}) s USING (lau2)")
+paired("two_level_agg", f"SELECT lau2, class_name, round(km2, 9) AS km2 FROM ({COVER}) c")
 paired("q_commune_cover", f"SELECT * FROM ({SHARES}) s ORDER BY forest_pct DESC NULLS FIRST, lau2")
 paired("q_top_built", f"SELECT lau2, commune, built_pct FROM ({SHARES}) s ORDER BY built_pct DESC NULLS LAST, lau2 LIMIT 5")
-paired("join_using", f"SELECT lau2, s.forest_pct, round(g.covered_fraction, 6) AS covered_fraction FROM ({SHARES}) s JOIN commune_aoi_v g USING (lau2)")
-paired("q_choropleth", f"SELECT lau2, s.commune, s.forest_pct, s.built_pct, g.x0, g.y0, g.x1, g.y1 FROM ({SHARES}) s JOIN commune_aoi_v g USING (lau2)")
-CLIP = "greatest(least({t}.x1, a.x1) - greatest({t}.x0, a.x0), 0) * greatest(least({t}.y1, a.y1) - greatest({t}.y0, a.y0), 0) / 1e6"
-AREAS = f"SELECT coalesce(p.class_name, q.class_name) AS class_name, round(coalesce(p.km2, 0), 6) AS predicted, round(coalesce(q.km2, 0), 6) AS ref_km2, round(100 * (coalesce(p.km2, 0) - q.km2) / nullif(q.km2, 0), 6) AS diff_pct FROM (SELECT class_name, sum({CLIP.format(t='t')}) AS km2 FROM named t CROSS JOIN aoi a GROUP BY class_name) p FULL OUTER JOIN (SELECT class_name, sum({CLIP.format(t='u')}) AS km2 FROM reference u CROSS JOIN aoi a WHERE class_name IS NOT NULL GROUP BY class_name) q ON p.class_name = q.class_name"
-both("full_outer", AREAS)
-both("q_pred_vs_ref", f"SELECT * FROM ({AREAS}) z ORDER BY ref_km2 DESC, class_name")
-NEW = "SELECT g.lau2, g.commune, sum(greatest(least(x.x1, g.ix1) - greatest(x.x0, g.ix0), 0) * greatest(least(x.y1, g.iy1) - greatest(x.y0, g.iy0), 0)) / 1e6 AS km2 FROM poly_reference x JOIN commune_aoi_v g ON greatest(x.x0, g.ix0) <= least(x.x1, g.ix1) AND greatest(x.y0, g.iy0) <= least(x.y1, g.iy1) WHERE x.class_id = 1 AND x.ref_name IS DISTINCT FROM 'Artificial surfaces' AND g.covered_fraction >= 0.9 GROUP BY g.lau2, g.commune"
-paired("spatial_join3", f"SELECT lau2, round(km2, 6) AS km2 FROM ({NEW}) z")
-paired("q_new_built", f"SELECT lau2, commune, round(km2, 6) AS km2 FROM ({NEW}) z ORDER BY round(km2, 6) DESC, lau2 LIMIT 10")
+paired("join_using", f"SELECT lau2, s.forest_pct, round(g.covered_fraction, 6) AS covered_fraction FROM ({SHARES}) s JOIN commune_cover g USING (lau2)")
+paired("q_choropleth", f"SELECT lau2, s.commune, s.forest_pct, s.built_pct, g.x0, g.y0, g.x1, g.y1 FROM ({SHARES}) s JOIN commune_cover g USING (lau2)")
+AREAS = "SELECT coalesce(p.class_name, q.class_name) AS class_name, round(coalesce(p.km2, 0), 8) AS predicted, round(coalesce(q.km2, 0), 8) AS ref_km2, round(100 * (coalesce(p.km2, 0) - q.km2) / nullif(q.km2, 0), 6) AS diff_pct FROM (SELECT * FROM class_cover WHERE kind = 'poly') p FULL OUTER JOIN (SELECT * FROM class_cover WHERE kind = 'ref') q ON p.class_name = q.class_name"
+paired("full_outer", AREAS)
+paired("q_pred_vs_ref", f"SELECT * FROM ({AREAS}) z ORDER BY ref_km2 DESC, class_name")
+NEW = "SELECT lau2, commune, sum(area) / 1e6 AS km2 FROM new_parts GROUP BY lau2, commune"
+paired("spatial_join3", f"SELECT lau2, round(km2, 9) AS km2 FROM ({NEW}) z")
+paired("q_new_built", f"SELECT lau2, commune, round(km2, 9) AS km2 FROM ({NEW}) z ORDER BY round(km2, 9) DESC, lau2 LIMIT 10")
 PATCHES = "SELECT poly_id, class_name, area, 2 * (x1 - x0) + 2 * (y1 - y0) AS len FROM named WHERE class_name LIKE '%forest%' ORDER BY area DESC, poly_id LIMIT 10"
 both("topk", f"SELECT poly_id, round(area, 4) AS area FROM ({PATCHES}) t")
 both("patch_rank", f"SELECT CAST(row_number() OVER (ORDER BY area DESC, poly_id) AS BIGINT) AS k, poly_id FROM ({PATCHES}) t")
