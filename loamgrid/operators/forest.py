@@ -9,18 +9,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.operators.selection import draw, first_rows
+
 TREES, LEAF, DEPTH = 300, 20, 30
 SEED = 42
 
 
-def draw(*columns: str, seed: int = SEED) -> Column:
-    """A number of [0, 1) for each row, the same wherever the row lies."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-
-def subsample(df: DataFrame, n: int | None, keys: list[str], seed: int = SEED) -> DataFrame:
-    """Exactly n rows drawn without replacement by a hash of their keys; df itself if it has no more or n is None."""
-    return df if n is None else df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+def subsample(df: DataFrame, n: int | None, keys: list[str], seed: int = SEED, by: Column | None = None, bits: int = 63) -> DataFrame:
+    """Exactly n rows drawn without replacement by a hash of their keys, or a given draw of so many bits; df itself if it has no more or n is None."""
+    return df if n is None else first_rows(df, n, draw(*keys, seed=seed) if by is None else by, keys, bits)
 
 
 def fit(train: DataFrame, features: list[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, balanced: bool = False, seed: int = SEED) -> PipelineModel:

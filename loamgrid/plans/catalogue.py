@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import projection
-from loamgrid.operators import forest, planar, polygons, raster, regions, scanline, simplify, smoothing, spatial
+from loamgrid.operators import blocks, forest, planar, polygons, raster, regions, scanline, selection, simplify, smoothing, spatial
 from loamgrid.plans import sweep
 from loamgrid.sources import files, shapes
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
@@ -141,8 +141,23 @@ STATS = "SELECT avg(B11) AS m1, stddev_pop(B11) AS s1, avg(B12) AS m2, stddev_po
 STANDARD = f"SELECT r, c, valid, CASE WHEN valid THEN (B11 - m1) / greatest(s1, 1e-12) ELSE 0 END AS f1, CASE WHEN valid THEN (B12 - m2) / greatest(s2, 1e-12) ELSE 0 END AS f2, CASE WHEN valid THEN (NBR2 - m3) / greatest(s3, 1e-12) ELSE 0 END AS f3 FROM indexed CROSS JOIN ({STATS}) s"
 both("standardise", f"SELECT r, c, {R('f1', 'f1', 5)}, {R('f2', 'f2', 5)}, {R('f3', 'f3', 5)} FROM ({STANDARD}) x")
 PERCENTILE = lambda c, q: f"percentile_cont({q}) WITHIN GROUP (ORDER BY {c})"
-both("percentile_stretch", f"SELECT r, c, round(least(greatest((B04 - lo) / (hi - lo), 0), 1), 6) AS v FROM indexed CROSS JOIN (SELECT {PERCENTILE('B04', 0.02)} AS lo, {PERCENTILE('B04', 0.98)} AS hi FROM indexed) p WHERE B04 IS NOT NULL")
-both("truecolor", f"SELECT r, c, CASE WHEN B04 IS NULL THEN 0 ELSE CAST(floor(least(greatest((B04 - lo) / (hi - lo), 0), 1) * 254) AS INT) + 1 END AS red, B02 IS NOT NULL AND B03 IS NOT NULL AND B04 IS NOT NULL AS alpha FROM indexed CROSS JOIN (SELECT {PERCENTILE('B04', 0.02)} AS lo, {PERCENTILE('B04', 0.98)} AS hi FROM indexed) p")
+
+
+def measured(name: str, sql: str, values: str, shares: dict[str, float], by: str = "") -> None:
+    """A text over `marks`, the percentiles (by name) of the column v of values: radix selection in Spark, sorted by DuckDB."""
+    group = f" GROUP BY {by}" if by else ""
+    marks = f"SELECT {by + ', ' if by else ''}{bands(f'{PERCENTILE("v", q)} AS {n}' for n, q in shares.items())} FROM ({values}) x{group}"
+    ORACLES[name] = duck(sql, {"marks": marks})
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = selection.percentiles(run(spark, sf_dir, values), "v", list(shares.values()), [by] if by else [])
+        return run(spark, sf_dir, sql, marks=found.withColumnsRenamed({f"p{i}": n for i, n in enumerate(shares)}))
+
+    QUERIES[name] = query
+
+
+measured("percentile_stretch", "SELECT r, c, round(least(greatest((B04 - lo) / (hi - lo), 0), 1), 6) AS v FROM indexed CROSS JOIN marks WHERE B04 IS NOT NULL", "SELECT B04 AS v FROM indexed", {"lo": 0.02, "hi": 0.98})
+measured("truecolor", "SELECT r, c, CASE WHEN B04 IS NULL THEN 0 ELSE CAST(floor(least(greatest((B04 - lo) / (hi - lo), 0), 1) * 254) AS INT) + 1 END AS red, B02 IS NOT NULL AND B03 IS NOT NULL AND B04 IS NOT NULL AS alpha FROM indexed CROSS JOIN marks", "SELECT B04 AS v FROM indexed", {"lo": 0.02, "hi": 0.98})
 both("colour_lut", "SELECT r, c, k.colour FROM pixels p LEFT JOIN classes k ON k.class_id = p.label")
 both("hex_colour", "SELECT class_id, CAST(position(substr(colour, 1, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 2, 1) IN '0123456789abcdef') - 17 AS INT) AS red, CAST(position(substr(colour, 3, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 4, 1) IN '0123456789abcdef') - 17 AS INT) AS green, CAST(position(substr(colour, 5, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 6, 1) IN '0123456789abcdef') - 17 AS INT) AS blue FROM classes")
 own("json_extract", lambda s, d: run(s, d, "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -154,14 +169,15 @@ both("shift", "SELECT r, c, coalesce(lag(label) OVER (PARTITION BY r ORDER BY c)
 EDGES = f"SELECT r, c, coalesce(w, label) <> label OR coalesce(e, label) <> label OR coalesce(n, label) <> label OR coalesce(s, label) <> label AS edge FROM ({NEXT}) x"
 own("boundary_pixels", lambda s, d: raster.boundary(run(s, d, "SELECT r, c, label FROM smooth")).select("r", "c", "edge"), EDGES)
 both("edge_density", f"SELECT {IF('e <> label')} + {IF('s <> label')} AS edges, {N} AS pixels, round(({IF('e <> label')} + {IF('s <> label')}) * 0.01E0 / (count(*) * 1e-4), 6) AS km_per_km2 FROM ({NEXT}) x")
-DISTANCE = f"SELECT p.r, p.c, round(min(sqrt((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c))) * 10, 6) AS distance_m FROM smooth p CROSS JOIN ({EDGES}) q WHERE q.edge AND abs(p.r - q.r) <= 8 AND abs(p.c - q.c) <= 12 GROUP BY p.r, p.c"
-distances = lambda s, d: raster.boundary_distance(run(s, d, "SELECT r, c, label FROM smooth"))
+WIDE_EDGES = EDGES.replace("FROM smooth", "FROM wide")
+DISTANCE = f"SELECT p.r, p.c, round(min(sqrt((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c))) * 10, 6) AS distance_m FROM wide p JOIN (SELECT r, c FROM ({WIDE_EDGES}) e WHERE edge) q ON abs(p.r - q.r) <= 50 GROUP BY p.r, p.c"
+distances = lambda s, d: raster.boundary_distance(run(s, d, "SELECT r, c, label FROM wide"))
 own("boundary_distance", distances, DISTANCE)
 own("uncertain_fraction", lambda s, d: distances(s, d).agg(F.round(F.avg((F.col("distance_m") < 100).cast("double")), 6).alias("share")), f"SELECT round(avg(CASE WHEN distance_m < 100 THEN 1.0 ELSE 0.0 END), 6) AS share FROM ({DISTANCE}) x")
 BAND = "CASE WHEN distance_m < 20 THEN '0-20' WHEN distance_m < 50 THEN '20-50' WHEN distance_m < 100 THEN '50-100' WHEN distance_m < 200 THEN '100-200' WHEN distance_m < 400 THEN '200-400' ELSE '>400' END"
-BANDED = f"SELECT {BAND} AS band, {N} AS n, round(avg(CASE WHEN label = pred THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy FROM dist JOIN smooth USING (r, c) GROUP BY {BAND}"
+BANDED = f"SELECT {BAND} AS band, {N} AS n, round(avg(CASE WHEN label = pred THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy FROM dist JOIN wide USING (r, c) GROUP BY {BAND}"
 own("accuracy_by_distance", lambda s, d: run(s, d, BANDED, dist=distances(s, d)), BANDED.replace("FROM dist", f"FROM ({DISTANCE}) dist"))
-WRONG = "SELECT r, c, CASE WHEN label = pred THEN 0 WHEN distance_m < 100 THEN 1 ELSE 2 END AS kind FROM dist JOIN smooth USING (r, c)"
+WRONG = "SELECT r, c, CASE WHEN label = pred THEN 0 WHEN distance_m < 100 THEN 1 ELSE 2 END AS kind FROM dist JOIN wide USING (r, c)"
 own("disagreement", lambda s, d: run(s, d, WRONG, dist=distances(s, d)), WRONG.replace("FROM dist", f"FROM ({DISTANCE}) dist"))
 both("band_label", "SELECT lo, hi, CASE WHEN hi IS NULL THEN '>' || CAST(lo AS VARCHAR(9)) ELSE CAST(lo AS VARCHAR(9)) || '-' || CAST(hi AS VARCHAR(9)) END AS band FROM (SELECT 0 AS lo, 20 AS hi UNION ALL SELECT 20, 50 UNION ALL SELECT 50, 100 UNION ALL SELECT 100, 200 UNION ALL SELECT 200, 400 UNION ALL SELECT 400, NULL) b")
 INPUT = "SELECT r, c, label FROM smooth"
@@ -170,6 +186,8 @@ for key, steps in (("components_4", ((0, 1), (1, 0))), ("components", ((0, 1), (
 SIZES = "SELECT label, CAST(count(DISTINCT component) AS BIGINT) AS regions, CAST(count(*) * 100 AS BIGINT) AS area_m2 FROM ({}) x GROUP BY label"
 own("polygonise", lambda s, d: run(s, d, SIZES.replace("({})", "x0"), x0=QUERIES["components_4"](s, d)), None)
 own("fragmentation", lambda s, d: run(s, d, "SELECT CAST(count(*) AS BIGINT) AS patches, round(avg(n) * 0.01E0, 6) AS mean_ha, round(sum(CASE WHEN n < 5 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS tiny FROM (SELECT component, count(*) AS n FROM x0 GROUP BY component) y", x0=QUERIES["components"](s, d)), None)
+OUTLINED = f"SELECT label, CAST(count(*) * 100 AS BIGINT) AS area_m2, CAST(sum(CASE WHEN coalesce(w <> label, TRUE) THEN 1 ELSE 0 END + CASE WHEN coalesce(e <> label, TRUE) THEN 1 ELSE 0 END + CASE WHEN coalesce(n <> label, TRUE) THEN 1 ELSE 0 END + CASE WHEN coalesce(s <> label, TRUE) THEN 1 ELSE 0 END) * 10 AS BIGINT) AS perimeter_m FROM ({NEXT}) x GROUP BY label"
+own("region_outlines", lambda s, d: regions.outlines(run(s, d, INPUT)).groupBy("label").agg((F.sum("signed") * 100).cast("long").alias("area_m2"), (F.sum("size") * 10).cast("long").alias("perimeter_m")), OUTLINED)
 MIN3 = lambda v, f: f"SELECT r, c, own, CASE WHEN count(*) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 3 AND '{f}' = 'min' THEN 0 ELSE {f}({v}) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS {v} FROM (SELECT r, c, own, CASE WHEN count(*) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) < 3 AND '{f}' = 'min' THEN 0 ELSE {f}({v}) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS {v} FROM"
 THIN = f"{MIN3('v', 'max')} ({MIN3('v', 'min')} (SELECT r, c, CASE WHEN label = 1 THEN 1 ELSE 0 END AS own, CASE WHEN label = 1 THEN 1 ELSE 0 END AS v FROM pixels) a) b) d) e"
 both("thin_structures", f"SELECT r, c, own = 1 AND v = 0 AS thin FROM ({THIN}) z")
@@ -177,14 +195,38 @@ both("thin_retention", f"SELECT round(avg(CASE WHEN p.pred = 1 THEN 1.0E0 ELSE 0
 # blocks, splits, metrics
 both("block_ids", "SELECT r, c, block FROM blocks")
 both("distinct_blocks", "SELECT DISTINCT block FROM blocks WHERE valid")
-FOLDS = "SELECT block, CAST((row_number() OVER (ORDER BY block * 7919 % 1009, block) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT block FROM blocks WHERE valid) x"
-both("block_folds", f"SELECT b.r, b.c, coalesce(f.fold, -1) AS fold FROM blocks b LEFT JOIN ({FOLDS}) f ON b.block = f.block")
-both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1) e ON e.block = b.block WHERE e.block IS NULL")
-SPLIT = "SELECT b.*, CASE WHEN NOT valid THEN NULL WHEN t.block IS NOT NULL THEN 'test' ELSE 'train' END AS side FROM blocks b LEFT JOIN (SELECT block FROM (SELECT block, row_number() OVER (ORDER BY block * 7919 % 1009, block) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM blocks WHERE valid) x) y WHERE k <= greatest(1, round(0.3 * n))) t ON t.block = b.block"
-both("block_split", f"SELECT r, c, side FROM ({SPLIT}) s")
+ORDER = "block * 7919 % 1009"
+#: What Spark gets by ranks over ranges of a draw.
+RANKED = {
+    "fold_blocks": f"SELECT block, CAST((row_number() OVER (ORDER BY NOT eligible, {ORDER}, block) - 1) % 5 AS INT) AS fold FROM (SELECT block, max(eligible) AS eligible FROM (SELECT block, label = 1 AND (r * 100 + c) % 97 = 0 AS eligible FROM blocks WHERE valid) x GROUP BY block) y",
+    "test_blocks": f"SELECT block FROM (SELECT block, row_number() OVER (ORDER BY {ORDER}, block) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM blocks WHERE valid) x) y WHERE k <= greatest(1, round(0.3 * n))",
+}
+
+
+def block_frames(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
+    """The frames of RANKED that a text uses. Folds are balanced over blocks with built-up pixels of a draw; other valid ones follow."""
+    out = {}
+    order = {"by": F.expr(ORDER), "bits": 10}
+    if "fold_blocks" in sql:
+        out["fold_blocks"] = blocks.fold_blocks(run(spark, sf_dir, "SELECT block, label = 1 AND (r * 100 + c) % 97 = 0 AS eligible, valid AS assigned FROM blocks WHERE valid"), **order)
+    if "test_blocks" in sql:
+        out["test_blocks"] = blocks.test_blocks(run(spark, sf_dir, "SELECT block, valid AS eligible FROM blocks"), **order)
+    return out
+
+
+def blocked(name: str, sql: str) -> None:
+    ORACLES[name] = duck(sql, RANKED)
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, sql, **block_frames(spark, sf_dir, sql))
+
+
+FOLDS = "SELECT block, fold FROM fold_blocks"
+blocked("block_folds", "SELECT b.r, b.c, CASE WHEN b.valid THEN f.fold ELSE -1 END AS fold FROM blocks b LEFT JOIN fold_blocks f ON b.block = f.block")
+both("fold_extension", "SELECT DISTINCT b.block FROM blocks b LEFT JOIN (SELECT DISTINCT block FROM blocks WHERE valid AND label = 1 AND (r * 100 + c) % 97 = 0) e ON e.block = b.block WHERE b.valid AND e.block IS NULL")
+SPLIT = "SELECT b.*, CASE WHEN NOT valid THEN NULL WHEN t.block IS NOT NULL THEN 'test' ELSE 'train' END AS side FROM blocks b LEFT JOIN test_blocks t ON t.block = b.block"
+blocked("block_split", f"SELECT r, c, side FROM ({SPLIT}) s")
 SIDE = lambda x: IF(f"side = '{x}'")
-both("split_summary", f"SELECT {SIDE('train')} AS n_train, {SIDE('test')} AS n_test, round(sum(CASE WHEN side = 'test' THEN 1.0E0 ELSE 0 END) / greatest(count(side), 1), 6) AS held_out FROM ({SPLIT}) s")
-both("class_coverage", f"SELECT label, {SIDE('train')} AS n_train, {SIDE('test')} AS n_test FROM ({SPLIT}) s GROUP BY label")
+blocked("split_summary", f"SELECT {SIDE('train')} AS n_train, {SIDE('test')} AS n_test, round(sum(CASE WHEN side = 'test' THEN 1.0E0 ELSE 0 END) / greatest(count(side), 1), 6) AS held_out FROM ({SPLIT}) s")
+blocked("class_coverage", f"SELECT label, {SIDE('train')} AS n_train, {SIDE('test')} AS n_test FROM ({SPLIT}) s GROUP BY label")
 both("mask_algebra", "SELECT r, c, valid AND label = 1 AS both_sets, valid OR label = 1 AS either, valid AND NOT label = 1 AS only_first FROM indexed")
 CONFUSION = "SELECT t.class_id AS truth, p.class_id AS pred, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT class_id FROM classes WHERE class_id IN (1, 2, 4, 5, 6, 7)) t CROSS JOIN (SELECT class_id FROM classes WHERE class_id IN (1, 2, 4, 5, 6, 7)) p LEFT JOIN (SELECT label, pred, count(*) AS n FROM pixels GROUP BY label, pred) x ON x.label = t.class_id AND x.pred = p.class_id"
 both("confusion_matrix", CONFUSION)
@@ -193,12 +235,14 @@ CLASSWISE = f"SELECT k, coalesce(CAST(hit AS DOUBLE) / nullif(predicted, 0), 0)
 F1 = "CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END"
 both("per_class_metrics", f"SELECT k AS class_id, {R('p', 'prec')}, {R('q', 'recall')}, {R(F1, 'f1')}, support FROM ({CLASSWISE}) z")
 both("overall_metrics", f"SELECT round(po, 6) AS accuracy, round((po - pe) / (1 - pe), 6) AS kappa, {R('macro', 'macro_f1')}, {R('weighted', 'weighted_f1')}, n FROM (SELECT CAST(sum(hit) AS DOUBLE) / sum(support) AS po, sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe, avg({F1}) AS macro, sum({F1} * support) / sum(support) AS weighted, CAST(sum(support) AS BIGINT) AS n FROM ({CLASSWISE}) z) m")
-both("split_comparison", f"SELECT round(avg(CASE WHEN r % 3 = 0 AND label = pred THEN 1.0E0 WHEN r % 3 = 0 THEN 0.0E0 END) - avg(CASE WHEN side = 'test' AND label = pred THEN 1.0E0 WHEN side = 'test' THEN 0.0E0 END), 6) AS inflation FROM ({SPLIT}) s")
-both("drop_rare_classes", "SELECT r, c, CASE WHEN share >= 0.005 THEN label ELSE 0 END AS label FROM pixels JOIN (SELECT label AS l, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM pixels WHERE label <> 0 GROUP BY label) s ON l = label")
+DRAWN = "(r * 7919 + c * 104729) % 1000003"
+blocked("split_comparison", f"SELECT round(avg(CASE WHEN valid AND {DRAWN} < 300001 AND label = pred THEN 1.0E0 WHEN valid AND {DRAWN} < 300001 THEN 0.0E0 END), 6) AS at_random, round(avg(CASE WHEN side = 'test' AND label = pred THEN 1.0E0 WHEN side = 'test' THEN 0.0E0 END), 6) AS by_blocks FROM ({SPLIT}) s")
+LABELS = "SELECT r, c, CASE WHEN event_id % 307 = 0 THEN 7 ELSE label END AS label FROM pixels"
+both("drop_rare_classes", f"SELECT r, c, CASE WHEN share >= 0.005 THEN label ELSE 0 END AS label FROM ({LABELS}) p JOIN (SELECT label AS l, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM ({LABELS}) q WHERE label <> 0 GROUP BY label) s ON l = label")
 both("zonal_stats", f"SELECT block AS zone, {N} AS pixels, round(100.0E0 * {IF('label = 6')} / count(*), 6) AS forest_pct, round(100.0E0 * {IF('label = 1')} / count(*), 6) AS built_pct, round(count(*) * 1e-4, 6) AS km2, round(least(count(*) / 400.0E0, 1), 6) AS coverage FROM blocks WHERE label > 0 GROUP BY block")
 # smoothing
 RIGHT = f"SELECT sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3)) AS d FROM ({STANDARD}) a JOIN ({STANDARD}) b ON a.valid AND b.valid AND "
-both("contrast_sigma", f"SELECT round({PERCENTILE('d', 0.5)}, 5) AS sigma FROM ({RIGHT} b.r = a.r AND b.c = a.c + 1 UNION ALL {RIGHT} b.r = a.r + 1 AND b.c = a.c) x")
+measured("contrast_sigma", "SELECT round(mid, 5) AS sigma FROM marks", f"SELECT d AS v FROM ({RIGHT} b.r = a.r AND b.c = a.c + 1 UNION ALL {RIGHT} b.r = a.r + 1 AND b.c = a.c) x", {"mid": 0.5})
 AROUND = "(SELECT -1 AS dr UNION ALL SELECT 0 UNION ALL SELECT 1) x CROSS JOIN (SELECT -1 AS dc UNION ALL SELECT 0 UNION ALL SELECT 1) y"
 both("uniform_kernels", f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN 1 / sqrt(dr * dr + dc * dc) ELSE 0 END, 6) AS w FROM indexed p CROSS JOIN {AROUND} JOIN indexed q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
 both("contrast_kernels", f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN exp(-((p.f1 - q.f1) * (p.f1 - q.f1) + (p.f2 - q.f2) * (p.f2 - q.f2) + (p.f3 - q.f3) * (p.f3 - q.f3)) / 2) / sqrt(dr * dr + dc * dc) ELSE 0 END, 5) AS w FROM ({STANDARD}) p CROSS JOIN {AROUND} JOIN ({STANDARD}) q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
@@ -221,14 +265,17 @@ both("q_class_area", f"SELECT class_name, {N} AS n, round(sum(area) / 1e6, 6) AS
 both("share_of_total", "SELECT class_id, round(100 * sum(area) / sum(sum(area)) OVER (), 6) AS pct FROM named GROUP BY class_id")
 both("filtered_sum", "SELECT class_id, round(sum(area) FILTER (WHERE area >= 20000), 4) AS large, round(sum(area) FILTER (WHERE area < 0), 4) AS none_of_them FROM named GROUP BY class_id")
 both("speck_filter", f"SELECT {IF('area >= 2000')} AS kept, {IF('area < 2000')} AS dropped, round(sum(CASE WHEN area < 2000 THEN area ELSE 0 END), 4) AS dropped_m2 FROM named")
-both("area_stats", f"SELECT class_id, round(min(area) / 1e4, 6) AS min_ha, round({PERCENTILE('area', 0.5)} / 1e4, 6) AS median_ha FROM named GROUP BY class_id")
+measured("area_stats", "SELECT class_id, round(lo / 1e4, 6) AS min_ha, round(mid / 1e4, 6) AS median_ha FROM marks", "SELECT class_id, area AS v FROM named", {"lo": 0.0, "mid": 0.5}, "class_id")
 both("st_area", f"SELECT poly_id, round(abs(sum(x * y2 - x2 * y)) / 2, 4) AS area FROM (SELECT poly_id, x, y, lead(x) OVER (PARTITION BY poly_id ORDER BY k) AS x2, lead(y) OVER (PARTITION BY poly_id ORDER BY k) AS y2 FROM ({CORNERS}) z) e GROUP BY poly_id")
 both("st_perimeter", "SELECT poly_id, round(2 * (x1 - x0) + 2 * (y1 - y0), 4) AS perimeter FROM polys")
 both("compactness", "SELECT poly_id, round(4 * pi() * area / nullif(power(2 * (x1 - x0) + 2 * (y1 - y0), 2), 0), 6) AS compactness FROM named")
 both("st_intersects", "SELECT poly_id, greatest(p.x0, a.x0) <= least(p.x1, a.x1) AND greatest(p.y0, a.y0) <= least(p.y1, a.y1) AS meets FROM polys p CROSS JOIN aoi a")
 both("st_intersection_area", "SELECT poly_id, round(greatest(least(p.x1, a.x1) - greatest(p.x0, a.x0), 0) * greatest(least(p.y1, a.y1) - greatest(p.y0, a.y0), 0), 4) AS area FROM polys p CROSS JOIN aoi a")
 both("grid_snap", "SELECT poly_id, CAST(floor((x0 + 3) / 20) * 2 AS BIGINT) AS col0, CAST(floor((y0 + 3) / 20) * 2 AS BIGINT) AS row0, CAST(ceil((x1 + 3) / 20) * 2 - floor((x0 + 3) / 20) * 2 AS BIGINT) AS width, CAST(ceil((y1 + 3) / 20) * 2 - floor((y0 + 3) / 20) * 2 AS BIGINT) AS height FROM polys")
-own("rasterise", lambda s, d: run(s, d, "SELECT class_id, area, CAST(ceil((x0 - 50) / 100) AS BIGINT) AS a, CAST(ceil((x1 - 50) / 100) AS BIGINT) - 1 AS b, CAST(ceil((y0 - 50) / 100) AS BIGINT) AS e, CAST(ceil((y1 - 50) / 100) AS BIGINT) - 1 AS f, poly_id FROM named").where("a <= b and e <= f").select("class_id", "area", "poly_id", F.explode(F.sequence("a", "b")).alias("c"), "e", "f").select("class_id", "area", "poly_id", "c", F.explode(F.sequence("e", "f")).alias("r")).groupBy("r", "c").agg(F.max_by("class_id", F.struct(-F.col("area"), -F.col("poly_id"))).alias("class_id")), "SELECT r, c, class_id FROM (SELECT r, c, class_id, row_number() OVER (PARTITION BY r, c ORDER BY area, poly_id) AS k FROM named JOIN (SELECT range AS c FROM range(0, 300)) x ON c * 100.0 + 50 >= x0 AND c * 100.0 + 50 < x1 JOIN (SELECT range AS r FROM range(0, 300)) y ON r * 100.0 + 50 >= y0 AND r * 100.0 + 50 < y1) z WHERE k = 1")
+EDGED = lambda n, size: f"SELECT p.id, r, c FROM (SELECT {shapes.SHAPES[n][1]} AS id, r, c, (c + 0.5) * {size} AS px, (r + 0.5) * {size} AS py FROM {shapes.SHAPES[n][0]} JOIN (SELECT range AS c FROM range(0, 300)) x ON c * {size} + {size} > x0 AND c * {size} <= x1 JOIN (SELECT range AS r FROM range(0, 300)) y ON r * {size} + {size} > y0 AND r * {size} <= y1) p JOIN ({shapes.edges(n)}) e ON e.id = p.id AND (ya > py) <> (yb > py) AND px < xa + (xb - xa) * (py - ya) / (yb - ya) GROUP BY p.id, r, c HAVING count(*) % 2 = 1"
+own("rasterise", lambda s, d: scanline.rasterise(shaped(s, d, "poly", "named", "class_id, area, poly_id", "rings"), "class_id", ["area", "poly_id"], 100.0), f"SELECT r, c, class_id FROM (SELECT r, c, class_id, row_number() OVER (PARTITION BY r, c ORDER BY area, poly_id) AS k FROM ({EDGED('poly', 100)}) z JOIN named ON poly_id = id) z WHERE k = 1")
+ZONED = "SELECT z.lau2, count(*) AS pixels, round(100.0E0 * sum(CASE WHEN label = 6 THEN 1 ELSE 0 END) / count(*), 6) AS forest_pct, round(100.0E0 * sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) / count(*), 6) AS built_pct, round(count(*) * 0.04E0, 6) AS km2 FROM zones z JOIN pixels p ON p.r = z.r AND p.c = z.c WHERE label > 0 GROUP BY z.lau2"
+own("zonal_communes", lambda s, d: run(s, d, ZONED, zones=scanline.pixels(shaped(s, d, "commune", "communes", "lau2", "rings"), ["lau2"], 200.0)), ZONED.replace("FROM zones z", f"FROM (SELECT id AS lau2, r, c FROM ({EDGED('commune', 200)}) y) z"))
 both("code_lookup", "SELECT ref_id, class_id FROM reference")
 both("name_lookup", "SELECT p.poly_id, coalesce(k.class_name, '?') AS class_name FROM polys p LEFT JOIN (SELECT * FROM classes WHERE class_id <> 7) k ON k.class_id = p.class_id")
 both("assign_classes", "SELECT ref_id, class_id, class_name FROM reference WHERE class_id IS NOT NULL")
@@ -268,7 +315,9 @@ own("ring_perimeter", lambda s, d: ringed(s, d).select("poly_id", F.round(polygo
 own("ring_compactness", lambda s, d: ringed(s, d).select("poly_id", F.round(polygons.compactness(F.col("rings")), 6).alias("compactness")), f"SELECT poly_id, round(4 * pi() * area / nullif(p * p, 0), 6) AS compactness FROM ({LENGTH}) z")
 own("ring_contains", lambda s, d: ringed(s, d).select("poly_id", polygons.contains(F.col("rings"), F.col("x1") - 4.5, F.col("y1") - 3.5).alias("inside")), f"SELECT e.poly_id, sum(CASE WHEN (y > p.y1 - 3.5) <> (y2 > p.y1 - 3.5) AND p.x1 - 4.5 < (x2 - x) * (p.y1 - 3.5 - y) / nullif(y2 - y, 0) + x THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM ({EDGE}) e JOIN polys p ON p.poly_id = e.poly_id GROUP BY e.poly_id")
 own("ring_clip", lambda s, d: ringed(s, d).select("poly_id", F.round(F.coalesce(polygons.area(F.array(polygons.clip(F.col("rings")[0], F.lit(5000.0), F.lit(5000.0), F.lit(15000.0), F.lit(15000.0)))), F.lit(0.0)), 4).alias("area")), None)
-own("st_isvalid", lambda s, d: ringed(s, d).select("poly_id", polygons.is_valid(F.col("rings")[0]).alias("valid")), "SELECT poly_id, TRUE AS valid FROM polys WHERE x1 > x0")
+#: Every fifth ring is a bow, every seventh of the others is open.
+BROKEN = "SELECT poly_id, CASE WHEN poly_id % 5 = 0 THEN array(array(" + ", ".join(POINT.format(x, y) for x, y in (("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1"), ("x0", "y0"))) + ")) WHEN poly_id % 7 = 0 THEN array(slice(rings[0], 1, 5)) ELSE rings END AS rings FROM (" + RINGED.replace("class_id, x0, y0, x1, y1,", "x0, y0, x1, y1,") + ") z"
+own("st_isvalid", lambda s, d: run(s, d, BROKEN).select("poly_id", polygons.is_valid(F.col("rings")[0]).alias("valid")), "SELECT poly_id, poly_id % 5 <> 0 AND poly_id % 7 <> 0 AS valid FROM polys")
 # files
 paged = lambda s, d: files.collections(ringed(s, d).select("poly_id", F.struct(F.col("poly_id").alias("ID"), F.col("class_id").alias("Code")).alias("properties"), "rings"), 1000, "poly_id")
 own("geojson_scan", lambda s, d: files.features(paged(s, d).select("text"), "ID bigint, Code int").select("id", "code", F.round(polygons.area(F.col("rings")), 4).alias("area")), f"SELECT z.poly_id AS id, class_id AS code, round(z.area, 4) AS area FROM ({LENGTH}) z JOIN polys p ON p.poly_id = z.poly_id")
@@ -286,15 +335,15 @@ def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 own("sql_script", scripted, "SELECT class_id, round(sum(area), 4) AS area FROM named GROUP BY class_id")
-own("repair_geometry", lambda s, d: ringed(s, d).select("poly_id", F.when(polygons.is_valid(F.col("rings")[0]), F.round(polygons.area(F.col("rings")), 4)).alias("area")), f"SELECT poly_id, CASE WHEN area > 0 THEN round(area, 4) END AS area FROM ({LENGTH}) z")
+mended = lambda: F.aggregate("polygons", F.lit(0.0), lambda t, p: t + polygons.area(p))
+own("repair_geometry", lambda s, d: planar.repaired(run(s, d, BROKEN)).select("poly_id", F.size("polygons").alias("parts"), F.round(mended(), 4).alias("area")), "SELECT poly_id, CASE WHEN poly_id % 5 = 0 THEN 2 ELSE 1 END AS parts, round((x1 - x0) * (y1 - y0) * CASE WHEN poly_id % 5 = 0 THEN 0.5 ELSE 0.875 END, 4) AS area FROM polys")
 both("q_web_metrics", f"SELECT round(po, 4) AS accuracy, round((po - pe) / (1 - pe), 4) AS kappa, n FROM (SELECT CAST(sum(hit) AS DOUBLE) / sum(support) AS po, sum(CAST(support AS DOUBLE) * predicted) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe, CAST(sum(support) AS BIGINT) AS n FROM ({CLASSWISE}) z) m")
 # forests
-DRAWN = "(r * 7919 + c * 104729) % 1000003"
 both("random_split", f"SELECT r, c, CASE WHEN NOT valid THEN NULL WHEN {DRAWN} < 300001 THEN 'test' ELSE 'train' END AS side FROM indexed")
-own("subsample", lambda s, d: forest.subsample(run(s, d, "SELECT r, c, label FROM indexed WHERE valid"), 200, ["r", "c"]).agg(F.count("*").alias("n"), F.countDistinct("r", "c").alias("n_distinct")), "SELECT CAST(least(count(*), 200) AS BIGINT) AS n, CAST(least(count(*), 200) AS BIGINT) AS n_distinct FROM indexed WHERE valid")
+own("subsample", lambda s, d: forest.subsample(run(s, d, "SELECT r, c, label FROM indexed WHERE valid"), 200, ["r", "c"], by=F.expr(DRAWN), bits=20), f"SELECT r, c, label FROM indexed WHERE valid ORDER BY {DRAWN}, r, c LIMIT 200")
 LEARNT = f"SELECT s.*, f.fold FROM (SELECT r, c, label, block, CASE WHEN {DRAWN} < 300001 THEN 1 ELSE 0 END AS drawn, {bands((*BANDS, *INDICES))}, side FROM (SELECT i.*, b.side, b.block FROM indexed i JOIN ({SPLIT}) b ON b.r = i.r AND b.c = i.c) j WHERE valid AND NDVI IS NOT NULL AND NDWI IS NOT NULL AND NDBI IS NOT NULL AND NDRE IS NOT NULL AND NBR2 IS NOT NULL) s JOIN ({FOLDS}) f ON f.block = s.block"
 TREES = {"trees": 20, "depth": 8}
-learnt = lambda s, d: run(s, d, LEARNT)
+learnt = lambda s, d: run(s, d, LEARNT, **block_frames(s, d, LEARNT))
 fitted = lambda s, d, **o: forest.fit(learnt(s, d).where("side = 'train'"), [*BANDS, *INDICES], **TREES, **o)
 own("rf_predict", lambda s, d: forest.predict(fitted(s, d), learnt(s, d)).select("r", "c", "label", "pred"), None)
 own("rf_evaluate", lambda s, d: forest.predict(fitted(s, d, balanced=True), learnt(s, d).where("side = 'test'")).agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")), None)

@@ -23,6 +23,7 @@ VIEWS = {
     "reflect": f"SELECT r, c, scl, label, pred, {', '.join(map(_ref, BANDS))} FROM pixels",
     "indexed": f"SELECT *, scl NOT IN (0, 1, 3, 8, 9, 10, 11) AND {' AND '.join(f'{b} IS NOT NULL' for b in BANDS)} AS valid, {_nd('B08', 'B04', 'NDVI')}, {_nd('B03', 'B08', 'NDWI')}, {_nd('B11', 'B08', 'NDBI')}, {_nd('B08', 'B05', 'NDRE')}, {_nd('B11', 'B12', 'NBR2')} FROM reflect",
     "smooth": f"SELECT r, c, {_five('(r // 7 + c // 11) % 5')} AS label, {_five('((r + 2) // 7 + c // 11) % 5')} AS pred FROM pixels",
+    "wide": f"SELECT r, c, {_five('(r // 97 + c // 50) % 5')} AS label, CASE WHEN event_id % 7 = 0 THEN {_five('(event_id * 13 + user_id) % 5')} ELSE {_five('(r // 97 + c // 50) % 5')} END AS pred FROM pixels",
     "blocks": "SELECT r, c, label, pred, valid, r // 20 * 5 + c // 20 AS block FROM indexed",
     "polys": "SELECT p_partkey AS poly_id, p_partkey * 37 % 2000 * 10.0E0 AS x0, p_partkey * 91 % 2000 * 10.0E0 AS y0, p_partkey * 37 % 2000 * 10.0E0 + p_size * 10 AS x1, p_partkey * 91 % 2000 * 10.0E0 + p_size * 10 AS y1, CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 7 ELSE 8 END AS class_id FROM part",
     "named": "SELECT p.*, k.class_name, (x1 - x0) * (y1 - y0) AS area FROM polys p LEFT JOIN classes k ON k.class_id = p.class_id",
