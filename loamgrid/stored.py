@@ -23,8 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"file://{_own_folder()}"
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df as a table into the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Rows of a file, where their number is known beforehand.
+FILE_ROWS = 100_000
+
+
+def stash(df: DataFrame, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Writes df as a table into the shared folder and reads it back: cuts lineage, survives lost executors. rows: a bound of its
+    rows, if there is one, so that a small table isn't written by every shuffle partition."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // file_rows)))
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/loamgrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,10 +39,10 @@ def stash(df: DataFrame) -> DataFrame:
     return table
 
 
-def stash_observed(df: DataFrame, *values: Column) -> tuple[DataFrame, dict]:
+def stash_observed(df: DataFrame, *values: Column, rows: int | None = None) -> tuple[DataFrame, dict]:
     """A stored table, and aggregates of its rows that the same job works out."""
     seen = Observation()
-    table = stash(df.observe(seen, *values))
+    table = stash(df.observe(seen, *values), rows)
     return table, seen.get
 
 
