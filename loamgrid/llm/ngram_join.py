@@ -45,7 +45,9 @@ FRAGMENTS = 8
 #: Bits of a parity bitmap, in 64-bit words: of a whole set, and of each fragment of a set of more than LARGE n-grams.
 BITMAP, FRAGMENT_BITMAP, LARGE = 12, 32, 1_200
 #: Hubs of an n-gram in the first round, on average, and how many times more each further round has.
-HUBS, GROWTH = 4, 32
+HUBS, GROWTH = 4, 1_024
+#: Parts of sets in one file.
+PART_ROWS = 20_000
 #: Classes of an n-gram that meet its hubs in one part of a join.
 SALTED = 4_096
 
@@ -194,11 +196,12 @@ class Join:
         frequent = self.spark.sparkContext.broadcast((listed[order], n[order]))
         return stash(texts.mapInArrow(_profiled(self.words, self.percent, frequent), PROFILES).dropDuplicates(["key"]))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b (keys), na, nb (sizes), a table. A table of those (a, b) that are as similar as asked for."""
-        asked = stash(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    def links(self, pairs: DataFrame, n: int, n_large: int) -> DataFrame:
+        """pairs: a, b (keys), na, nb (sizes), a table of n rows, n_large of them of two large sets. A table of those (a, b) that are as similar as asked for."""
+        asked = stash(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), 2 * n)
         sieve = self.spark.sparkContext.broadcast(Sieve(asked))
-        parts = stash(self.known.select("text").mapInArrow(_parted(self.words, FRAGMENTS, sieve), PARTS).join(asked, "key", "left_semi").dropDuplicates(["key", "fragment"]))
+        parts = self.known.select("text").mapInArrow(_parted(self.words, FRAGMENTS, sieve), PARTS).join(asked, "key", "left_semi").dropDuplicates(["key", "fragment"])
+        parts = stash(parts, 2 * n * FRAGMENTS, PART_ROWS)
         discard(asked)
 
         def by_fragment(some: DataFrame, column: str, count: Column) -> DataFrame:
@@ -209,13 +212,15 @@ class Join:
             return met.select("a", "b", "na", "nb", count.alias("counted")).groupBy("a", "b", "na", "nb").agg(F.sum("counted").alias("counted"))
 
         both = F.col("na") + F.col("nb")
-        large = F.least("na", "nb") > LARGE
-        differing = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        possible = by_fragment(pairs.where(large), "bits", differing).where((100 + self.percent) * (both - F.col("counted")) >= 2 * self.percent * both)
-        left = stash(pairs.where(~large).unionByName(possible.select(pairs.columns)))
+        left = pairs
+        if n_large:
+            large = F.least("na", "nb") > LARGE
+            differing = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+            possible = by_fragment(pairs.where(large), "bits", differing).where((100 + self.percent) * (both - F.col("counted")) >= 2 * self.percent * both)
+            left = stash(pairs.where(~large).unionByName(possible.select(pairs.columns)), n)
         overlap = by_fragment(left, "part", F.size(F.array_intersect("of_a", "of_b")))
-        found = stash(overlap.where((100 + self.percent) * F.col("counted") >= self.percent * both).select("a", "b"))
-        discard(parts, left)
+        found = stash(overlap.where((100 + self.percent) * F.col("counted") >= self.percent * both).select("a", "b"), n)
+        discard(parts, *([left] if n_large else []))
         sieve.destroy()
         return found
 
@@ -237,12 +242,13 @@ class Join:
             found = met if found is None else found.unionByName(met)
         return found.distinct()
 
-    def mixed(self, rows: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-        """rows of this round, a table: those of n-grams of several components by now, and whether they lie in the n-gram's largest one."""
+    def mixed(self, rows: DataFrame, n: int | None, found: DataFrame, turn: int) -> tuple[DataFrame, int]:
+        """rows (n of them, if known) of this round, a table, and their number: those of n-grams of several components by now, and whether they lie in the n-gram's largest one."""
         placed = rows.where(F.col("level") >= turn).drop("component", "major").join(found, F.col("key") == F.col("id"), "left").withColumn("component", F.coalesce("component", "key")).drop("id")
         sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
         several = sizes.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("size", "component"))["component"].alias("largest")).where("k > 1").select("token", "largest")
-        return stash(placed.join(several, "token").withColumn("major", F.col("component") == F.col("largest")).drop("largest"))
+        table, seen = stash_observed(placed.join(several, "token").withColumn("major", F.col("component") == F.col("largest")).drop("largest"), F.count(F.lit(1)).alias("n"), rows=n)
+        return table, seen["n"]
 
     def run(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id for each row with an id."""
@@ -258,19 +264,21 @@ class Join:
         shared = shared.withColumn("level", level).withColumn("salts", F.ceil(F.col("c") / SALTED).cast("int")).drop("c")
         rows = stash(shared.join(shape, "key").withColumn("component", F.col("key")).withColumn("major", F.lit(False)))
         first = self._near(met.where("c = 2").select("a", "b").distinct(), shape).unionByName(self.across(rows, 0)).distinct()
-        found, turn = None, 0
+        found, turn, n_found, n_rows = None, 0, 0, None
         while True:
-            pairs, seen = stash_observed(first if not turn else self.across(rows, turn), F.count(F.lit(1)).alias("n"))
+            large = F.coalesce(F.sum((F.least("na", "nb") > LARGE).cast("long")), F.lit(0))
+            pairs, seen = stash_observed(first if not turn else self.across(rows, turn), F.count(F.lit(1)).alias("n"), large.alias("large"))
             self.proposed.append(seen["n"])
             if seen["n"] or found is None:
-                new = self.links(pairs)
-                before, found = found, merged(found, new)
+                new = self.links(pairs, seen["n"], seen["large"])
+                n_found += 2 * seen["n"]
+                before, found = found, merged(found, new, seen["n"], n_found)
                 discard(new, *([before] if before else []))
             discard(pairs)
             turn += 1
-            before, rows = rows, self.mixed(rows, found, turn)
+            before, (rows, n_rows) = rows, self.mixed(rows, n_rows, found, turn)
             discard(before)
-            if not rows.head(1):
+            if not n_rows:
                 break
         sieve.destroy()
         sizes = stash(profiles.select("key", "n"))
@@ -295,16 +303,17 @@ class Join:
         return self.unknown.mapInArrow(sizes, "n_shingles long")
 
 
-def merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """found: id, component so far; links: a, b. The components with the new links, a table: only links between components are contracted."""
+def merged(found: DataFrame | None, links: DataFrame, n: int, size: int) -> DataFrame:
+    """found: id, component so far; links: a, b, n at most. The components with the new links, a table of `size` rows at most: only
+    links between components are contracted."""
     if found is None:
-        return stash(components(links))
+        return stash(components(links, n), size)
     of = lambda c: found.select(F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"))
     lifted = links.join(of("a"), F.col("a") == F.col("id_a"), "left").join(of("b"), F.col("b") == F.col("id_b"), "left")
-    new = stash(components(lifted.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))))
+    new = stash(components(lifted.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), n), 2 * n)
     up = new.select(F.col("id").alias("low"), F.col("component").alias("up"))
     moved = found.join(up, F.col("component") == F.col("low"), "left").select("id", F.coalesce("up", "component").alias("component"))
-    whole = stash(moved.unionByName(new.join(found, "id", "left_anti")))
+    whole = stash(moved.unionByName(new.join(found, "id", "left_anti")), size)
     discard(new)
     return whole
 
