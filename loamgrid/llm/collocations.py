@@ -33,7 +33,7 @@ from loamgrid.llm.common import BLOCK, Sieve, _hash_block, as_bytes, blocks, dis
 #: Words of a phrase, occurrences of a candidate, phrases reported of each language.
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text of a shard.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 22
 #: Languages whose totals are sent to all tasks; more are joined by shuffle.
 SENT_LANGS = 10_000
 
@@ -48,20 +48,21 @@ class Shard:
     def __init__(self, langs: list[str], texts: list[bytes]):
         self.langs = sorted(set(langs))
         self.text = b"\n".join(texts).translate(LOWER)
-        hashes, starts, pieces = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        self.kind = np.int32 if len(self.text) < 1 << 31 else np.int64
+        hashes, starts, pieces = [np.empty(0, np.uint64)], [np.empty(0, self.kind)], [np.empty(0, self.kind)]
         lines = 0
         for at, end in blocks(self.text):
             part = self.text[at:end]
             h, start = _hash_block(part)
-            line = np.cumsum(np.frombuffer(part, np.uint8) == 10)
+            line = np.cumsum(np.frombuffer(part, np.uint8) == 10, dtype=np.int32)
             hashes.append(h)
-            starts.append(start + at)
-            pieces.append(line[start] + lines)
+            starts.append((start + at).astype(self.kind))
+            pieces.append((line[start] + lines).astype(self.kind))
             lines += int(line[-1])
         self.start, self.piece = np.concatenate(starts), np.concatenate(pieces)
         first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]) if texts else np.empty(0, np.int64)
         number = {lang: i for i, lang in enumerate(self.langs)}
-        self.lang = np.array([number[x] for x in langs], np.int64)[np.searchsorted(first, self.start, "right") - 1]
+        self.lang = np.array([number[x] for x in langs], self.kind)[np.searchsorted(first, self.start, "right") - 1]
         salts = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
         self.hash = mix(np.concatenate(hashes) ^ salts[self.lang]) if len(self.start) else np.empty(0, np.uint64)
 
@@ -82,8 +83,9 @@ def automaton(words: np.ndarray, follows: np.ndarray, depth: int) -> Iterator[tu
     for k in range(1, depth + 1):
         _, first, own, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         first = place[first]
-        ids = np.full(len(words) + 1, -1, np.int64)
+        ids = np.full(len(words) + 1, -1, np.int32 if len(words) < 1 << 31 else np.int64)
         ids[place] = own
+        del own
         shortest = np.full(len(count), k)
         if low is not None:
             ids_before, first_before, count_before, shortest_before = low
@@ -98,7 +100,7 @@ def automaton(words: np.ndarray, follows: np.ndarray, depth: int) -> Iterator[tu
             yield k, first, shortest, count
             return
         place = place[(ids[place + 1] >= 0) & follows[place]]
-        key = ids[place] * (len(count) + 1) + ids[place + 1]
+        key = ids[place].astype(np.int64) * (len(count) + 1) + ids[place + 1]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
