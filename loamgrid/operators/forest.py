@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -9,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.operators.measures import counts, overall
 from loamgrid.operators.selection import draw, first_rows
 
 TREES, LEAF, DEPTH = 300, 20, 30
@@ -39,12 +42,28 @@ def classes_of(model: PipelineModel) -> list[int]:
     return [int(x) for x in model.stages[0].labels]
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """df with pred (a class) and p (its probability for each class of the model, in order)."""
+def save(model: PipelineModel, path: str) -> None:
+    """Into a folder that all executors share; an older model there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def predict(model: PipelineModel, df: DataFrame, valid: Column | None = None) -> DataFrame:
+    """df with pred (a class; 0 where a pixel isn't valid) and p (its probability for each class of the model, in order; none there)."""
     names = F.array(*[F.lit(c) for c in classes_of(model)])
-    scored = model.stages[2].transform(model.stages[1].transform(df))
+    known, rest = (df, None) if valid is None else (df.where(valid), df.where(~F.coalesce(valid, F.lit(False))))
+    scored = model.stages[2].transform(model.stages[1].transform(known))
     p = vector_to_array("__p")
-    return scored.withColumn("p", p).withColumn("pred", F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1)).select(*df.columns, "pred", "p")
+    found = scored.withColumn("p", p).withColumn("pred", F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1)).select(*df.columns, "pred", "p")
+    return found if rest is None else found.unionByName(rest.select("*", F.lit(0).alias("pred"), F.lit(None).cast("array<double>").alias("p")))
+
+
+def evaluated(model: PipelineModel, test: DataFrame, classes: Sequence[int], label: str = "label") -> DataFrame:
+    """One row of measures of agreement on the test side."""
+    return overall(counts(predict(model, test), truth=label), classes)
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
@@ -67,11 +86,12 @@ def out_of_fold(df: DataFrame, features: list[str], folds: int, fold: str = "fol
     return found
 
 
-def leakage_sweep(train_blocked: DataFrame, test_blocked: DataFrame, train_random: DataFrame, test_random: DataFrame, features: list[str], sizes: list[int], keys: list[str], **options) -> list[tuple[int, float, float, float]]:
-    """(n, accuracy over blocks, accuracy at random, difference) for each training size that both sides have."""
-    hit = lambda model, test: predict(model, test).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
-    most, rows = min(train_blocked.count(), train_random.count()), []
+def leakage_sweep(train_blocked: DataFrame, test_blocked: DataFrame, train_random: DataFrame, test_random: DataFrame, features: list[str], sizes: list[int], keys: list[str], classes: Sequence[int], **options) -> list[tuple]:
+    """(n, share of all eligible pixels, accuracy over blocks, accuracy at random, difference, macro F1 over blocks, at random, difference)
+    for each training size that the blocked side has."""
+    most = train_blocked.count()
+    eligible, rows = most + test_blocked.count(), []
     for n in (n for n in sizes if n <= most):
-        a, b = (hit(fit(subsample(x, n, keys), features, **options), y) for x, y in ((train_blocked, test_blocked), (train_random, test_random)))
-        rows.append((n, a, b, b - a))
+        a, b = (evaluated(fit(subsample(x, n, keys), features, **options), y, classes).first() for x, y in ((train_blocked, test_blocked), (train_random, test_random)))
+        rows.append((n, n / eligible, *(v for f in ("accuracy", "macro_f1") for v in (a[f], b[f], b[f] - a[f]))))
     return rows

@@ -24,6 +24,27 @@ def boundary(pixels: DataFrame, label: str = "label") -> DataFrame:
     return pixels.withColumn("edge", other[0] | other[1] | other[2] | other[3])
 
 
+def around(pixels: DataFrame, values: list[str]) -> DataFrame:
+    """pixels with `around`: an array of (dr, dc, there, values) for all nine offsets, in order of rows, then columns; `there` tells
+    whether the grid has that pixel. Neighbours come from windows along rows, then columns: two shuffles instead of a join for each."""
+    own = F.struct(F.col("r"), F.col("c"), F.lit(True).alias("there"), *values)
+    none = lambda x: x.withField("there", F.lit(False))
+
+    def beside(value: Column, at: str, step: int) -> Column:
+        w = across() if at == "c" else down()
+        shifted = F.lag(value, -step).over(w)
+        return F.when(F.coalesce(F.lag(F.col(at), -step).over(w) == F.col(at) + step, F.lit(False)), shifted)
+
+    rows = pixels.withColumn("__own", own)
+    rows = rows.withColumn("__row", F.array(*[F.coalesce(x, none(F.col("__own"))) for x in (beside(F.col("__own"), "c", -1), F.col("__own"), beside(F.col("__own"), "c", 1))]))
+    # above and below: the rows of the pixels there, so a corner is known only where the pixel between is; a complete grid has them all
+    absent = F.transform("__row", none)
+    parts = [F.coalesce(beside(F.col("__row"), "r", dr) if dr else F.col("__row"), absent) for dr in (-1, 0, 1)]
+    offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
+    met = F.zip_with(offsets, F.concat(*parts), lambda o, v: F.struct(o["dr"].alias("dr"), o["dc"].alias("dc"), *[v[n].alias(n) for n in ("there", *values)]))
+    return rows.withColumn("around", met).drop("__own", "__row")
+
+
 def boundary_distance(pixels: DataFrame, pixel_m: float = 10.0) -> DataFrame:
     """r, c, distance_m to the nearest edge pixel, exact if the grid is complete (masked pixels as rows), in two passes: rows to the nearest edge in the own column, by windows up
     and down; then, within each row, the smallest of squared column distance plus squared step. A row is one array, as wide as the

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import projection
-from loamgrid.operators import blocks, forest, planar, polygons, raster, regions, scanline, selection, simplify, smoothing, spatial
+from loamgrid.operators import blocks, forest, measures, planar, polygons, raster, regions, scanline, selection, simplify, smoothing, spatial
 from loamgrid.plans import sweep
 from loamgrid.sources import files, shapes
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
+from loamgrid.stored import stash
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,11 @@ def paired(name: str, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, sql, **{n: MET[n](spark, sf_dir) for n in used})
 
 
+def beside(spark: SparkSession, sf_dir: str, sql: str, values: list[str]) -> DataFrame:
+    """Each pixel with each of the nine around it that the grid has, as o."""
+    return raster.around(run(spark, sf_dir, sql), values).withColumn("o", F.explode(F.filter("around", lambda x: x["there"]))).drop("around")
+
+
 def own(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
     QUERIES[name] = query
     if sql:
@@ -161,7 +167,10 @@ measured("truecolor", "SELECT r, c, CASE WHEN B04 IS NULL THEN 0 ELSE CAST(floor
 both("colour_lut", "SELECT r, c, k.colour FROM pixels p LEFT JOIN classes k ON k.class_id = p.label")
 both("hex_colour", "SELECT class_id, CAST(position(substr(colour, 1, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 2, 1) IN '0123456789abcdef') - 17 AS INT) AS red, CAST(position(substr(colour, 3, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 4, 1) IN '0123456789abcdef') - 17 AS INT) AS green, CAST(position(substr(colour, 5, 1) IN '0123456789abcdef') * 16 + position(substr(colour, 6, 1) IN '0123456789abcdef') - 17 AS INT) AS blue FROM classes")
 own("json_extract", lambda s, d: run(s, d, "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-both("alignment_corr", "SELECT dr, dc, round(corr(p.dn_B02, q.dn_B03), 5) AS corr FROM pixels p CROSS JOIN (SELECT -1 AS dr UNION ALL SELECT 0 UNION ALL SELECT 1) a CROSS JOIN (SELECT -1 AS dc UNION ALL SELECT 0 UNION ALL SELECT 1) b JOIN pixels q ON q.r = p.r + dr AND q.c = p.c + dc GROUP BY dr, dc")
+own("alignment_corr", lambda s, d: beside(s, d, "SELECT r, c, dn_B02, dn_B03 FROM pixels", ["dn_B03"]).groupBy("o.dr", "o.dc").agg(F.round(F.corr("dn_B02", "o.dn_B03"), 5).alias("corr")), "SELECT dr, dc, round(corr(p.dn_B02, q.dn_B03), 5) AS corr FROM pixels p CROSS JOIN (SELECT -1 AS dr UNION ALL SELECT 0 UNION ALL SELECT 1) a CROSS JOIN (SELECT -1 AS dc UNION ALL SELECT 0 UNION ALL SELECT 1) b JOIN pixels q ON q.r = p.r + dr AND q.c = p.c + dc GROUP BY dr, dc")
+both_corr = ORACLES["alignment_corr"]
+own("best_alignment", lambda s, d: QUERIES["alignment_corr"](s, d).agg(F.max_by(F.struct("dr", "dc", "corr"), F.struct(F.col("corr"), -F.col("dr"), -F.col("dc"))).alias("x")).select("x.*"), None)
+ORACLES["best_alignment"] = f"SELECT dr, dc, corr FROM ({both_corr}) z ORDER BY corr DESC, dr, dc LIMIT 1"
 # neighbours
 NEXT = "SELECT r, c, label, lag(label) OVER (PARTITION BY r ORDER BY c) AS w, lead(label) OVER (PARTITION BY r ORDER BY c) AS e, lag(label) OVER (PARTITION BY c ORDER BY r) AS n, lead(label) OVER (PARTITION BY c ORDER BY r) AS s FROM smooth"
 both("neighbours", NEXT)
@@ -244,8 +253,10 @@ both("zonal_stats", f"SELECT block AS zone, {N} AS pixels, round(100.0E0 * {IF('
 RIGHT = f"SELECT sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3)) AS d FROM ({STANDARD}) a JOIN ({STANDARD}) b ON a.valid AND b.valid AND "
 measured("contrast_sigma", "SELECT round(mid, 5) AS sigma FROM marks", f"SELECT d AS v FROM ({RIGHT} b.r = a.r AND b.c = a.c + 1 UNION ALL {RIGHT} b.r = a.r + 1 AND b.c = a.c) x", {"mid": 0.5})
 AROUND = "(SELECT -1 AS dr UNION ALL SELECT 0 UNION ALL SELECT 1) x CROSS JOIN (SELECT -1 AS dc UNION ALL SELECT 0 UNION ALL SELECT 1) y"
-both("uniform_kernels", f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN 1 / sqrt(dr * dr + dc * dc) ELSE 0 END, 6) AS w FROM indexed p CROSS JOIN {AROUND} JOIN indexed q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
-both("contrast_kernels", f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN exp(-((p.f1 - q.f1) * (p.f1 - q.f1) + (p.f2 - q.f2) * (p.f2 - q.f2) + (p.f3 - q.f3) * (p.f3 - q.f3)) / 2) / sqrt(dr * dr + dc * dc) ELSE 0 END, 5) AS w FROM ({STANDARD}) p CROSS JOIN {AROUND} JOIN ({STANDARD}) q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
+NEAR = "SELECT r, c, o.dr, o.dc, {} AS w FROM near WHERE o.dr <> 0 OR o.dc <> 0"
+own("uniform_kernels", lambda s, d: run(s, d, NEAR.format("round(CASE WHEN o.valid AND valid THEN 1 / sqrt(o.dr * o.dr + o.dc * o.dc) ELSE 0 END, 6)"), near=beside(s, d, "SELECT r, c, valid FROM indexed", ["valid"])), f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN 1 / sqrt(dr * dr + dc * dc) ELSE 0 END, 6) AS w FROM indexed p CROSS JOIN {AROUND} JOIN indexed q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
+CONTRAST = "round(CASE WHEN o.valid AND valid THEN exp(-((f1 - o.f1) * (f1 - o.f1) + (f2 - o.f2) * (f2 - o.f2) + (f3 - o.f3) * (f3 - o.f3)) / 2) / sqrt(o.dr * o.dr + o.dc * o.dc) ELSE 0 END, 5)"
+own("contrast_kernels", lambda s, d: run(s, d, NEAR.format(CONTRAST), near=beside(s, d, STANDARD, ["valid", "f1", "f2", "f3"])), f"SELECT p.r, p.c, dr, dc, round(CASE WHEN q.valid AND p.valid THEN exp(-((p.f1 - q.f1) * (p.f1 - q.f1) + (p.f2 - q.f2) * (p.f2 - q.f2) + (p.f3 - q.f3) * (p.f3 - q.f3)) / 2) / sqrt(dr * dr + dc * dc) ELSE 0 END, 5) AS w FROM ({STANDARD}) p CROSS JOIN {AROUND} JOIN ({STANDARD}) q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0")
 PROBS = "SELECT r, c, CASE WHEN label = 1 THEN 0.8E0 ELSE 0.1E0 END AS p0, CASE WHEN label = 2 THEN 0.8E0 ELSE 0.1E0 END AS p1, CASE WHEN label IN (1, 2) THEN 0.1E0 ELSE 0.8E0 END AS p2 FROM pixels"
 STEP = f"SELECT t.r, t.c, t.p0, t.p1, t.p2, exp(ln(t.p0) + 0.8E0 * coalesce(m0, 0)) AS u0, exp(ln(t.p1) + 0.8E0 * coalesce(m1, 0)) AS u1, exp(ln(t.p2) + 0.8E0 * coalesce(m2, 0)) AS u2 FROM ({PROBS}) t LEFT JOIN (SELECT p.r, p.c, sum(q.p0 / sqrt(dr * dr + dc * dc)) AS m0, sum(q.p1 / sqrt(dr * dr + dc * dc)) AS m1, sum(q.p2 / sqrt(dr * dr + dc * dc)) AS m2 FROM ({PROBS}) p CROSS JOIN {AROUND} JOIN ({PROBS}) q ON q.r = p.r + dr AND q.c = p.c + dc WHERE dr <> 0 OR dc <> 0 GROUP BY p.r, p.c) m ON m.r = t.r AND m.c = t.c"
 fields = lambda s, d, k: raster.mean_field(run(s, d, PROBS).select("r", "c", F.array("p0", "p1", "p2").alias("p")), 0.8, k, 3)
@@ -343,11 +354,20 @@ both("random_split", f"SELECT r, c, CASE WHEN NOT valid THEN NULL WHEN {DRAWN} <
 own("subsample", lambda s, d: forest.subsample(run(s, d, "SELECT r, c, label FROM indexed WHERE valid"), 200, ["r", "c"], by=F.expr(DRAWN), bits=20), f"SELECT r, c, label FROM indexed WHERE valid ORDER BY {DRAWN}, r, c LIMIT 200")
 LEARNT = f"SELECT s.*, f.fold FROM (SELECT r, c, label, block, CASE WHEN {DRAWN} < 300001 THEN 1 ELSE 0 END AS drawn, {bands((*BANDS, *INDICES))}, side FROM (SELECT i.*, b.side, b.block FROM indexed i JOIN ({SPLIT}) b ON b.r = i.r AND b.c = i.c) j WHERE valid AND NDVI IS NOT NULL AND NDWI IS NOT NULL AND NDBI IS NOT NULL AND NDRE IS NOT NULL AND NBR2 IS NOT NULL) s JOIN ({FOLDS}) f ON f.block = s.block"
 TREES = {"trees": 20, "depth": 8}
-learnt = lambda s, d: run(s, d, LEARNT, **block_frames(s, d, LEARNT))
-fitted = lambda s, d, **o: forest.fit(learnt(s, d).where("side = 'train'"), [*BANDS, *INDICES], **TREES, **o)
-own("rf_predict", lambda s, d: forest.predict(fitted(s, d), learnt(s, d)).select("r", "c", "label", "pred"), None)
-own("rf_evaluate", lambda s, d: forest.predict(fitted(s, d, balanced=True), learnt(s, d).where("side = 'test'")).agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")), None)
-own("feature_importance", lambda s, d: s.createDataFrame(forest.importances(fitted(s, d)), "feature string, importance double"), None)
+learnt = lambda s, d: stash(run(s, d, LEARNT, **block_frames(s, d, LEARNT)))  # noqa: E731  a forest reads it many times
+fitted = lambda x, **o: forest.fit(x.where("side = 'train'"), [*BANDS, *INDICES], **TREES, **o)
+SCHEME = (1, 2, 4, 5, 6)
+
+
+def forested(name: str, query: Callable[[DataFrame], DataFrame]) -> None:
+    own(name, lambda s, d: query(learnt(s, d)), None)
+
+
+forested("rf_predict", lambda x: forest.predict(fitted(x), x).select("r", "c", "label", "pred"))
+forested("rf_evaluate", lambda x: forest.evaluated(fitted(x, balanced=True), x.where("side = 'test'"), SCHEME))
+MEASURED = lambda s, d: measures.counts(run(s, d, "SELECT r % 2 AS map, label AS truth, pred FROM pixels"), ["map"])
+own("map_measures", lambda s, d: measures.overall(MEASURED(s, d), SCHEME, ["map"]).select("map", "n", *[F.round(c, 9).alias(c) for c in ("accuracy", "kappa", "macro_f1", "weighted_f1")]), f"SELECT map, CAST(sum(support) AS BIGINT) AS n, round(sum(hit) / sum(support), 9) AS accuracy, round((sum(hit) / sum(support) - sum(support * predicted) / (sum(support) * sum(support))) / (1 - sum(support * predicted) / (sum(support) * sum(support))), 9) AS kappa, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM (SELECT *, CASE WHEN hit > 0 THEN 2 * hit / (support + predicted) ELSE 0 END AS f1 FROM (SELECT r % 2 AS map, k, CAST(count(*) FILTER (WHERE label = k) AS DOUBLE) AS support, CAST(count(*) FILTER (WHERE pred = k) AS DOUBLE) AS predicted, CAST(count(*) FILTER (WHERE label = k AND pred = k) AS DOUBLE) AS hit FROM pixels CROSS JOIN (SELECT unnest([1, 2, 4, 5, 6]) AS k) c GROUP BY r % 2, k) x) y GROUP BY map")
+forested("feature_importance", lambda x: x.sparkSession.createDataFrame(forest.importances(fitted(x)), "feature string, importance double"))
 oof = lambda s, d: forest.out_of_fold(learnt(s, d), [*BANDS, *INDICES], 5, **TREES)
 own("rf_oof", lambda s, d: oof(s, d).select("r", "c", "fold", "label", "pred", "p"), None)
 own("oof_accuracy", lambda s, d: oof(s, d).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")), None)
@@ -356,7 +376,7 @@ own("oof_accuracy", lambda s, d: oof(s, d).agg(F.avg((F.col("pred") == F.col("la
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = learnt(spark, sf_dir)
     sides = [x.where(w) for w in ("side = 'train'", "side = 'test'", "drawn = 0", "drawn = 1")]
-    return spark.createDataFrame(forest.leakage_sweep(*sides, [*BANDS, *INDICES], [100, 400, 1_600_000_000], ["r", "c"], **TREES), "n long, blocked double, random double, difference double")
+    return spark.createDataFrame(forest.leakage_sweep(*sides, [*BANDS, *INDICES], [100, 400, 1_600_000_000], ["r", "c"], SCHEME, **TREES), "n long, density double, blocked double, random double, difference double, blocked_f1 double, random_f1 double, f1_difference double")
 
 
 own("leakage_sweep", leakage, None)

@@ -15,12 +15,14 @@ def features(texts: DataFrame, properties: str) -> DataFrame:
     schema = f"error string, features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: {RING}>>>"
     read = texts.select(F.from_json("text", schema).alias("x"))
     checked = read.select(F.when(F.col("x.error").isNotNull(), F.raise_error(F.concat(F.lit("the service answered with an error: "), F.col("x.error")))).otherwise(F.col("x.features")).alias("features"))
+    if not checked.where(F.size("features") > 0).head(1):
+        raise ValueError("no text has a feature")
     rows = checked.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.coordinates").alias("rings"))
     return rows.toDF(*[c.lower() for c in rows.columns])
 
 
 def collections(df: DataFrame, page: int, order: str) -> DataFrame:
-    """df (columns properties: struct, rings) as pages of feature collections, `page` features each, by hashed pages of the ordering column."""
+    """df (columns properties: struct, rings) as pages of feature collections, `page` features each, by ranges of the ordering column."""
     feature = F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"))
     paged = df.groupBy(F.floor(F.col(order) / page).alias("page")).agg(F.collect_list(feature).alias("features"))
     return paged.select("page", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("text"))
@@ -32,14 +34,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def statements(script: str) -> list[tuple[str, str]]:
-    """(title, statement) of a script, cut at semicolons. The title is the first comment line, or else the first line."""
+    """(title, statement) of a script, cut at semicolons. The title is the first line of the comments right above the code, so that
+    what stands further up, as the head of a file, isn't taken for it; `query` where there are none."""
     found = []
     for part in script.split(";"):
         lines = [x.strip() for x in part.strip().splitlines()]
-        code = [x for x in lines if x and not x.startswith("--")]
-        if code:
-            notes = [x.lstrip("- ").strip() for x in lines if x.startswith("--")]
-            found.append((next((x for x in notes if x), code[0]), "\n".join(lines)))
+        first = next((i for i, x in enumerate(lines) if x and not x.startswith("--")), None)
+        if first is not None:
+            above = first
+            while above and lines[above - 1].startswith("--"):
+                above -= 1
+            found.append((lines[above].lstrip("-").strip() if above < first else "query", "\n".join(lines)))
     return found
 
 
@@ -56,12 +61,3 @@ def run_script(spark: SparkSession, script: str) -> list[tuple[str, DataFrame |
         frame = spark.sql(statement)
         out.append((title, frame if is_query(statement) else None))
     return out
-
-
-def report(results: list[tuple[str, DataFrame | None]], rows: int = 30) -> str:
-    """A text of all results, so many rows of each at most."""
-    parts = []
-    for title, frame in results:
-        body = "done" if frame is None else frame.limit(rows).toPandas().to_string(index=False)
-        parts.append(f"{title}\n{'-' * len(title)}\n{body}\n")
-    return "\n".join(parts)

@@ -72,6 +72,7 @@ def metrics_text(per_class: list[dict], totals: dict) -> str:
     return "\n".join(lines)
 
 
-def results_text(results: list[tuple[str, DataFrame]], rows: int = REPORT_ROWS) -> str:
-    """Titles and first rows of results; the limit is the report's feature."""
-    return "\n\n".join(f"{title}\n{df.limit(rows).toPandas().to_string(index=False)}" for title, df in results)
+def results_text(results: list[tuple[str, DataFrame | None]], rows: int = REPORT_ROWS) -> str:
+    """Titles and first rows of results (None: a statement without rows); the limit is the report's feature."""
+    shown = lambda df: "done" if df is None else df.limit(rows).toPandas().to_string(index=False)
+    return "\n\n".join(f"{title}\n{'-' * len(title)}\n{shown(df)}" for title, df in results)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.operators import forest, polygons, raster
-from loamgrid.sources import files
+from loamgrid.sources import files, sinks
 
 
 def test_polygons_with_a_hole(spark):
@@ -21,13 +21,16 @@ def test_polygons_with_a_hole(spark):
 
 
 def test_scripts_and_collections(spark):
-    script = "-- first\nCREATE OR REPLACE TEMPORARY VIEW v AS SELECT 1 AS a;\n\n-- a title\n-- more\nselect a from v;\n-- nothing\n"
+    script = "-- the head of the file\n-- and more\n\n-- first\nCREATE OR REPLACE TEMPORARY VIEW v AS SELECT 1 AS a;\n\n-- a title\n-- more\nselect a from v;\n-- nothing\n"
     assert [t for t, _ in files.statements(script)] == ["first", "a title"]
     results = files.run_script(spark, script)
     assert results[0][1] is None and results[1][1].collect()[0]["a"] == 1
-    assert "a title" in files.report(results)
+    assert "a title" in sinks.results_text(results) and "done" in sinks.results_text(results)
+    assert files.statements("-- far away\n\nselect 1;select 2")[0][0] == files.statements("select 1")[0][0] == "query"
     texts = spark.createDataFrame([('{"features": [{"properties": {"A": 1}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}]}',)], "text string")
     assert files.features(texts, "A int").first()["a"] == 1
+    with pytest.raises(ValueError, match="feature"):
+        files.features(spark.createDataFrame([('{"features": []}',)], "text string"), "A int")
     with pytest.raises(Exception, match="full"):
         files.features(spark.createDataFrame([('{"error": "full"}',)], "text string"), "A int").collect()
 

@@ -142,4 +142,4 @@ def test_sinks(spark, tmp_path):
     text = sinks.metrics_text([{"name": "water", "precision": 0.5, "recall": 1.0, "f1": 2 / 3, "support": 1200}], {"macro_f1": 2 / 3, "weighted_f1": 2 / 3, "accuracy": 0.5, "kappa": 0.0, "n": 1200})
     assert text.splitlines()[0] == "class   precision   recall      f1   support" and text.splitlines()[2] == "water       0.500    1.000   0.667     1,200"
     assert text.splitlines()[-1] == "test pixels                      1,200" and len(text.splitlines()) == 9
-    assert sinks.results_text([("all", pixels.select("r").orderBy("r"))]).count("\n") == 31
+    assert sinks.results_text([("all", pixels.select("r").orderBy("r"))]).count("\n") == 32
