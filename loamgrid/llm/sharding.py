@@ -1,15 +1,15 @@
 """Sharding by balanced label propagation.
 
 Documents are linked with those of equal texts, and with those of near texts: of 32 min-hashes of their five-word shingles at least
-26 agree (a similarity of 0.8), met by one of eight bands of four. In a band's bucket all link with one of them, so links grow
-with the documents. Documents of one text are one cluster with the number of its members as weight, and move together; a text of
+22 agree, met by one of eight bands of four. Pairs as similar as 0.8 agree in 22 with a chance of 0.96 and meet with one of 0.98;
+links of pairs somewhat less alike do no harm. In a band's bucket all link with one of them, so links grow with the documents. Documents of one text are one cluster with the number of its members as weight, and move together; a text of
 more documents than a shard holds is first dealt by hash into clusters that fit one, and near texts link with the first of these.
 
 A label is a shard. Clusters of several documents take the first label that most members drew by hash; shards admit them, largest
 first, until their quota is full. Then labels spread: in each round a cluster counts the labels that its neighbours hold by then,
 and asks for the shard that holds more of them than its own does and has room for it; shards again admit the largest first. Half
-of the clusters, drawn anew each round, may ask, so that neighbours don't just swap. Rounds go on until no cluster asks or none is
-admitted twice. Documents without a link, and members of clusters that found no room as a whole, fill what is left of the quotas.
+of the clusters, drawn anew each round, may ask, so that neighbours don't just swap. Rounds go on until no cluster asks, or none is
+admitted twice, or the cut hasn't fallen below its lowest for three rounds; the labels of the lowest cut hold. Documents without a link, and members of clusters that found no room as a whole, fill what is left of the quotas.
 The law is `rows`: shard counts are at most one apart.
 
 A null text has no bytes and no link; empty texts are equal to each other. Repeated rows, and rows without an id, are members of
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,14 @@ from loamgrid.llm.common import as_bytes, discard, hash_texts, load, mix, stash,
 from loamgrid.llm.ranks import numbered
 
 SHARDS = 40
-#: Rounds of admitting clusters, and of moving them towards their neighbours.
-ROUNDS, MOVES = 12, 6
+#: Rounds of moves after which a cut that hasn't fallen is settled.
+PATIENCE = 3
 #: Share of a quota that a cluster cut from a larger group fills on average.
 FILL = 0.9
 #: Parts that the requests to one shard are dealt into by rank of size, to admit them without one task for a shard.
 STEPS = 64
 #: Words of a shingle, bands of a sketch, min-hashes of a band, and how many of all must agree.
-WORDS, BANDS, DEPTH, AGREE = 5, 8, 4, 26
+WORDS, BANDS, DEPTH, AGREE = 5, 8, 4, 22
 #: Shingles that are hashed at once.
 CHUNK = 4096
 
@@ -119,12 +120,14 @@ def _loads(rows: DataFrame, shard: str) -> dict[int, int]:
     return {r[0]: r[1] for r in rows.groupBy(shard).agg(F.sum("n")).collect()}  # one row for each shard
 
 
-def place(held: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """held: cluster, n, shard, held (how many of its n members drew that label). Returns cluster, n, shard of the admitted, a table."""
+def place(held: DataFrame, quotas: list[int]) -> DataFrame:
+    """held: cluster, n, shard, held (how many of its n members drew that label). Returns cluster, n, shard of the admitted, a table.
+    A cluster asks as long as a shard has room for it, and a shard that is asked lets the largest in, so every round but the last
+    admits some; those that fit nowhere are left."""
     spark = held.sparkSession
     admitted = spark.createDataFrame([], "cluster long, n long, shard int")
     used, waiting, tables = [0] * len(quotas), held, []
-    for k in range(rounds):
+    for k in count():
         rooms = [(i, q - u) for i, (q, u) in enumerate(zip(quotas, used, strict=True)) if q > u]
         if not rooms:
             break
@@ -155,14 +158,14 @@ def place(held: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame
     return whole
 
 
-def spread(labels: DataFrame, links: DataFrame, quotas: list[int], rounds: int = MOVES) -> tuple[DataFrame, list[int]]:
-    """labels: cluster, n, shard, a table; links: a, b. The labels after the moves, a table, and the cut at the start of each round
-    and after the last: pairs of documents that links join and labels part."""
+def spread(labels: DataFrame, links: DataFrame, quotas: list[int], patience: int = PATIENCE) -> tuple[DataFrame, list[int]]:
+    """labels: cluster, n, shard, a table; links: a, b. The labels after the moves, a table, and the cut before each round and after
+    the last: pairs of documents that links join and labels part. The labels of the lowest cut are returned."""
     spark = labels.sparkSession
     both = links.select(F.col("a").alias("cluster"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cluster"), F.col("a").alias("other")))
     cuts: list[int] = []
-    idle = 0
-    for k in range(rounds + 1):
+    best, lowest, idle = labels, 0, 0  # lowest: the place of the lowest cut
+    for k in count():
         used = _loads(labels, "shard")
         free = _free(spark, quotas, [used.get(i, 0) for i in range(len(quotas))])
         theirs = labels.select(F.col("cluster").alias("other"), F.col("shard").alias("to"), F.col("n").alias("weight"))
@@ -175,23 +178,26 @@ def spread(labels: DataFrame, links: DataFrame, quotas: list[int], rounds: int =
         )
         table = stash(counted)
         cuts.append((table.agg(F.sum(F.col("n") * (F.col("all") - F.col("own")))).first()[0] or 0) // 2)
+        if cuts[k] < cuts[lowest]:
+            before, best, lowest = best, labels, k
+            discard(before)
         asks = table.where(F.col("best.votes") > F.col("own"))
-        if k == rounds or idle == 2 or not asks.head(1):
-            discard(table)
-            break
+        if k - lowest >= patience or idle == 2 or not asks.head(1):
+            discard(table, *([labels] if labels is not best else []))
+            return best, cuts
         turn = F.pmod(F.xxhash64("cluster", F.lit(k)), F.lit(2)) == 0
         new = stash(admit(asks.where(turn).select("cluster", "n", F.col("best.to").alias("shard")), free).select("cluster", F.col("shard").alias("to")))
         idle = 0 if new.head(1) else idle + 1
         before, labels = labels, stash(labels.join(new, "cluster", "left").select("cluster", "n", F.coalesce("to", "shard").alias("shard")))
-        discard(table, new, before)
-    return labels, cuts
+        discard(table, new, *([before] if before is not best else []))
+    raise AssertionError("rounds end above")
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, moves: int = MOVES) -> DataFrame:
-    return shards_and_cuts(docs, n_shards, rounds, moves)[0]
+def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    return shards_and_cuts(docs, n_shards)[0]
 
 
-def shards_and_cuts(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, moves: int = MOVES) -> tuple[DataFrame, list[int]]:
+def shards_and_cuts(docs: DataFrame, n_shards: int = SHARDS) -> tuple[DataFrame, list[int]]:
     """The shard of each document, and the cut before each round of moves and after the last."""
     spark = docs.sparkSession
     known = linked(docs)
@@ -208,7 +214,7 @@ def shards_and_cuts(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUND
     by_label = rows.where("cluster is not null").groupBy("cluster", label.alias("shard")).agg(F.count("*").alias("held"))
     sizes = by_label.groupBy("cluster").agg(F.sum("held").alias("n"))
     held = stash(by_label.join(sizes, "cluster").select("cluster", "n", "shard", "held"))
-    labels, cuts = spread(place(held, quotas, rounds), links, quotas, moves)
+    labels, cuts = spread(place(held, quotas), links, quotas)
     discard(held, groups, links)
     placed = rows.where("cluster is not null").join(labels.select("cluster", "shard"), "cluster", "left")
     taken = _loads(labels, "shard")

@@ -52,7 +52,7 @@ SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fea
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))  # a row without an id isn't held out
 
 
 def _bare(word: bytes) -> bytes:
