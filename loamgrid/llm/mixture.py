@@ -36,14 +36,14 @@ CAPACITY = 2048
 #: Tokens of one round: 64 sequences.
 WINDOW = 64 * CAPACITY
 #: Packets of a queue's part, about, and rounds of a block; both only spread the sums over tasks.
-PART, BLOCK = 50_000, 64
+PART, BLOCK = 8_192, 64
 
 PACKETS = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 PACKED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], T.StructField("source", T.StringType()), T.StructField("round", T.LongType())])
 
 
 def packets(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The packets of each document; ids are little-endian 32-bit. The row's number is fixed once this is a table."""
+    """The packets of each document; ids are little-endian, of 16 bits where all of a packet's fit. The row's number is fixed once this is a table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = token_ids(tokenizer_path).of
@@ -53,7 +53,7 @@ def packets(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_
                 ids = np.append(ids_of(text or b""), np.uint32(end_id)).astype("<u4", copy=False)
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
-                    for column, value in zip(out, (row, doc_id, source, start, len(part), len(ids), part.tobytes()), strict=True):
+                    for column, value in zip(out, (row, doc_id, source, start, len(part), len(ids), part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()), strict=True):
                         column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=PACKETS.names)
@@ -135,6 +135,7 @@ def _seated(total: int, capacity: int):
         for batch in batches:
             out: list[list] = [[] for _ in PACKED]
             for doc_id, source, start, length, doc_tokens, ids, turn, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "start", "length", "doc_tokens", "ids", "round", "at")), strict=True):
+                ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4").astype("<u4").tobytes()
                 done = 0
                 while done < length:
                     number, begin, end = sequence(at + done)
