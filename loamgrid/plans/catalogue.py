@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import projection
-from loamgrid.operators import blocks, forest, measures, planar, polygons, raster, regions, scanline, selection, simplify, smoothing, spatial
+from loamgrid.operators import blocks, forest, measures, planar, polygons, raster, regions, resample, scanline, selection, simplify, smoothing, spatial
 from loamgrid.plans import sweep
-from loamgrid.sources import files, shapes
+from loamgrid.sources import files, scenes, shapes
 from loamgrid.sources.testbench import BANDS, VIEWS, closure
 from loamgrid.stored import stash
 
@@ -117,8 +117,8 @@ both("tile_id", "SELECT id, coalesce(nullif(replace(grid_code, 'MGRS-', ''), '')
 SUMMARY = "SELECT id, day, round(cloud, 6) AS cloud, round(greatest(least(east, 6.29E0) - greatest(west, 6.01E0), 0) * greatest(least(north, 49.72E0) - greatest(south, 49.54E0), 0) / (0.28E0 * 0.18E0), 6) AS covered, west <= 6.01 AND east >= 6.29 AND south <= 49.54 AND north >= 49.72 AS contains_aoi FROM scenes"
 both("scene_summary", SUMMARY)
 both("st_contains", f"SELECT id, contains_aoi FROM ({SUMMARY}) s")
-both("pin_scene", "SELECT id, day, round(cloud, 6) AS cloud FROM scenes WHERE id = 'S17'")
-both("select_scene", f"SELECT id, day, cloud FROM ({SUMMARY}) s WHERE contains_aoi AND cloud < 10 ORDER BY cloud, day, id LIMIT 1")
+own("pin_scene", lambda s, d: scenes.pinned(run(s, d, "SELECT id, day, round(cloud, 6) AS cloud FROM scenes"), "S17"), "SELECT id, day, round(cloud, 6) AS cloud FROM scenes WHERE id = 'S17'")
+own("select_scene", lambda s, d: scenes.best(run(s, d, f"SELECT * FROM ({SUMMARY}) s WHERE cloud < 10")).select("id", "day", "cloud"), f"SELECT id, day, cloud FROM ({SUMMARY}) s WHERE contains_aoi AND cloud < 10 ORDER BY cloud, day, id LIMIT 1")
 both("q_scene_list", f"SELECT id, covered, cloud, contains_aoi FROM ({SUMMARY}) s WHERE cloud < 10 ORDER BY contains_aoi DESC, cloud, id")
 # pixels
 both("reflectance", f"SELECT r, c, {bands(R(b, b) for b in BANDS)} FROM reflect")
@@ -138,7 +138,14 @@ both("read_stack", "SELECT p.r, p.c, p.dn_B02, q.dn_B05, q.scl FROM pixels p JOI
 both("raster_overlay", "SELECT p.r, p.c, p.label, q.label AS other FROM pixels p JOIN smooth q ON p.r = q.r AND p.c = q.c")
 both("upsample_nearest", "SELECT p.r, p.c, q.scl FROM pixels p JOIN pixels q ON q.r = p.r // 2 AND q.c = p.c // 2")
 both("upsample_bilinear", "SELECT t.r, t.c, round((9.0E0 * a.dn_B05 + 3.0E0 * coalesce(x.dn_B05, a.dn_B05) + 3.0E0 * coalesce(y.dn_B05, a.dn_B05) + coalesce(z.dn_B05, coalesce(x.dn_B05, coalesce(y.dn_B05, a.dn_B05)))) / 16, 6) AS v FROM (SELECT r, c, r // 2 AS br, c // 2 AS bc, r // 2 + CASE WHEN r % 2 = 0 THEN -1 ELSE 1 END AS nr, c // 2 + CASE WHEN c % 2 = 0 THEN -1 ELSE 1 END AS nc FROM pixels) t JOIN pixels a ON a.r = t.br AND a.c = t.bc LEFT JOIN pixels x ON x.r = t.br AND x.c = t.nc LEFT JOIN pixels y ON y.r = t.nr AND y.c = t.bc LEFT JOIN pixels z ON z.r = t.nr AND z.c = t.nc")
+CUBIC = lambda d: f"CASE WHEN {d} < 1 THEN (1.5E0 * {d} - 2.5E0) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.5E0 * {d} + 2.5E0) * {d} - 4) * {d} + 2 ELSE 0 END"
+LINEAR = lambda d: f"greatest(0.0E0, 1 - {d})"
+for key, weigh in (("upsample_cubic", CUBIC), ("upsample_masked", LINEAR)):
+    AWAY = ["abs(s.r + 0.5E0 - (t.r + 0.5E0) / 2)", "abs(s.c + 0.5E0 - (t.c + 0.5E0) / 2)"]
+    kernel = "cubic" if key == "upsample_cubic" else "bilinear"
+    own(key, lambda s, d, kernel=kernel: resample.resample(run(s, d, "SELECT r, c, B05 FROM reflect"), "B05", *(extent := run(s, d, "SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM pixels").first()), tuple(extent), kernel).select("r", "c", F.round("value", 9).alias("v")), f"SELECT t.r, t.c, round(sum(({weigh(AWAY[0])}) * ({weigh(AWAY[1])}) * s.B05) / sum(({weigh(AWAY[0])}) * ({weigh(AWAY[1])})), 9) AS v FROM pixels t JOIN reflect n ON n.r = t.r // 2 AND n.c = t.c // 2 AND n.B05 IS NOT NULL JOIN (SELECT unnest(range(-2, 3)) AS i) a ON TRUE JOIN (SELECT unnest(range(-2, 3)) AS j) b ON TRUE JOIN reflect s ON s.r = t.r // 2 + i AND s.c = t.c // 2 + j AND s.B05 IS NOT NULL GROUP BY t.r, t.c")
 both("overviews", f"SELECT k, r // k AS br, c // k AS bc, {R('avg(CAST(dn_B04 AS DOUBLE))', 'mean')} FROM pixels CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 4 UNION ALL SELECT 8 UNION ALL SELECT 16) f GROUP BY k, r // k, c // k")
+#: The names of the scene classes.
 both("scl_histogram", f"SELECT scl, CASE scl WHEN 0 THEN 'no_data' WHEN 1 THEN 'saturated_or_defective' WHEN 2 THEN 'dark_area_pixels' WHEN 3 THEN 'cloud_shadow' WHEN 4 THEN 'vegetation' WHEN 5 THEN 'not_vegetated' WHEN 6 THEN 'water' WHEN 7 THEN 'unclassified' WHEN 8 THEN 'cloud_medium_probability' WHEN 9 THEN 'cloud_high_probability' WHEN 10 THEN 'thin_cirrus' ELSE 'snow_or_ice' END AS name, {N} AS n FROM pixels GROUP BY scl")
 both("scl_reindex", "SELECT DISTINCT scl, CAST(dense_rank() OVER (ORDER BY scl) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT scl FROM pixels WHERE scl IN (2, 4, 5, 6, 7)) s")
 both("mask_stats", f"SELECT {IF('valid')} AS n_valid, {N} AS n, round(avg(CASE WHEN valid THEN 1.0E0 ELSE 0.0E0 END), 6) AS share FROM indexed")
@@ -171,7 +178,7 @@ own("alignment_corr", lambda s, d: beside(s, d, "SELECT r, c, dn_B02, dn_B03 FRO
 both_corr = ORACLES["alignment_corr"]
 own("best_alignment", lambda s, d: QUERIES["alignment_corr"](s, d).agg(F.max_by(F.struct("dr", "dc", "corr"), F.struct(F.col("corr"), -F.col("dr"), -F.col("dc"))).alias("x")).select("x.*"), None)
 ORACLES["best_alignment"] = f"SELECT dr, dc, corr FROM ({both_corr}) z ORDER BY corr DESC, dr, dc LIMIT 1"
-# neighbours
+# neighbours, of a complete grid
 NEXT = "SELECT r, c, label, lag(label) OVER (PARTITION BY r ORDER BY c) AS w, lead(label) OVER (PARTITION BY r ORDER BY c) AS e, lag(label) OVER (PARTITION BY c ORDER BY r) AS n, lead(label) OVER (PARTITION BY c ORDER BY r) AS s FROM smooth"
 both("neighbours", NEXT)
 both("shift", "SELECT r, c, coalesce(lag(label) OVER (PARTITION BY r ORDER BY c), 0) AS shifted FROM smooth")
@@ -332,8 +339,8 @@ own("st_isvalid", lambda s, d: run(s, d, BROKEN).select("poly_id", polygons.is_v
 # files
 paged = lambda s, d: files.collections(ringed(s, d).select("poly_id", F.struct(F.col("poly_id").alias("ID"), F.col("class_id").alias("Code")).alias("properties"), "rings"), 1000, "poly_id")
 own("geojson_scan", lambda s, d: files.features(paged(s, d).select("text"), "ID bigint, Code int").select("id", "code", F.round(polygons.area(F.col("rings")), 4).alias("area")), f"SELECT z.poly_id AS id, class_id AS code, round(z.area, 4) AS area FROM ({LENGTH}) z JOIN polys p ON p.poly_id = z.poly_id")
-BOXED = "SELECT CAST(s_suppkey AS BIGINT) AS lau, s_name AS name, n_name AS land FROM supplier JOIN nation ON s_nationkey = n_nationkey"
-own("load_communes", lambda s, d: files.features(files.collections(run(s, d, BOXED).select("lau", F.struct(F.col("lau").alias("LAU2"), F.col("name").alias("COMMUNE"), F.col("land").alias("Canton")).alias("properties"), F.lit(None).cast(files.RING).alias("rings")), 500, "lau").select("text"), "LAU2 bigint, COMMUNE string, Canton string").select("lau2", "commune", "canton"), "SELECT CAST(s_suppkey AS BIGINT) AS lau2, s_name AS commune, n_name AS canton FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+COMMUNE_RINGS = f"SELECT lau2, struct(lau2 AS LAU2, commune AS COMMUNE, canton AS Canton) AS properties, {shapes.rings('commune')} AS rings, CAST(lau2 AS INT) AS place FROM communes"
+own("load_communes", lambda s, d: files.features(files.collections(run(s, d, COMMUNE_RINGS), 500, "place").select("text"), "LAU2 string, COMMUNE string, Canton string").select("lau2", "commune", "canton", F.round(polygons.area(F.col("rings")), 4).alias("area"), F.round(polygons.perimeter(F.col("rings")), 4).alias("perimeter")), f"SELECT lau2, commune, canton, round(z.area, 4) AS area, round(p.perimeter, 4) AS perimeter FROM communes JOIN ({shapes.size('commune')}) z ON z.id = lau2 JOIN (SELECT id, sum(sqrt((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya))) AS perimeter FROM ({shapes.edges('commune')}) e GROUP BY id) p ON p.id = lau2")
 SUMMED = f"SELECT max(id) AS newest, {N} AS scenes FROM scenes"
 own("manifest_scan", lambda s, d: run(s, d, SUMMED).select(F.to_json(F.struct("newest", "scenes")).alias("text")).select(F.from_json("text", "newest string, scenes bigint").alias("m")).select("m.*"), SUMMED)
 

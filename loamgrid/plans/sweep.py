@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.operators import raster, regions, smoothing
+from loamgrid.operators import measures, raster, regions, smoothing
 
 #: The thetas, steps, smallest area of a polygon in m2, area of a pixel in m2, and the class of built-up land.
 THETAS, STEPS = (0.3, 0.8, 2.0, 5.0, 12.0), 8
@@ -16,13 +16,15 @@ LEAST_AREA, PIXEL_AREA, BUILT = 2000, 100, 1
 
 def evaluate(maps: DataFrame, truth: DataFrame, thin: DataFrame) -> DataFrame:
     """maps: theta, r, c, label (0: none); truth: r, c, truth (0 or null: none), of valid pixels; thin: r, c. For each theta: pixels,
-    accuracy, built_km2, retention of thin structures, regions of LEAST_AREA or more, and what the smaller ones cover.
+    accuracy, kappa and macro_f1 over the classes of the truth, built_km2, retention of thin structures, regions of LEAST_AREA or more, and what the smaller ones cover.
     The regions of all maps are found at once, the maps laid below each other with a row between."""
     thetas = sorted(r[0] for r in maps.select("theta").distinct().collect())  # one row for each theta
     height = (maps.agg(F.max("r")).first()[0] or 0) + 2
     place = F.array_position(F.array(*map(F.lit, thetas)), F.col("theta")) - 1
     met = maps.join(truth.where("truth <> 0"), ["r", "c"])
-    figures = met.groupBy("theta").agg(F.count("*").alias("pixels"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
+    seen = measures.counts(met, ["theta"], pred="label")
+    classes = sorted(r[0] for r in seen.select("truth").distinct().collect())  # a class scheme
+    figures = measures.accuracy_by(seen, ["theta"]).withColumnRenamed("n", "pixels").join(measures.overall(seen, classes, ["theta"]).select("theta", "kappa", "macro_f1"), "theta", "left")
     built = maps.groupBy("theta").agg((F.sum((F.col("label") == BUILT).cast("long")) * PIXEL_AREA / 1e6).alias("built_km2"))
     kept = maps.join(thin, ["r", "c"]).groupBy("theta").agg(F.avg((F.col("label") == BUILT).cast("double")).alias("retention"))
     laid = maps.where("label <> 0").select((F.col("r") + place * height).cast("int").alias("r"), "c", "label")

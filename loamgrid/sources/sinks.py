@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Factors of the overviews; widths and heads of the columns of a metrics report; rows of a result in a text report.
@@ -39,6 +39,31 @@ def write_variants(maps: DataFrame, path: str, column: str = "variant") -> None:
     maps.write.mode("overwrite").partitionBy(column).option("compression", "zstd").parquet(path)
 
 
+def spread_key(x: Column, y: Column, cell: float) -> Column:
+    """The bits of two cell numbers in turn (16 each, counted from the cell -32,768), so that near places have near keys."""
+    bits = lambda v: (F.floor(v / cell) + (1 << 15)).cast("long")
+
+    def apart(v: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    return apart(bits(x)).bitwiseOR(F.shiftleft(apart(bits(y)), 1))
+
+
+def write_shapes(df: DataFrame, path: str, cell: float = 500.0, files: int | None = None) -> None:
+    """Rows with a box (x0, y0, x1, y1) in the order of a space-filling key of its middle, so that files and row groups hold near
+    shapes, and a window over the box columns prunes the others."""
+    keyed = df.withColumn("__key", spread_key((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, cell))
+    ranged = keyed.repartitionByRange(files, "__key") if files else keyed.repartitionByRange("__key")
+    ranged.sortWithinPartitions("__key").drop("__key").write.mode("overwrite").option("parquet.block.row.count.limit", 20_000).parquet(path)
+
+
+def read_window(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """The shapes whose boxes meet a window."""
+    return spark.read.parquet(path).where((F.col("x1") >= x0) & (F.col("x0") <= x1) & (F.col("y1") >= y0) & (F.col("y0") <= y1))
+
+
 def write_table(df: DataFrame, name: str) -> None:
     """A table of the catalogue, replaced as a whole, with statistics of all its columns."""
     df.write.mode("overwrite").saveAsTable(name)
