@@ -4,8 +4,8 @@ Texts are read by shard: the documents that a task has gathered when they reach
 the states of its generalised suffix automaton: phrases that end at the same places (endpos) are one state, named by its longest
 phrase, with the number of these places and the length of its shortest one; a suffix link leads to the longest suffix that ends at
 more places. As the depth is bounded, the automaton is built level by level: a phrase of k words is the pair of the two phrases of
-k - 1 words that it overlaps, and its suffix belongs to its state where both have equal counts. Each state is one row; rows are
-opened along the suffixes and summed over all shards, by the phrase itself, so counts are exact.
+k - 1 words that it overlaps, and its suffix belongs to its state where both have equal counts. States are opened along their suffixes,
+and leave a shard packed by language and bucket of phrases; buckets are summed over all shards, by the phrase itself, so counts are exact.
 
 A frequent phrase has frequent words and frequent pairs only, so two passes before count words and pairs by 64-bit hashes, whose
 counts are never below the true ones; sieves of both tell the automata where a phrase may lie. They lose no phrase.
@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import BLOCK, Sieve, _hash_block, as_bytes, blocks, discard, load, mix, stash
+from loamgrid.llm.common import Sieve, _hash_block, as_bytes, blocks, discard, load, mix, shuffle_partitions, stash
 
 #: Words of a phrase, occurrences of a candidate, phrases reported of each language.
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text of a shard.
 SHARD_BYTES = 1 << 22
+#: Buckets of phrases for each shuffle partition: phrases of a bucket and language are summed in one group, so groups shrink as partitions are added.
+BUCKETS = 4
 #: Languages whose totals are sent to all tasks; more are joined by shuffle.
 SENT_LANGS = 10_000
 
@@ -152,20 +155,45 @@ def _pairs(size: int, words):
     return read
 
 
-def _states(size: int, depth: int, words, pairs):
+def _states(size: int, depth: int, buckets: int, words, pairs):
+    """A row for each shard, language and bucket of phrases: the phrases of all states there, opened along their suffixes, and their counts."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _sharded(batches, size):
             own, one_piece = shard.pairs()
             follows = np.append(one_piece & pairs.value.test(own), False) if len(own) else np.zeros(len(shard.hash), bool)
             for k, at, shortest, count in automaton(np.where(words.value.test(shard.hash), shard.hash, np.uint64(0)), follows, depth):
-                phrases = [shard.phrase(i, k) for i in at.tolist()]
-                langs = [shard.langs[i] for i in shard.lang[at].tolist()]
-                columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(shortest.astype(np.int32)), pa.array(count.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "shortest", "n"])
+                many = k - shortest + 1
+                length = k - (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                at, count = np.repeat(at, many) + k - length, np.repeat(count, many)
+                phrases = [shard.phrase(i, n) for i, n in zip(at.tolist(), length.tolist(), strict=True)]
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(p) % buckets for p in phrases), np.int64, len(phrases))
+                order = np.lexsort((bucket, shard.lang[at]))
+                lang, bucket = shard.lang[at][order], bucket[order]
+                first = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1]))[: len(order)])
+                ends = pa.array(np.append(first, len(order)).astype(np.int32))
+                sorted_ = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(x, kind))  # noqa: B023, E731
+                columns = [pa.array([shard.langs[i] for i in lang[first].tolist()], pa.string()), pa.array(bucket[first].astype(np.int32)), sorted_([phrases[i] for i in order.tolist()], pa.string()), sorted_(count[order].astype(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "phrases", "counts"])
 
     return read
 
 
+def _summed(least: int):
+    """Of all rows of a language and bucket: the phrases that occur often enough over all shards."""
+
+    def add(table: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten()
+        sums = pa.table({"phrase": flat("phrases"), "n": flat("counts")}).group_by("phrase").aggregate([("n", "sum")])
+        often = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+        phrases = often.column("phrase")
+        spaces = pc.count_substring(phrases, " ")
+        lang = pa.array([table.column("lang")[0].as_py()] * len(often), pa.string())
+        return pa.table([lang, phrases, pc.add(spaces, 1).cast(pa.int32()), often.column("n_sum").cast(pa.int64())], names=["lang", "phrase", "k", "f"])
+
+    return add
+
+
 def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, k (words), f: all phrases of up to `depth` words that occur so often; and lang, n: all words. Both are tables."""
     spark = docs.sparkSession
@@ -175,9 +203,9 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, si
     words = spark.sparkContext.broadcast(Sieve(counted.where("lang is null").select("key")))
     found = stash(texts.mapInArrow(_pairs(size, words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"))
     pairs = spark.sparkContext.broadcast(Sieve(found))
-    states = texts.mapInArrow(_states(size, depth, words, pairs), "lang string, phrase string, k int, shortest int, n long")
-    opened = states.withColumn("k", F.explode(F.sequence("shortest", "k"))).select("lang", _part(-F.col("k")).alias("phrase"), "k", "n")
-    phrases = stash(opened.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    buckets = BUCKETS * shuffle_partitions(spark)
+    states = texts.mapInArrow(_states(size, depth, buckets, words, pairs), "lang string, bucket int, phrases array<string>, counts array<long>")
+    phrases = stash(states.groupBy("lang", "bucket").applyInArrow(_summed(least), "lang string, phrase string, k int, f long"))
     discard(counted, found)
     words.destroy()
     pairs.destroy()

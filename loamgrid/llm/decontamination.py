@@ -9,8 +9,8 @@ candidates, and only their shingles are all looked up and counted. The search th
 Words are lower-cased, and punctuation, also within words, counts as white space. Items of fewer words than a shingle are found by
 runs of their own number of words, anywhere in a document; documents of fewer words contain only these. Null and wordless texts
 match nothing and are kept. Benchmark items are taken in blocks of a fixed number of shingles, so what is sent to the tasks has that
-bound and the documents are read once for each block. Repeated rows, of documents or items, give repeated matches; ties need no
-order. Texts of any length are searched whole. Without documents or items there are no matches. Further columns of any name are
+bound and the documents are read once for each block. Repeated rows, of documents or items, give repeated matches, rows without
+an id give matches without one; ties need no order. Texts of any length are searched whole. Without documents or items there are no matches. Further columns of any name are
 handed on by drop_contaminated and not read.
 """
 

@@ -6,7 +6,9 @@ that remain. As lengths are whole numbers up to the capacity, the packing is pla
 size the capacity bounds however many documents there are; the plan says for ranges of equally long pieces which range of
 sequences takes them, and every piece finds its place by its number among the pieces of its length.
 
-A null or empty text has only the end id: one piece of length 1. Repeated rows are packed each. No rows give no rows.
+A null or empty text has only the end id: one piece of length 1. Repeated rows are packed each, and so are rows without an id. Pieces
+of equal length are interchangeable, so ties need no order. Only doc_id and text are read, whatever other columns there are. No rows
+give no rows.
 """
 
 from __future__ import annotations

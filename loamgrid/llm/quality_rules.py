@@ -2,7 +2,7 @@
 and a document that loses too much of its text is rejected.
 
 A null text counts as empty. An empty document has no words, fails the base rules and is rejected. Each row is judged
-alone, so repeated rows get the same verdict; further columns stay as they are, only doc_id and text are read. Texts and lines of any
+alone, with an id or without, so repeated rows get the same verdict; further columns stay as they are, only doc_id and text are read. Texts and lines of any
 length are judged whole. No rows give no rows.
 
 The counts are those of the whole text. The text that is returned lacks the failing lines; blank lines stay, and so does null.

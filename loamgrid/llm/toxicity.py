@@ -7,7 +7,9 @@ Labels of training rows alone are learned from; no id, source, language or label
 The learned list holds the words with the highest log odds of a toxic label, LEXICON at most. Labelled training
 rows are sampled by hash of the id, TRAIN_TOXIC + CALIBRATE / 4 toxic and TRAIN_CLEAN + CALIBRATE clean ones at most; trees and list
 are fitted on about half of them, the calibration on the others, weighted to the labels' shares among all training rows. Null and empty texts have all features 0 and get the score that such features get. Rows
-without a label are scored like others. Without training rows of both labels every score is the share of toxic labels.
+without a label are scored like others. A row without an id has no label and isn't held out; repeated rows, and rows of one id, are
+scored each by their own text, and of several labels of an id the toxic one holds. Texts of equal features have equal scores. Very long
+texts are read whole; only doc_id and text are read. Without training rows of both labels every score is the share of toxic labels.
 """
 
 from __future__ import annotations
