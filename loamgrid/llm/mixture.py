@@ -38,6 +38,9 @@ WINDOW = 64 * CAPACITY
 #: Packets of a queue's part, about, and rounds of a block; both only spread the sums over tasks.
 PART, BLOCK = 8_192, 64
 
+#: Rows of a batch within a task, so that little is held besides the tokenizer.
+SOME = 128
+
 PACKETS = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 PACKED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], T.StructField("source", T.StringType()), T.StructField("round", T.LongType())])
 
@@ -45,18 +48,24 @@ PACKED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc_id", "sta
 def packets(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The packets of each document; ids are little-endian, of 16 bits where all of a packet's fit. The row's number is fixed once this is a table."""
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=PACKETS.names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = token_ids(tokenizer_path).of
+        rows: list[tuple] = []
         for batch in batches:
-            out: list[list] = [[] for _ in PACKETS]
-            for row, doc_id, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), as_bytes(batch.column(3)), strict=True):
-                ids = np.append(ids_of(text or b""), np.uint32(end_id)).astype("<u4", copy=False)
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
-                    for column, value in zip(out, (row, doc_id, source, start, len(part), len(ids), part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=PACKETS.names)
+            for i in range(0, len(batch), SOME):
+                part = batch.slice(i, SOME)
+                for row, doc_id, source, text in zip(*(part.column(k).to_pylist() for k in range(3)), as_bytes(part.column(3)), strict=True):
+                    ids = np.append(ids_of(text or b""), np.uint32(end_id)).astype("<u4", copy=False)
+                    for start in range(0, len(ids), capacity):
+                        own = ids[start : start + capacity]
+                        rows.append((row, doc_id, source, start, len(own), len(ids), own.astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes()))
+                        if len(rows) == SOME:
+                            yield table(rows)
+                            rows = []
+        yield table(rows)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text").mapInArrow(cut, PACKETS)
 
@@ -132,7 +141,7 @@ def _seated(total: int, capacity: int):
         return total // capacity + i, int(edges[i]), int(edges[i + 1])
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, SOME) for whole in batches for i in range(0, len(whole), SOME)):
             out: list[list] = [[] for _ in PACKED]
             for doc_id, source, start, length, doc_tokens, ids, turn, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "start", "length", "doc_tokens", "ids", "round", "at")), strict=True):
                 ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4").astype("<u4").tobytes()
