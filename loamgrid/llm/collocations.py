@@ -34,7 +34,7 @@ from loamgrid.llm.common import Sieve, _hash_block, as_bytes, blocks, discard, l
 #: Words of a phrase, occurrences of a candidate, phrases reported of each language.
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text of a shard.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 6 << 20
 #: Buckets of phrases for each shuffle partition: phrases of a bucket and language are summed in one group, so groups shrink as partitions are added.
 BUCKETS = 4
 #: Languages whose totals are sent to all tasks; more are joined by shuffle.
