@@ -64,16 +64,6 @@ def boundary_distance(pixels: DataFrame, pixel_m: float = 10.0) -> DataFrame:
     return rows.select("r", F.explode(F.transform("row", best)).alias("x")).select("r", "x.c", "x.distance_m")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in the shared folder if the session names one."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
-def shifted(pixels: DataFrame, dr: int, dc: int, values: dict[str, Column | str]) -> DataFrame:
-    """The pixel at (r + dr, c + dc), moved to (r, c)."""
-    return pixels.select((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()])
-
-
 def mean_field(pixels: DataFrame, theta: float, steps: int, n_classes: int) -> DataFrame:
     """pixels: r, c, p (array of class probabilities). Each step adds theta times the neighbours' probabilities, weighted by 1 / distance,
     to the log of p and takes the softmax. A step is one shuffle: pixels send their probabilities to their neighbours."""

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.operators import measures, raster, regions, smoothing
+from loamgrid.operators import measures, regions, smoothing
+from loamgrid.stored import stash
 
 #: The thetas, steps, smallest area of a polygon in m2, area of a pixel in m2, and the class of built-up land.
 THETAS, STEPS = (0.3, 0.8, 2.0, 5.0, 12.0), 8
@@ -40,9 +41,9 @@ def sweep(pixels: DataFrame, truth: DataFrame, thin: DataFrame, sigma: float, cl
 
     def maps(some: Sequence[float], width: float | None) -> DataFrame:
         smoothed = smoothing.smooth(pixels, some, width, steps, len(class_ids), n_features)
-        return raster._cut(smoothed.select("theta", "r", "c", smoothing.decoded(F.col("q"), class_ids).alias("label")))
+        return stash(smoothed.select("theta", "r", "c", smoothing.decoded(F.col("q"), class_ids).alias("label")))
 
-    figures = raster._cut(evaluate(maps(thetas, sigma), truth, thin))
+    figures = stash(evaluate(maps(thetas, sigma), truth, thin))
     theta = smoothing.chosen(figures).first()["theta"]
     plain = evaluate(maps([theta], None), truth, thin)
     marked = figures.select(F.lit("contrast").alias("variant"), (F.col("theta") == theta).alias("chosen"), "*")
