@@ -2,11 +2,12 @@
 
 The model has two levels. Single words get the add-half estimate P1, in which all unknown words share one half count. A word
 after another gets its Good-Turing discounted bigram count over the count of the word before, if that bigram is in the model,
-else a(before) * P1(word); a(before) is such that the probabilities after each word sum to 1 exactly. Bigrams seen once count as
-unseen, as Katz allows, and their mass goes to the backoff. All other bigrams are in the model, of whatever words.
+else a(before) * P1(word); a(before) is such that the probabilities after each word sum to 1 exactly. The query's model has every
+bigram of the training texts, those seen once with their own discount. `scores` may be given a bound below which bigrams count as
+unseen, as Katz allows; their mass then goes to the backoff.
 
 Counts are tables partitioned by the hash of the word before; the partitions of the words' own counts are asked for those of the
-predicted words, for P1. Tasks count chunks of documents, and send arrays to each partition instead of rows: the distinct words
+predicted words, for P1, once for each partition of the model and word, and answer with numbers alone in the order of the question. Tasks count chunks of documents, and send arrays to each partition instead of rows: the distinct words
 before, how many bigrams follow each, and their predicted words by 48 bits of hash. A scored chunk sends each partition its bigrams
 so with the places of their documents, and gets sums for these documents back. Words and bigrams that hold more than one token in
 HOT (HOT of each at most) are looked up where the chunk is read, and other bigrams after a hot word are spread over all partitions,
@@ -20,7 +21,7 @@ row all counts are 0 and every token is unknown; no rows give no rows. Only doc_
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from loamgrid.llm.common import as_bytes, discard, hash_texts, load, mix, shuffle_partitions, stash
 
 HOT = 100_000
-#: Bigrams seen less often are unseen; counts up to DISCOUNTED are discounted.
-CUT, DISCOUNTED = 2, 5
+#: Bigrams seen less often are unseen if `scores` isn't given another bound; EVERY takes all. Counts up to DISCOUNTED are discounted.
+CUT, EVERY, DISCOUNTED = 2, 1, 5
 #: Tokens and documents of a chunk; documents whose sums are gathered together; training tokens for each partition.
 CHUNK_TOKENS, CHUNK_DOCS, GATHERED, PART_TOKENS = 1_000_000, 60_000, 512, 2_000_000
 #: Bytes of text for each partition of the words' own counts.
@@ -49,12 +50,16 @@ WORD = np.uint64((1 << 48) - 1)
 COUNTS = "part int, words binary, counts binary"
 WORDS = "part int, words binary, counts binary, tokens long, types long"
 PAIRS = "part int, before binary, word binary, counts binary"
-MODEL = "part int, before binary, word binary, counts binary, single binary, totals binary, n_of array<long>"
-#: Words that partition `part` is asked for by the model's partition `model`, or its answer, their counts; the table of words itself has no `model`.
+#: single, dropped: words before, and how many of their bigrams' occurrences aren't in the model.
+MODEL = "part int, before binary, word binary, counts binary, single binary, dropped binary, n_of array<long>"
+#: Words that partition `part` is asked for by the model's partition `model`; the table of words itself has no `model`.
 ASKS = "part int, model int, words binary, counts binary"
+#: The answer to the model's partition `part` by the words' partition `by`: the counts of the words, in their order.
+OWN = "part int, by int, counts binary"
+HOT_ROWS = "hot binary, stars binary, lower binary, key binary, n binary, own binary"
 MAIL = "part int, chunk long, block int, kind int, a binary, b binary, c binary, d binary"
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-MODEL_ROW, ASKED, TOLD, DOCS = range(4)
+MODEL_ROW, ASKED, TOLD, DOCS, OWN_ROW = range(5)
 
 
 @dataclass
@@ -62,11 +67,14 @@ class Shared:
     """What all tasks know. Arrays are bounded by HOT."""
 
     parts: int
+    word_parts: int
+    least: int
     tokens: int = 0
     types: int = 0
     ends: int = 0
     hot: np.ndarray | None = None  # sorted hashes of hot words before, START among them
     hot_n: np.ndarray | None = None
+    common: np.ndarray | None = None  # sorted hashes of WORD's bits of hot words and the end
     discounts: np.ndarray | None = None
     hot_total: np.ndarray | None = None
     hot_backoff: np.ndarray | None = None
@@ -111,15 +119,62 @@ def binary(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def pack_heads(before: np.ndarray) -> bytes:
-    """Values that stand in runs: each once, then the runs' lengths."""
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers, compressed: all first bytes, all second bytes and so on."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unsqueezed(x: bytes, kind) -> np.ndarray:
+    planes = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def joined(*parts: bytes) -> bytes:
+    return np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
+
+
+def parted(x: bytes, n: int) -> list[bytes]:
+    ends = 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int64, n))])
+    return [x[ends[i] : ends[i + 1]] for i in range(n)]
+
+
+def pack_coded(values: np.ndarray, common: np.ndarray, size: int) -> bytes:
+    """Hashes of `size` bytes; those of the sorted table `common` by their steps in it."""
+    at = find(common, values)
+    met = at >= 0
+    steps = np.diff(at[met].astype(np.uint32), prepend=np.uint32(0))
+    return joined(squeezed(np.packbits(met)), squeezed(steps), np.ascontiguousarray(values[~met]).view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
+
+
+def unpack_coded(x: bytes, common: np.ndarray, size: int) -> np.ndarray:
+    bits, steps, rest = parted(x, 3)
+    at, n = np.cumsum(unsqueezed(steps, np.uint32), dtype=np.uint32), len(rest) // size
+    met = np.unpackbits(unsqueezed(bits, np.uint8))[: len(at) + n].astype(bool)
+    own = np.zeros((n, 8), np.uint8)
+    own[:, :size] = np.frombuffer(rest, np.uint8).reshape(-1, size)
+    out = np.empty(len(at) + n, np.uint64)
+    out[met], out[~met] = common[at], own.view(np.uint64).ravel()
+    return out
+
+
+def pack_heads(s: Shared, before: np.ndarray) -> bytes:
+    """Values that stand in runs: each once, and the runs' lengths."""
     first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.empty(0, np.int64)
-    return binary(before[first]) + binary(np.diff(np.append(first, len(before))).astype(np.uint32))
+    return joined(pack_coded(before[first], s.hot, 8), squeezed(np.diff(np.append(first, len(before))).astype(np.uint32)))
+
+
+def unpack_heads(s: Shared, x: bytes) -> np.ndarray:
+    heads, lengths = parted(x, 2)
+    return np.repeat(unpack_coded(heads, s.hot, 8), unsqueezed(lengths, np.uint32))
+
 
+def pack_next(s: Shared, words: np.ndarray) -> bytes:
+    return pack_coded(words, s.common, 6)
 
-def unpack_heads(x: bytes) -> np.ndarray:
-    n = len(x) // 12
-    return np.repeat(np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.uint32, n, 8 * n))
+
+def unpack_next(s: Shared, x: bytes) -> np.ndarray:
+    return unpack_coded(x, s.common, 6)
 
 
 def pack_words(words: np.ndarray) -> bytes:
@@ -226,7 +281,7 @@ def _count_pairs(known, size: int):
             keys, n, at = keys[at_before], n[at_before], at[at_before]
             before, word = before[at], word[at]
             split = by_part(s.part_of(before, keys), s.parts)
-            yield rows(PAIRS, [(i, pack_heads(before[x]), pack_words(word[x]), binary(small(n[x]))) for i, x in enumerate(split) if len(x)])
+            yield rows(PAIRS, [(i, pack_heads(s, before[x]), pack_next(s, word[x]), squeezed(small(n[x]))) for i, x in enumerate(split) if len(x)])
 
     return count
 
@@ -234,27 +289,29 @@ def _count_pairs(known, size: int):
 def _merge_pairs(known):
     def merge(table: pa.Table) -> pa.Table:
         s: Shared = known.value
-        before, word, counts = (np.concatenate([f(x.as_py()) for x in table[c]]) for c, f in (("before", unpack_heads), ("word", unpack_words), ("counts", lambda x: np.frombuffer(x, np.uint32))))
+        before, word, counts = (np.concatenate([f(x.as_py()) for x in table[c]]) for c, f in (("before", lambda x: unpack_heads(s, x)), ("word", lambda x: unpack_next(s, x)), ("counts", lambda x: unsqueezed(x, np.uint32))))
         _, at, n = summed(key_of(before, word), counts.astype(np.int64))
         order = np.argsort(before[at])
         at, n = at[order], n[order]
         before, word = before[at], word[at]
-        single, _, totals = summed(before, n)
-        cold, kept = find(s.hot, single) < 0, n >= CUT
+        kept = n >= s.least
+        single, _, dropped = summed(before[~kept], n[~kept])
+        cold = find(s.hot, single) < 0
         n_of = np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tolist()
-        return pa.Table.from_batches([rows(MODEL, [(table["part"][0].as_py(), pack_heads(before[kept]), pack_words(word[kept]), binary(n[kept]), binary(single[cold]), binary(totals[cold]), n_of)])])
+        return pa.Table.from_batches([rows(MODEL, [(table["part"][0].as_py(), pack_heads(s, before[kept]), pack_next(s, word[kept]), squeezed(n[kept]), binary(single[cold]), binary(dropped[cold]), n_of)])])
 
     return merge
 
 
-def _ask_words(parts: int):
+def _ask_words(known):
     """Rows for the words' partitions: the distinct predicted words of each partition of the model."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Shared = known.value
         for batch in batches:
             for model, w in zip(batch.column("part").to_pylist(), batch.column("word").to_pylist(), strict=True):
-                words = np.unique(unpack_words(w))
-                split = by_part(word_part(words, parts), parts)
+                words = np.unique(unpack_next(s, w))
+                split = by_part(word_part(words, s.word_parts), s.word_parts)
                 yield rows(ASKS, [(i, model, pack_words(words[x]), b"") for i, x in enumerate(split) if len(x)])
 
     return ask
@@ -267,22 +324,17 @@ def _answer_words(table: pa.Table) -> pa.Table:
     words, counts = (np.frombuffer(table[c][own].as_py(), k) for c, k in (("words", np.uint64), ("counts", np.int64)))
     order = np.argsort(words & WORD)
     words, counts = (words & WORD)[order], counts[order]
-    out = [(model, model, asked[i].as_py(), binary(counts[find(words, unpack_words(asked[i].as_py()))])) for i, model in enumerate(models) if model is not None]
-    return pa.Table.from_batches([rows(ASKS, out)])
+    out = [(model, table["part"][0].as_py(), squeezed(counts[find(words, unpack_words(asked[i].as_py()))])) for i, model in enumerate(models) if model is not None]
+    return pa.Table.from_batches([rows(OWN, out)])
 
 
-def _with_own(table: pa.Table) -> pa.Table:
-    """One partition of the model, its counts followed by the counts of its predicted words; the other rows are the answers."""
-    own = table["n_of"].is_valid().to_pylist().index(True)
-    answers = [i for i in range(len(table)) if i != own]
-    numbers = lambda i: np.frombuffer(table["counts"][i].as_py(), np.int64)
-    word = unpack_words(table["word"][own].as_py())
-    words = np.concatenate([np.empty(0, np.uint64), *(unpack_words(table["word"][i].as_py()) for i in answers)])
-    counts = np.concatenate([np.empty(0, np.int64), *map(numbers, answers)])
-    order = np.argsort(words)
-    row = table.slice(own, 1)
-    both = np.concatenate([numbers(own), counts[order][find(words[order], word)] if len(word) else np.empty(0, np.int64)])
-    return row.set_column(row.schema.get_field_index("counts"), "counts", pa.array([binary(both)], pa.binary()))
+def own_counts(word: np.ndarray, answers: Iterable[tuple[int, bytes]], parts: int) -> np.ndarray:
+    """The counts of a model's predicted words, from the answers (words' partition, counts)."""
+    words = np.unique(word)
+    split, counts = by_part(word_part(words, parts), parts), np.zeros(len(words), np.int64)
+    for by, own in answers:
+        counts[split[by]] = unsqueezed(own, np.int64)
+    return counts[np.searchsorted(words, word)]
 
 
 def good_turing(n_of: list[int]) -> np.ndarray:
@@ -306,28 +358,32 @@ def backoff(totals: np.ndarray, stars: np.ndarray, lower: np.ndarray) -> tuple[n
     return below, np.where(stars > 0, (1 - stars / np.maximum(below, 0.5)) / (1 - lower), 1.0)
 
 
-def _hot_sums(known):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_rows(known, least: float):
+    def read(table: pa.Table) -> pa.Table:
+        """Of one partition of the model, whose other rows are answers: each hot word's sums of discounted counts and of P1, and the hot bigrams."""
         s: Shared = known.value
-        for batch in batches:
-            for b, c in zip(*(batch.column(x).to_pylist() for x in ("before", "counts")), strict=True):
-                before, (n, own) = unpack_heads(b), np.frombuffer(c, np.int64).reshape(2, -1)
-                at = find(s.hot, before)
-                hot = at >= 0
-                sums = [np.bincount(at[hot], weights=x[hot], minlength=len(s.hot)) for x in (discounted(s, n), s.p1(own))]
-                met = np.flatnonzero(sums[0])
-                yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), pa.array(sums[0][met]), pa.array(sums[1][met])], names=["hot", "stars", "lower"])
+        by = table["by"].to_pylist()
+        i = by.index(None)
+        before, word, n = unpack_heads(s, table["before"][i].as_py()), unpack_next(s, table["word"][i].as_py()), unsqueezed(table["counts"][i].as_py(), np.int64)
+        own = own_counts(word, ((x, table["counts"][j].as_py()) for j, x in enumerate(by) if x is not None), s.word_parts)
+        at = find(s.hot, before)
+        hot, often = at >= 0, n >= least
+        stars, lower = (np.bincount(at[hot], weights=x[hot], minlength=len(s.hot)) for x in (discounted(s, n), s.p1(own)))
+        met = np.flatnonzero(stars)
+        return pa.Table.from_batches([rows(HOT_ROWS, [tuple(map(binary, (met, stars[met], lower[met], key_of(before, word)[often], n[often], own[often])))])])
 
     return read
 
 
-def _hot_pairs(least: float):
+def _unpacked(schema: str):
+    """Rows of arrays as rows of their numbers."""
+    kinds = {"long": np.int64, "double": np.float64}
+    fields = [f.split() for f in schema.split(", ")]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, w, c in zip(*(batch.column(x).to_pylist() for x in ("before", "word", "counts")), strict=True):
-                before, word, (n, own) = unpack_heads(b), unpack_words(w), np.frombuffer(c, np.int64).reshape(2, -1)
-                hot = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(key_of(before[hot], word[hot]).view(np.int64)), pa.array(n[hot]), pa.array(own[hot])], names=["key", "n", "own"])
+            for row in zip(*(batch.column(name).to_pylist() for name, _ in fields), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, kinds[kind])) for x, (_, kind) in zip(row, fields, strict=True)], names=[name for name, _ in fields])
 
     return read
 
@@ -373,7 +429,7 @@ def _ask(known, size: int, docs: int):
                 if len(x):
                     # the places of this part's documents, bigram by bigram
                     taken = np.repeat(at[x] - np.concatenate([[0], np.cumsum(n[x])[:-1]]), n[x]) + np.arange(n[x].sum())
-                    out.append((i, task + number, 0, ASKED, pack_heads(own_before[x]), pack_words(own_word[x]), binary(small(n[x])), binary(own_doc[taken])))
+                    out.append((i, task + number, 0, ASKED, pack_heads(s, own_before[x]), pack_next(s, own_word[x]), squeezed(small(n[x])), squeezed(own_doc[taken])))
             yield rows(MAIL, out)
 
     return ask
@@ -386,12 +442,13 @@ def _tell(known):
         s: Shared = known.value
         kinds = np.array(table["kind"].to_pylist())
         before, word, n, ctx = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        word_n = n
         for i in np.flatnonzero(kinds == MODEL_ROW).tolist():
-            before, word = unpack_heads(table["a"][i].as_py()), unpack_words(table["b"][i].as_py())
-            n, ctx = (np.frombuffer(table[c][i].as_py(), np.int64) for c in "cd")
-        n, word_n = n.reshape(2, -1)
-        single, totals = ctx[: len(ctx) // 2].view(np.uint64), ctx[len(ctx) // 2 :]
+            before, word = unpack_heads(s, table["a"][i].as_py()), unpack_next(s, table["b"][i].as_py())
+            n, ctx = unsqueezed(table["c"][i].as_py(), np.int64), np.frombuffer(table["d"][i].as_py(), np.int64)
+        word_n = own_counts(word, ((table["block"][i].as_py(), table["a"][i].as_py()) for i in np.flatnonzero(kinds == OWN_ROW).tolist()), s.word_parts)
+        single, _, totals = summed(np.concatenate([before, ctx[: len(ctx) // 2].view(np.uint64)]), np.concatenate([n, ctx[len(ctx) // 2 :]]))
+        cold = find(s.hot, single) < 0
+        single, totals = single[cold], totals[cold]
         keys = key_of(before, word)
         order = np.argsort(keys)
         keys, n_of_key, own_of_key = keys[order], n[order], word_n[order]
@@ -403,8 +460,8 @@ def _tell(known):
             if kinds[i] == DOCS:
                 out.append((0, table["chunk"][i].as_py(), table["block"][i].as_py(), DOCS, *(table[c][i].as_py() for c in "abcd")))
             elif kinds[i] == ASKED:
-                b, w = unpack_heads(table["a"][i].as_py()), unpack_words(table["b"][i].as_py())
-                times, doc = (np.frombuffer(table[c][i].as_py(), k) for c, k in (("c", np.uint32), ("d", np.uint16)))
+                b, w = unpack_heads(s, table["a"][i].as_py()), unpack_next(s, table["b"][i].as_py())
+                times, doc = (unsqueezed(table[c][i].as_py(), k) for c, k in (("c", np.uint32), ("d", np.uint16)))
                 at, pair, hot = find(single, b), find(keys, key_of(b, w)), find(s.hot, b)
                 seen, met = at >= 0, pair >= 0
                 count = np.where(seen, totals[at], 0) if len(totals) else np.zeros(len(b), np.int64)
@@ -445,8 +502,8 @@ def _gather(tokens: int):
     return gather
 
 
-def scores(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """The columns of SCORES for each row of docs."""
+def scores(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, least: int = CUT) -> DataFrame:
+    """The columns of SCORES for each row of docs. Bigrams seen less often than `least` count as unseen."""
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     read = docs.select("doc_id", "text", held.alias("held_out"))
@@ -455,39 +512,42 @@ def scores(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS) ->
     n_parts = max(shuffle_partitions(spark), -(-n_bytes // PART_BYTES))
     words = stash(train.mapInArrow(_count_words(n_parts, chunk_tokens), COUNTS).groupBy("part").applyInArrow(_merge_words, WORDS))
     total = words.agg(F.sum("tokens"), F.sum("types")).first()
-    s = Shared(max(n_parts, -(-(total[0] or 0) // PART_TOKENS)), total[0] or 0, total[1] or 0)
+    s = Shared(max(n_parts, -(-(total[0] or 0) // PART_TOKENS)), n_parts, least, total[0] or 0, total[1] or 0)
     table = words.mapInArrow(_at_least(max(1, s.tokens / hot)), "word long, n long").toArrow()  # `hot` rows at most
     found, n = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.int64)
     s.ends = train.count()
     before, n = np.append(found[found != END], START), np.append(n[found != END], s.ends)
     order = np.argsort(before)
     s.hot, s.hot_n = before[order], n[order].astype(np.int64)
+    s.common = np.unique(np.append(s.hot, END) & WORD)
     known = spark.sparkContext.broadcast(s)
     model = stash(train.mapInArrow(_count_pairs(known, chunk_tokens), PAIRS).groupBy("part").applyInArrow(_merge_pairs(known), MODEL))
-    asks = model.select("part", "word").mapInArrow(_ask_words(n_parts), ASKS)
-    answers = asks.unionByName(words.select("part", F.lit(None).cast("int").alias("model"), "words", "counts")).groupBy("part").applyInArrow(_answer_words, ASKS)
-    none = F.lit(None).cast("binary")
-    told = answers.select("part", none.alias("before"), F.col("words").alias("word"), "counts", none.alias("single"), none.alias("totals"), F.lit(None).cast("array<long>").alias("n_of"))
-    bare, model = model, stash(model.unionByName(told).groupBy("part").applyInArrow(_with_own, MODEL))
-    discard(bare, words)
+    asks = model.select("part", "word").mapInArrow(_ask_words(known), ASKS)
+    own = stash(asks.unionByName(words.select("part", F.lit(None).cast("int").alias("model"), "words", "counts")).groupBy("part").applyInArrow(_answer_words, OWN))
+    discard(words)
     n_of = model.select(*[F.sum(F.element_at("n_of", r + 1)).alias(f"n{r}") for r in range(DISCOUNTED + 2)]).first()
     s.discounts = good_turing([x or 0 for x in n_of])
     known = spark.sparkContext.broadcast(s)
-    stars, lower = np.zeros(len(s.hot)), np.zeros(len(s.hot))
-    for r in model.mapInArrow(_hot_sums(known), "hot long, stars double, lower double").groupBy("hot").agg(F.sum("stars").alias("stars"), F.sum("lower").alias("lower")).collect():  # `hot` rows at most
+    none, blank = F.lit(None).cast("binary"), F.lit(None).cast("int")
+    both = model.select("part", blank.alias("by"), "before", "word", "counts").unionByName(own.select("part", "by", none.alias("before"), none.alias("word"), "counts"))
+    found = stash(both.groupBy("part").applyInArrow(_hot_rows(known, max(least, s.tokens / hot)), HOT_ROWS))
+    stars, lower, sums, often = np.zeros(len(s.hot)), np.zeros(len(s.hot)), "hot long, stars double, lower double", "key long, n long, own long"
+    for r in found.select("hot", "stars", "lower").mapInArrow(_unpacked(sums), sums).groupBy("hot").agg(F.sum("stars").alias("stars"), F.sum("lower").alias("lower")).collect():  # `hot` rows at most
         stars[r["hot"]], lower[r["hot"]] = r["stars"], r["lower"]
     s.hot_total, s.hot_backoff = backoff(s.hot_n, stars, lower)
-    pairs = model.mapInArrow(_hot_pairs(max(CUT, s.tokens / hot)), "key long, n long, own long").toArrow()  # `hot` rows at most
+    pairs = found.select("key", "n", "own").mapInArrow(_unpacked(often), often).toArrow()  # `hot` rows at most
+    discard(found)
     keys, n = pairs["key"].to_numpy().view(np.uint64), pairs["n"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     s.pairs, s.pairs_n, s.pairs_own = keys[order], n[order], pairs["own"].to_numpy().astype(np.int64)[order]
     known = spark.sparkContext.broadcast(s)
     asked = read.mapInArrow(_ask(known, chunk_tokens, CHUNK_DOCS), MAIL)
-    blank = F.lit(None).cast("long")
-    rows_of = model.select("part", blank.alias("chunk"), blank.cast("int").alias("block"), F.lit(MODEL_ROW).alias("kind"), F.col("before").alias("a"), F.col("word").alias("b"), F.col("counts").alias("c"), F.concat("single", "totals").alias("d"))
-    told = asked.unionByName(rows_of).groupBy("part").applyInArrow(_tell(known), MAIL)
+    no_chunk = F.lit(None).cast("long").alias("chunk")
+    rows_of = model.select("part", no_chunk, blank.alias("block"), F.lit(MODEL_ROW).alias("kind"), F.col("before").alias("a"), F.col("word").alias("b"), F.col("counts").alias("c"), F.concat("single", "dropped").alias("d"))
+    own_of = own.select("part", no_chunk, F.col("by").alias("block"), F.lit(OWN_ROW).alias("kind"), F.col("counts").alias("a"), *(none.alias(c) for c in "bcd"))
+    told = asked.unionByName(rows_of).unionByName(own_of).groupBy("part").applyInArrow(_tell(known), MAIL)
     return told.groupBy("chunk", "block").applyInArrow(_gather(s.tokens), SCORES)
 
 
 def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(load(spark, sf_dir, "documents"))
+    return scores(load(spark, sf_dir, "documents"), least=EVERY)
