@@ -34,6 +34,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Entries that a Python worker's cache of tokenized words keeps; words beyond it are tokenized each time.
 TOKEN_CACHE = 300_000
+#: Documents that are tokenized at once, so that little is held besides the tokenizer.
+SOME = 128
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 PACKED = T.StructType([*PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -90,24 +92,27 @@ def token_ids(path: str) -> Ids:
     return Ids(path)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """The pieces of each document, with their ids if asked for."""
-    schema = PIECES if with_ids else T.StructType(PIECES.fields[:5])
+def _cut(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = token_ids(tokenizer_path).of
-        for batch in batches:
+        for batch in (whole.slice(i, SOME) for whole in batches for i in range(0, len(whole), SOME)):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 ids = np.append(ids_of(text or b""), np.uint32(end_id)).astype("<u4", copy=False)
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: len(schema)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)  # noqa: B905
+                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * with_ids))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=PIECES.names[: len(kinds)])
+
+    return cut
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """The pieces of each document, with their ids if asked for."""
+    schema = PIECES if with_ids else T.StructType(PIECES.fields[:5])
+    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer_path, capacity, end_id, with_ids), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -221,7 +226,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             row = rows[np.searchsorted(starts, (length << shift) + number, "right") - 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PACKED.names[:5]), pa.array(row[:, 3] + number - row[:, 1]), pa.array(row[:, 4])], names=PACKED.names)
 
-    known = numbered(cut.select(*PACKED.names[:5]), ["length"], [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], "__number")
+    known = numbered(cut.select(*PACKED.names[:5]), ["length"], [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], "__number", nulls=False)
     return known.mapInArrow(seat, PACKED)
 
 
