@@ -2,7 +2,12 @@
 
 import random
 
-from loamgrid.operators import planar
+import pytest
+
+from loamgrid.operators import planar, raster
+from loamgrid.plans import catalogue
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def ring(r):
@@ -20,3 +25,18 @@ def test_repair_deals_rows_out_and_takes_a_batch_at_once(spark):
     got = {x["k"]: x["polygons"] for x in found.collect()}
     assert got == {k: None if x is None else planar.faces([closed(y) for y in x]) for k, x in rows}
     assert sum(len(x or []) for x in got.values()) > 100
+
+
+def test_distances_along_long_columns(spark):
+    r = random.Random(2)
+    labels = {(i, c): (i // 40 + c // 2 + (r.random() < 0.02)) % 3 for i in range(300) for c in range(4)}
+    edge = [p for p, x in labels.items() if any(labels.get((p[0] + dr, p[1] + dc), x) != x for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)))]
+    pixels = spark.createDataFrame([(*p, x) for p, x in labels.items()], "r int, c int, label int")
+    got = {(x["r"], x["c"]): x["distance_m"] for x in raster.boundary_distance(pixels).collect()}
+    assert got == {(i, c): round(10 * min((i - y) ** 2 + (c - x) ** 2 for y, x in edge) ** 0.5, 6) for i, c in labels}
+
+
+@pytest.mark.parametrize("name", ["boundary_distance"])
+def test_no_window_starts_anew_for_every_pixel(spark, name):
+    plan = catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
