@@ -36,7 +36,7 @@ def test_distances_along_long_columns(spark):
     assert got == {(i, c): round(10 * min((i - y) ** 2 + (c - x) ** 2 for y, x in edge) ** 0.5, 6) for i, c in labels}
 
 
-@pytest.mark.parametrize("name", ["boundary_distance", "accuracy_by_distance", "disagreement"])
+@pytest.mark.parametrize("name", ["boundary_distance", "accuracy_by_distance", "disagreement", "uncertain_fraction"])
 def test_no_window_starts_anew_for_every_pixel(spark, name):
     plan = catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
