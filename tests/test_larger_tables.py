@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from loamgrid.operators import planar, raster
+from loamgrid.operators import planar, raster, regions
 from loamgrid.plans import catalogue
 from tests.test_catalogue import shown
 
@@ -77,3 +77,13 @@ def test_communes_that_share_a_number(spark, repeated, name):
     leave = ("commune",) if "LIMIT" in catalogue.ORACLES[name] else ()  # which of a number's communes comes first is open
     mine, theirs = both(spark, repeated, name, leave)
     assert mine == theirs and mine
+
+
+def test_outlines_send_no_scene_through_the_driver(spark, monkeypatch):
+    plans, store, observe = [], regions.stash, regions.stash_observed
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(regions, "stash", lambda df: store(noted(df)))
+    monkeypatch.setattr(regions, "stash_observed", lambda df, *values: observe(noted(df), *values))
+    found = regions.outlines(catalogue.run(spark, FOLDER, catalogue.INPUT))
+    noted(found)
+    assert found.count() and sum("SortMergeJoin" in x for x in plans) > 3 and not any("BroadcastHashJoin" in x for x in plans)
