@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from loamgrid.operators import planar, raster, regions
+from loamgrid.operators import planar, raster, regions, smoothing
 from loamgrid.plans import catalogue
 from tests.test_catalogue import shown
 
@@ -87,3 +87,13 @@ def test_outlines_send_no_scene_through_the_driver(spark, monkeypatch):
     found = regions.outlines(catalogue.run(spark, FOLDER, catalogue.INPUT))
     noted(found)
     assert found.count() and sum("SortMergeJoin" in x for x in plans) > 3 and not any("BroadcastHashJoin" in x for x in plans)
+
+
+def test_a_pixel_without_a_feature_leaves_its_neighbours_alone(spark):
+    rows = [(0, c, True, 0.8 if c == 0 else 0.1, 0.1 if c == 0 else 0.8, None if c == 1 else 0.5) for c in range(4)]
+    pixels = spark.createDataFrame(rows, "r int, c int, valid boolean, p0 double, p1 double, f0 double")
+    q = {x["c"]: x["q"][0] for x in smoothing.smooth(pixels, [0.8], 1.0, 1, 2, 1).collect()}
+    alone = lambda p0, p1: p0 / (p0 + p1)
+    assert q[0] == pytest.approx(alone(0.8, 0.1)) and q[1] == pytest.approx(alone(0.1, 0.8)) and q[2] < alone(0.1, 0.8) - 0.01 and q[3] == pytest.approx(q[2])
+    even = {x["c"]: x["q"][0] for x in smoothing.smooth(pixels, [0.8], None, 1, 2, 1).collect()}  # without contrast all neighbours count
+    assert even[0] != pytest.approx(q[0])
