@@ -97,3 +97,12 @@ def test_a_pixel_without_a_feature_leaves_its_neighbours_alone(spark):
     assert q[0] == pytest.approx(alone(0.8, 0.1)) and q[1] == pytest.approx(alone(0.1, 0.8)) and q[2] < alone(0.1, 0.8) - 0.01 and q[3] == pytest.approx(q[2])
     even = {x["c"]: x["q"][0] for x in smoothing.smooth(pixels, [0.8], None, 1, 2, 1).collect()}  # without contrast all neighbours count
     assert even[0] != pytest.approx(q[0])
+
+
+@pytest.mark.parametrize("name", ["oof_accuracy"])
+def test_out_of_fold_at_rows_whose_draw_passes_32_bits(spark, tmp_path, name):
+    duckdb.execute(f"COPY (SELECT * REPLACE (event_id + 36000000 AS event_id) FROM '/root/testdata/sf0.01/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    drawn = catalogue.learnt(spark, str(tmp_path))
+    assert drawn.where("drawn <> CASE WHEN (r * 7919L + c * 104729L) % 1000003 < 300001 THEN 1 ELSE 0 END").count() == 0
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert found.count() == (drawn.count() if name == "rf_oof" else 1)
