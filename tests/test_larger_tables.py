@@ -99,7 +99,7 @@ def test_a_pixel_without_a_feature_leaves_its_neighbours_alone(spark):
     assert even[0] != pytest.approx(q[0])
 
 
-@pytest.mark.parametrize("name", ["oof_accuracy"])
+@pytest.mark.parametrize("name", ["rf_oof", "oof_accuracy"])
 def test_out_of_fold_at_rows_whose_draw_passes_32_bits(spark, tmp_path, name):
     duckdb.execute(f"COPY (SELECT * REPLACE (event_id + 36000000 AS event_id) FROM '/root/testdata/sf0.01/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     drawn = catalogue.learnt(spark, str(tmp_path))
