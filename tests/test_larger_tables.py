@@ -72,7 +72,7 @@ def test_no_window_starts_anew_for_every_pixel(spark, name):
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
 
 
-@pytest.mark.parametrize("name", ["spatial_join3", "q_new_built", "choropleth_bins", "join_using", "q_choropleth", "q_commune_cover", "q_top_built", "two_level_agg", "commune_aoi", "join_aoi", "load_communes", "zonal_communes"])
+@pytest.mark.parametrize("name", ["spatial_join3", "q_new_built", "choropleth_bins", "join_using", "q_choropleth", "q_commune_cover", "q_top_built", "two_level_agg", "spatial_join", "commune_aoi", "join_aoi", "load_communes", "zonal_communes"])
 def test_communes_that_share_a_number(spark, repeated, name):
     leave = ("commune",) if "LIMIT" in catalogue.ORACLES[name] else ()  # which of a number's communes comes first is open
     mine, theirs = both(spark, repeated, name, leave)
